@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.tasks import per_row
+
 SPACE = "▁"
 NEVER = (float("inf"), 0)
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -293,21 +295,19 @@ def decode(encoded: DataFrame, model: bytes, ids: str = "ids", text: str = "deco
     return encoded.withColumn(text, run(F.col(ids)))
 
 
-def _round_trip(batches, model, doc_id, text):
+def _round_trip(model):
     c = codec(model.value)
-    for batch in batches:
-        out = []
-        for key, t in zip(batch[doc_id], batch[text], strict=True):
-            data = c.encode_bytes(t)
-            decoded = c.decode(struct.unpack(f"<{len(data) // 4}I", data))
-            out.append((key, len(data) // 4, hashlib.sha256(data).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()))
-        yield pd.DataFrame(out, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]).astype({"n_tokens": "int64"})
+
+    def run(text: str | None) -> tuple:
+        data = c.encode_bytes(text)
+        decoded = c.decode(struct.unpack(f"<{len(data) // 4}I", data))
+        return len(data) // 4, hashlib.sha256(data).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()
+
+    return run
 
 
 def round_trip_digests(docs: DataFrame, model: bytes, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: every text encoded and its ids decoded in the same task,
-    so that the ids, three times the text in size, don't cross between Python and the JVM."""
+    """The id, n_tokens, ids_sha256, decoded_sha256: every text encoded and its ids decoded in the same task, so that
+    the ids, three times the text in size, don't cross between Python and the JVM."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.schema[doc_id].dataType.simpleString()
-    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select(doc_id, text).mapInPandas(partial(_round_trip, model=shared, doc_id=doc_id, text=text), schema)
+    return per_row(docs, [doc_id], [text], "n_tokens long, ids_sha256 string, decoded_sha256 string", partial(_round_trip, shared))

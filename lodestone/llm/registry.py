@@ -3,26 +3,37 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestone.llm import pieces
+from lodestone.llm import compression, mixing, pieces
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _piece_model() -> bytes:
+def piece_model() -> bytes:
     import public_tokenizers
 
     return pieces.read_model(public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op3_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression.rules(_table(spark, sf_dir, "documents"))
+
+
+def op5_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = mixing.sized(_table(spark, sf_dir, "documents"))
+    mixed = mixing.mix(sizes, mixing.share_out(mixing.cyclic_weights(sizes)))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "rate", "copies")
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.round_trip_digests(_table(spark, sf_dir, "documents"), _piece_model())
+    return pieces.round_trip_digests(_table(spark, sf_dir, "documents"), piece_model())
 
 
 def queries() -> dict:
-    return {"op9_sentencepiece": op9_sentencepiece}
+    return {f.__name__: f for f in (op3_compression_bands, op5_entropy_mixing, op9_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
