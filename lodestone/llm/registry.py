@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import compression, mixing, pieces
+from lodestone.llm import compression, fingerprint, mixing, pieces
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,12 +28,17 @@ def op5_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "rate", "copies")
 
 
+def op8_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return fingerprint.grouped(fingerprint.edits(docs), docs)
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip_digests(_table(spark, sf_dir, "documents"), piece_model())
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_compression_bands, op5_entropy_mixing, op9_sentencepiece)}
+    return {f.__name__: f for f in (op3_compression_bands, op5_entropy_mixing, op8_canonical_digest, op9_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
