@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import compression, fingerprint, mixing, pieces
+from lodestone.llm import compression, fingerprint, mixing, neardup, pieces
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op5_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "rate", "copies")
 
 
+def op7_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_classes(_table(spark, sf_dir, "documents"))
+
+
 def op8_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return fingerprint.grouped(fingerprint.edits(docs), docs)
@@ -38,7 +42,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_compression_bands, op5_entropy_mixing, op8_canonical_digest, op9_sentencepiece)}
+    return {f.__name__: f for f in (op3_compression_bands, op5_entropy_mixing, op7_dart_minhash, op8_canonical_digest, op9_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,8 +6,10 @@ import tempfile
 from collections.abc import Callable, Iterator
 from functools import partial
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -37,3 +39,25 @@ def checkpointed(rows: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
     return rows.checkpoint()
+
+
+def likely_in(rows: DataFrame, key: str, wanted: DataFrame, most_bits: int = 1 << 30) -> DataFrame:
+    """The rows whose key occurs in the column `key` of `wanted`, and a few others: a filter on the scan, for a join
+    that follows. Its bitmap has about 16 bits for each wanted key and at most `most_bits`, 128 MB; with more keys
+    than that more rows pass, and the join still decides."""
+    n = wanted.count()
+    bits = 1 << min(max(16, (16 * n).bit_length()), most_bits.bit_length() - 1)
+    slot = F.xxhash64(key).bitwiseAND(F.lit(bits - 1)) + 1
+    bitmap = np.zeros(bits // 8, np.uint8)
+    parts = wanted.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    for part in parts.toLocalIterator():
+        at = (part["part"] - 1) * 4096
+        bitmap[at : at + 4096] |= np.frombuffer(part["bits"], np.uint8)[: bits // 8 - at]
+    sent = rows.sparkSession.sparkContext.broadcast(bitmap)
+
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("slot__").to_numpy()
+            yield batch.filter(pa.array((sent.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))).drop_columns(["slot__"])
+
+    return rows.withColumn("slot__", slot - 1).mapInArrow(passing, rows.schema)
