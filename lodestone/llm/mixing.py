@@ -150,3 +150,14 @@ def mix(sizes: DataFrame, targets: DataFrame, cap: float = 2.0, block_docs: int
         return _diffuse(table, arrow)
 
     return rows.groupBy("source", "block").applyInArrow(diffused, schema)
+
+
+def repeated(docs: DataFrame, mixed: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, each as often as `mixed`, the result of mix() over them, says. Rows of equal id and size share
+    the copies of all of them, so repeated rows don't multiply."""
+    id_or = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    counts = mixed.groupBy(id_or("doc_id").alias("key__"), F.col("size").alias("size__")).agg(F.sum("copies").alias("all__"), F.count(F.lit(1)).alias("rows__"))
+    rows = docs.withColumns({"key__": id_or(doc_id), "size__": n_words(F.col(text))})
+    rows = rows.withColumn("nth__", F.row_number().over(Window.partitionBy("key__", "size__").orderBy(F.xxhash64(text))))
+    times = F.expr("cast(floor(all__ / rows__) + if(nth__ <= all__ % rows__, 1, 0) as int)")
+    return rows.join(counts, ["key__", "size__"]).withColumn("copy__", F.explode(F.array_repeat(F.lit(0), times))).select(*docs.columns)

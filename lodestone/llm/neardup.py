@@ -206,5 +206,11 @@ def _node_of():
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of docs, with all columns, that have the least id of their class; one of repeated rows."""
-    kept = near_classes(docs, doc_id, text, **options).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs[doc_id].eqNullSafe(kept["kept_id"]), "left_semi").dropDuplicates([doc_id, text])
+    classes = near_classes(docs, doc_id, text, **options).filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    kept = checkpointed(classes.groupBy(F.col("doc_id").alias("kept_id")).agg(F.count(F.lit(1)).alias("times")))
+    rows = docs.join(kept, docs[doc_id].eqNullSafe(kept["kept_id"]))
+    again = kept.filter("times > 1")
+    if again.isEmpty():
+        return rows.select(*docs.columns)
+    once = rows.filter("times = 1").select(*docs.columns)
+    return once.unionAll(likely_in(docs, doc_id, again).join(again, docs[doc_id].eqNullSafe(again["kept_id"]), "left_semi").dropDuplicates([doc_id, text]))

@@ -18,9 +18,7 @@ import struct
 from collections.abc import Iterator
 from functools import partial
 
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from lodestone.llm.tasks import per_row
 
@@ -267,32 +265,28 @@ def read_model(path: str) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, model: bytes, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Adds the column `ids` (array<int>, with begin and end ids); null texts count as empty."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _encoding(model):
+    import numpy as np
 
-    @F.pandas_udf("array<int>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import numpy as np
+    c = codec(model.value)
+    return lambda text: (np.frombuffer(c.encode_bytes(text), "<i4"),)
 
-        c = codec(shared.value)
-        for texts in batches:
-            yield pd.Series([np.frombuffer(c.encode_bytes(t), "<i4") for t in texts], dtype=object)
 
-    return docs.withColumn(ids, run(F.col(text)))
+def encode(docs: DataFrame, model: bytes, kept: list[str], text: str = "text") -> DataFrame:
+    """The columns `kept` and `ids` (array<int>, with begin and end ids); null texts count as empty."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return per_row(docs, kept, [text], "ids array<int>", partial(_encoding, shared))
 
 
-def decode(encoded: DataFrame, model: bytes, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """Adds the column `text` that the ids decode to; null ids decode to the empty string."""
-    shared = encoded.sparkSession.sparkContext.broadcast(model)
+def _decoding(model):
+    c = codec(model.value)
+    return lambda ids: (c.decode(ids or []),)
 
-    @F.pandas_udf("string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        c = codec(shared.value)
-        for rows in batches:
-            yield pd.Series([c.decode(r.tolist()) if r is not None else "" for r in rows], dtype=object)
 
-    return encoded.withColumn(text, run(F.col(ids)))
+def decode(encoded: DataFrame, model: bytes, kept: list[str], ids: str = "ids") -> DataFrame:
+    """The columns `kept` and `decoded`, the text of the ids; null ids decode to the empty string."""
+    shared = encoded.sparkSession.sparkContext.broadcast(model)
+    return per_row(encoded, kept, [ids], "decoded string", partial(_decoding, shared))
 
 
 def _round_trip(model):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import compression, fingerprint, mixing, neardup, pieces
+from lodestone.llm import compression, fingerprint, mixing, neardup, pieces, secret_scan
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def piece_model() -> bytes:
     return pieces.read_model(public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op2_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(_table(spark, sf_dir, "documents"), secret_scan.default_forest(spark))
+
+
 def op3_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.rules(_table(spark, sf_dir, "documents"))
 
@@ -42,7 +46,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_compression_bands, op5_entropy_mixing, op7_dart_minhash, op8_canonical_digest, op9_sentencepiece)}
+    return {f.__name__: f for f in (op2_secret_forest, op3_compression_bands, op5_entropy_mixing, op7_dart_minhash, op8_canonical_digest, op9_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -8,7 +8,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -32,12 +32,18 @@ def per_row(rows: DataFrame, kept: list[str], texts: list[str], columns: str, st
     return rows.select(*dict.fromkeys([*kept, *texts])).mapInArrow(run, schema)
 
 
-def checkpointed(rows: DataFrame) -> DataFrame:
-    """The rows, computed once and kept in the folder that all executors share: spark.checkpoint.dir of the session,
-    or, where that is unset, as in tests, a temporary one."""
-    context = rows.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir of the session, or, where that is unset, as in tests,
+    a temporary one."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(rows: DataFrame) -> DataFrame:
+    """The rows, computed once and kept in the shared folder."""
+    shared_folder(rows.sparkSession)
     return rows.checkpoint()
 
 
