@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import compression, fingerprint, mixing, neardup, pieces, secret_scan
+from lodestone.llm import byte_cnn, compression, fingerprint, mixing, neardup, pieces, secret_scan
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,15 @@ def op5_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "rate", "copies")
 
 
+def op6_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    texts, known, odds = byte_cnn.sample(docs, labels.filter(~held_out))
+    weights = byte_cnn.fit(texts, known, odds=odds) if texts else None
+    found = byte_cnn.scores(docs, weights)
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op7_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_classes(_table(spark, sf_dir, "documents"))
 
@@ -46,7 +55,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_secret_forest, op3_compression_bands, op5_entropy_mixing, op7_dart_minhash, op8_canonical_digest, op9_sentencepiece)}
+    return {f.__name__: f for f in (op2_secret_forest, op3_compression_bands, op5_entropy_mixing, op6_byte_cnn, op7_dart_minhash, op8_canonical_digest, op9_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
