@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import byte_cnn, compression, fingerprint, mixing, neardup, pieces, secret_scan
+from lodestone.llm import byte_cnn, compression, fingerprint, mixing, neardup, pieces, pseudonyms, secret_scan, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,15 @@ def op3_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.rules(_table(spark, sf_dir, "documents"))
 
 
+def op4_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pseudonymised(spark, sf_dir)
+    return found.select("doc_id", "text", F.size("findings").cast("long").alias("n_found"), F.array_join(F.array_sort(F.array_distinct("findings.kind")), " ").alias("kinds"))
+
+
+def pseudonymised(spark: SparkSession, sf_dir: str, key: str = "a demonstration key; a real one comes from a key store") -> DataFrame:
+    return pseudonyms.pseudonymised(_table(spark, sf_dir, "documents"), key)
+
+
 def op5_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = mixing.sized(_table(spark, sf_dir, "documents"))
     mixed = mixing.mix(sizes, mixing.share_out(mixing.cyclic_weights(sizes)))
@@ -54,8 +63,24 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip_digests(_table(spark, sf_dir, "documents"), piece_model())
 
 
+def op10_url_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return url_filter.judged(pages, url_filter.fit(url_filter.examples(pages)))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_secret_forest, op3_compression_bands, op5_entropy_mixing, op6_byte_cnn, op7_dart_minhash, op8_canonical_digest, op9_sentencepiece)}
+    found = (
+        op2_secret_forest,
+        op3_compression_bands,
+        op4_feistel_pseudonyms,
+        op5_entropy_mixing,
+        op6_byte_cnn,
+        op7_dart_minhash,
+        op8_canonical_digest,
+        op9_sentencepiece,
+        op10_url_markov,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
