@@ -8,10 +8,11 @@ the rank below which all coordinates are expected to be hit, so a signature cost
 coordinates, not their product. Bands of coordinates are joined by equality; every link found is then checked by the
 exact similarity, and classes are the connected components of the links.
 
-Copies (equal word sequences) are one node; what follows sees each distinct text once. In each band every text is
-compared with the least node of its bucket, so a bucket of n texts gives n pairs. Where that leaves a bucket with
-texts of more than one class, just the pairs across its classes are compared too, so no link that shares a band is
-lost, and a group of near copies is not expanded into all pairs.
+Copies (equal word sequences) are one node; what follows sees each distinct text once. In each band every text is tied
+to the least node of its bucket, so a bucket of n texts gives n pairs, and the connected components of these ties hold
+every pair that shares a band. Within a component all texts are compared exactly, by products of sparse incidence
+matrices over blocks of bounded size; a block gives at most one link for each of its texts, so a group of near copies
+is not expanded into pairs and loses no link.
 
 Null and empty texts have no words; they are copies of each other. Repeated rows are copies. Ids may be null or repeat.
 An empty table gives an empty one. Other columns are ignored.
@@ -145,53 +146,80 @@ def _signed(batches: Iterator[pa.RecordBatch], width: int, bands: int, rows: int
             yield flush(batch.column(0)[start:], nodes, sets)
 
 
-def _checking(width: int):
-    last: list = [None, None]
-
-    def check(a: str, b: str) -> tuple[float]:
-        if last[0] != a:
-            last[:] = [a, shingles(_words(a), width)]
-        return (similarity(last[1], shingles(_words(b), width)),)
-
-    return check
-
-
-def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 5) -> DataFrame:
+def linked(sets: list[tuple[np.ndarray, np.ndarray]], threshold: float, columns: int = 4096) -> np.ndarray:
+    """For each weighted set the first one it is connected to by similarities of at least the threshold."""
+    n = len(sets)
+    # the k-th occurrence of a shingle is an element of its own: then the weighted similarity is that of plain sets
+    elements = np.concatenate([_mix(np.repeat(e, c) + (np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)).astype(np.uint64) * _STEP) for e, c in sets])
+    owner = np.repeat(np.arange(n), [c.sum() for _, c in sets])
+    order = np.argsort(elements, kind="stable")
+    elements, owner = elements[order], owner[order]
+    new = np.r_[True, elements[1:] != elements[:-1]]
+    column = np.cumsum(new) - 1
+    shared = np.bincount(column)[column] > 1  # an element of one set only adds to no intersection
+    owner, column = owner[shared], column[shared]
+    column = np.cumsum(np.r_[True, column[1:] != column[:-1]]) - 1 if len(column) else column
+    both = np.zeros((n, n), np.float32)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, columns):
+        here = slice(*np.searchsorted(column, [start, start + columns]))
+        matrix = np.zeros((n, columns), np.float32)
+        matrix[owner[here], column[here] - start] = 1
+        both += matrix @ matrix.T
+    size = np.array([c.sum() for _, c in sets], float)
+    near = both / (size[:, None] + size[None, :] - both) >= threshold
+    np.fill_diagonal(near, True)
+    label = np.arange(n)
+    while True:
+        least = np.where(near, label[None, :], n).min(axis=1)
+        least = least[least]
+        if (least == label).all():
+            return label
+        label = least
+
+
+def near_classes(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 5, block: int = 128, most_blocks: int = 16, large: int = 30_000
+) -> DataFrame:
     """doc_id, class_id (the least id of the class), class_size, copies (rows of the same word sequence) for each row.
 
-    With 32 bands of 5 coordinates a pair at 0.8 shares no band once in 300,000 times, one at 0.85 once in 50 million."""
+    With 32 bands of 5 coordinates a pair at 0.8 shares no band once in 300,000 times, one at 0.85 once in 50 million.
+    A component has a block for each `block` texts, up to `most_blocks`; each two blocks meet in one group. Components
+    of more than `large` texts are compared bucket by bucket instead, which costs more copies of their texts and holds
+    the same pairs that share a band."""
     given = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = given.schema["doc_id"].dataType.simpleString()
     signed = checkpointed(given.mapInArrow(partial(_signed, width=width, bands=bands, rows=rows), f"doc_id {kind}, node binary, bands array<bigint>"))
     nodes = checkpointed(signed.groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.any_value("bands").alias("bands")))
 
     in_bands = nodes.select("node", F.explode("bands").alias("band"))
-    shared = in_bands.groupBy("band").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    shared = in_bands.groupBy("band").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = checkpointed(in_bands.join(shared, "band"))
-    texts = None
-
-    def links(pairs: DataFrame) -> DataFrame:
-        """Of the pairs (a, b), those that are similar."""
-        found = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-        return checkpointed(per_row(found, ["a", "b"], ["text_a", "text_b"], "similarity double", partial(_checking, width)).filter(F.col("similarity") >= threshold).select("a", "b"))
-
-    pairs = checkpointed(members.filter("node > least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct())
-    wanted = checkpointed(members.select("node").distinct().join(nodes.select("node", F.col("first").alias("doc_id")), "node"))
-    rows_of = likely_in(given, "doc_id", wanted)
-    keyed = per_row(rows_of, ["doc_id", "text"], ["text"], "key binary", _node_of)
-    texts = checkpointed(keyed.join(wanted, (keyed["key"] == wanted["node"]) & keyed["doc_id"].eqNullSafe(wanted["doc_id"])).select("node", "text").dropDuplicates(["node"]))
-    edges = links(pairs)
-    label = components(edges)
-
-    labelled = checkpointed(members.select("band", "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node")))
-    mixed = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("band")
-    rest = labelled.join(mixed, "band")
-    one, other = (rest.select("band", F.col("node").alias(n), F.col("label").alias(f"label_{n}")) for n in "ab")
-    across = one.join(other, "band").filter("label_a < label_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = links(across.join(pairs, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        label = components(edges.unionAll(more))
-
+    ties = components(members.filter("node > least").select("least", "node"), "least", "node")
+    sizes = ties.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    tied = checkpointed(ties.join(sizes, "label").join(nodes.select("node", F.col("first").alias("doc_id")), "node"))
+
+    keyed = per_row(likely_in(given, "doc_id", tied), ["doc_id", "text"], ["text"], "key binary", _node_of)
+    mine = (keyed["key"] == tied["node"]) & keyed["doc_id"].eqNullSafe(tied["doc_id"])
+    texts = keyed.join(tied, mine).select("node", "text", "label", "n")
+    few = texts.filter(F.col("n") <= large).withColumn("set", F.struct("label", F.lit(0).cast("bigint").alias("band")))
+    if not sizes.filter(F.col("n") > large).isEmpty():
+        buckets = members.select("node", F.col("band").alias("of_band"), F.col("n").alias("of_n"))
+        many = texts.filter(F.col("n") > large).drop("n").join(buckets, "node").withColumn("set", F.struct("label", F.col("of_band").alias("band"))).withColumn("n", F.col("of_n"))
+        few = few.select("node", "text", "set", "n").unionAll(many.select("node", "text", "set", "n"))
+    blocks = F.least(F.lit(most_blocks), F.ceil(F.col("n") / F.lit(block)))
+    one = few.select("node", "text", "set", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).alias("mine"))
+    met = one.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    met = met.select("node", "text", "set", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+
+    def links(table: pa.Table) -> pa.Table:
+        table = table.sort_by("node")
+        label = linked([shingles(_words(t), width) for t in table.column("text").to_pylist()], threshold)
+        far = np.flatnonzero(label != np.arange(len(label)))
+        found = table.column("node").combine_chunks()
+        return pa.table({"a": found.take(pa.array(label[far])), "b": found.take(pa.array(far))})
+
+    found = met.groupBy("set", "i", "j").applyInArrow(links, "a binary, b binary")
+    label = components(found)
     classes = nodes.select("node", "first", "copies").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     ids = classes.groupBy("label").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size"))
     by_node = classes.join(ids, "label").select("node", "class_id", "class_size", "copies")
