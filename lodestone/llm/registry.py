@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import byte_cnn, compression, fingerprint, mixing, neardup, pieces, pseudonyms, secret_scan, url_filter
+from lodestone.llm import byte_cnn, compression, fingerprint, mixing, neardup, pieces, preference, pseudonyms, secret_scan, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,12 @@ def piece_model() -> bytes:
     return pieces.read_model(public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op1_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = preference.formatted(preference.neighbour_pairs(_table(spark, sf_dir, "conversations")))
+    masks = [F.expr(preference.span_text(f"{side}_spans")).alias(f"{side}_mask") for side in ("chosen", "rejected")]
+    return found.select("pair_id", "n_common", "prompt", "chosen", "rejected", *masks)
+
+
 def op2_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(_table(spark, sf_dir, "documents"), secret_scan.default_forest(spark))
 
@@ -70,6 +76,7 @@ def op10_url_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     found = (
+        op1_preference_pairs,
         op2_secret_forest,
         op3_compression_bands,
         op4_feistel_pseudonyms,
@@ -84,4 +91,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_preference_pairs": preference.ORACLE}
