@@ -71,8 +71,8 @@ def _best(k: int):
     def run(corpus: pa.Table, queries: pa.Table) -> pa.Table:
         if not corpus.num_rows or not queries.num_rows:
             return pa.table({"query_id": pa.array([], pa.int64()), "doc_id": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})
-        c, q = (np.stack([np.asarray(v, np.float64) for v in t.column("vector").to_pylist()]) for t in (corpus, queries))
-        ids, asked = corpus.column("id").to_numpy(), queries.column("id").to_numpy()
+        c, q = (np.array(column.to_pylist(), np.float64) for column in (corpus.column("vector"), queries.column("sought")))
+        ids, asked = corpus.column("id").to_numpy(), queries.column("asked").to_numpy()
         sims = np.round(q @ c.T, 6)
         order = np.lexsort((np.broadcast_to(ids, sims.shape), -sims), axis=1)[:, :k]
         return pa.table({"query_id": np.repeat(asked, order.shape[1]), "doc_id": ids[order].ravel(), "sim": np.take_along_axis(sims, order, 1).ravel()})
@@ -93,9 +93,8 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int, rows: int = 2048, asked:
     other = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     left = corpus.join(cells, "cell").select("cell", "id", "vector", own("n_c").alias("c"), other("n_q").alias("q"))
-    right = queries.join(cells, "cell").select("cell", "id", "vector", other("n_c").alias("c"), own("n_q").alias("q"))
-    keys = ["cell", "c", "q"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_best(k), "query_id long, doc_id long, sim double")
+    right = queries.join(cells, "cell").select(F.col("cell").alias("of"), F.col("id").alias("asked"), F.col("vector").alias("sought"), other("n_c").alias("at_c"), own("n_q").alias("at_q"))
+    found = left.groupBy("cell", "c", "q").cogroup(right.groupBy("of", "at_c", "at_q")).applyInArrow(_best(k), "query_id long, doc_id long, sim double")
     return top_k(found, k, "sim")
 
 
@@ -150,7 +149,7 @@ def weight_collections(scored: DataFrame, docs: DataFrame, weights: dict[str, fl
     """query_id, doc_id, collection, score times its collection's weight. docs: doc_id, collection."""
     pairs = (weights or COLLECTIONS).items()
     weight = F.element_at(F.create_map(*(F.lit(x) for p in pairs for x in p)), F.col("collection"))
-    return scored.join(docs.select("doc_id", "collection"), "doc_id").select("query_id", "doc_id", "collection", F.round(F.col("score") * weight, 6).alias("score"))
+    return scored.join(docs.select("doc_id", "collection"), "doc_id").select("query_id", "doc_id", "collection", (F.col("score") * weight).alias("score"))
 
 
 def rerank(candidates: DataFrame, queries: DataFrame, docs: DataFrame, top_n: int, query_id: str = "query_id") -> DataFrame:
