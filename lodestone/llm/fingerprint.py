@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.tasks import checkpointed, per_row
+from lodestone.llm.tasks import checkpointed, per_row, stored
 
 
 def canonical(text: str | None) -> str:
@@ -62,13 +62,13 @@ def grouped(rows: DataFrame, docs: DataFrame, text: str = "text", doc_id: str =
     """Adds group_id (the least id of the rows whose canonical text is the same) and group_size to `rows`, which has
     the id and the `fingerprint` of every row of `docs`.
 
-    Only texts whose fingerprint occurs twice are compared. A bitmap of at most `most_bits` bits, about 16 for each
+    Only texts whose fingerprint occurs twice are compared. A bitmap of at most `most_bits` bits, about 64 for each
     such fingerprint, lets the second scan leave out nearly all others before the shuffle; where it is too small for
     the input, more texts are compared and the result is the same."""
     buckets = checkpointed(rows.groupBy("fingerprint").agg(F.min(doc_id).alias("group_id"), F.count(F.lit(1)).alias("group_size")))
     shared = buckets.filter("group_size > 1")
     n = shared.count()
-    bits = 1 << int(np.clip(np.ceil(np.log2(16 * max(1, n))), 16, np.log2(most_bits)))
+    bits = 1 << int(np.clip(np.ceil(np.log2(64 * max(1, n))), 16, np.log2(most_bits)))
     slot = F.conv(F.substring("fingerprint", 1, 15), 16, 10).cast("long").bitwiseAND(F.lit(bits - 1)) + 1
     bitmap = np.zeros(bits // 8, np.uint8)
     for part in shared.groupBy(F.bitmap_bucket_number(slot).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).toLocalIterator():
@@ -138,4 +138,4 @@ def edits(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("next_fingerprint", F.lead("fingerprint").over(down())).filter("extra = 0")
     like = lambda other: (F.col("fingerprint") == F.col(other)).cast("double")
     rows = rows.withColumns({"near_edited": like("edited_fingerprint"), "near_next": like("next_fingerprint")})
-    return checkpointed(rows.drop("block", "extra", "tie", "next_fingerprint"))
+    return stored(rows.drop("block", "extra", "tie", "next_fingerprint"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from functools import partial
 
@@ -47,6 +48,13 @@ def checkpointed(rows: DataFrame) -> DataFrame:
     return rows.checkpoint()
 
 
+def stored(rows: DataFrame) -> DataFrame:
+    """The rows, written once as a Parquet table in the shared folder: for wide rows, which take less disk so."""
+    path = f"{shared_folder(rows.sparkSession)}/{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def likely_in(rows: DataFrame, key: str, wanted: DataFrame, most_bits: int = 1 << 30) -> DataFrame:
     """The rows whose key occurs in the column `key` of `wanted`, and a few others: a filter on the scan, for a join
     that follows. Its bitmap has about 16 bits for each wanted key and at most `most_bits`, 128 MB; with more keys
