@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lodestone.llm.tasks import per_row
+from lodestone.llm.tasks import bounded_batches, per_row
 
 SYMBOLS = "#*$%&|<>"
 ASCII_SPACE = " \t\n\r\x0b\x0c"
@@ -114,4 +114,5 @@ def _passed(batches: Iterator[pa.RecordBatch], text: str, level: int, options: d
 
 def keep(docs: DataFrame, text: str = "text", level: int = 3, **options) -> DataFrame:
     """The rows that the rules keep, with all their columns."""
+    bounded_batches(docs.sparkSession)
     return docs.mapInArrow(partial(_passed, text=text, level=level, options=options), docs.schema)

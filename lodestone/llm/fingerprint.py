@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.tasks import checkpointed, per_row, stored
+from lodestone.llm.tasks import bounded_batches, checkpointed, per_row, stored
 
 
 def canonical(text: str | None) -> str:
@@ -79,6 +79,7 @@ def grouped(rows: DataFrame, docs: DataFrame, text: str = "text", doc_id: str =
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _suspects(batches, sent.value, bits)
 
+    bounded_batches(docs.sparkSession)
     forms = docs.select(text).mapInArrow(suspects, "fingerprint string, form string")
     same = forms.groupBy("fingerprint", "form").agg(F.count(F.lit(1)).alias("n"))  # compares the bytes
     collided = checkpointed(same.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1"))

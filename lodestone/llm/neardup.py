@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import components
-from lodestone.llm.tasks import checkpointed, likely_in, per_row
+from lodestone.llm.tasks import bounded_batches, checkpointed, likely_in, per_row
 
 MASK = (1 << 64) - 1
 _ODD, _STEP, _OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7)
@@ -120,7 +120,7 @@ def _words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()  # at ASCII white space
 
 
-def _signed(batches: Iterator[pa.RecordBatch], width: int, bands: int, rows: int, work: int = 400_000) -> Iterator[pa.RecordBatch]:
+def _signed(batches: Iterator[pa.RecordBatch], width: int, bands: int, rows: int, work: int = 200_000) -> Iterator[pa.RecordBatch]:
     """doc_id, node (digest of the word sequence), bands (empty where there are no words)."""
     import xxhash
 
@@ -178,7 +178,7 @@ def linked(sets: list[tuple[np.ndarray, np.ndarray]], threshold: float, columns:
 
 
 def near_classes(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 5, block: int = 128, most_blocks: int = 16, large: int = 30_000
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 5, block: int = 128, most_blocks: int = 32, large: int = 16_000
 ) -> DataFrame:
     """doc_id, class_id (the least id of the class), class_size, copies (rows of the same word sequence) for each row.
 
@@ -188,6 +188,7 @@ def near_classes(
     the same pairs that share a band."""
     given = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = given.schema["doc_id"].dataType.simpleString()
+    bounded_batches(docs.sparkSession)
     signed = checkpointed(given.mapInArrow(partial(_signed, width=width, bands=bands, rows=rows), f"doc_id {kind}, node binary, bands array<bigint>"))
     nodes = checkpointed(signed.groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.any_value("bands").alias("bands")))
 

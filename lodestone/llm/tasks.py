@@ -25,9 +25,18 @@ def _batches(batches: Iterator[pa.RecordBatch], kept: list[str], texts: list[str
         yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Holds the session's Arrow batches to so many rows: a worker keeps a batch of texts several times over, and with
+    Spark's 10,000 rows of long texts two workers and their JVM don't fit a small executor."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def per_row(rows: DataFrame, kept: list[str], texts: list[str], columns: str, start: Callable) -> DataFrame:
     """The columns `kept` of each row as they are, and new `columns` (a DDL string) that start()(*texts) returns as a
     tuple. start runs once a task; kept columns stay in Arrow, so that nulls and 64-bit ids lose nothing."""
+    bounded_batches(rows.sparkSession)
     schema = T.StructType([rows.schema[k] for k in kept] + T.StructType.fromDDL(columns).fields)
     run = partial(_batches, kept=kept, texts=texts, start=start, schema=to_arrow_schema(schema))
     return rows.select(*dict.fromkeys([*kept, *texts])).mapInArrow(run, schema)
@@ -59,6 +68,7 @@ def likely_in(rows: DataFrame, key: str, wanted: DataFrame, most_bits: int = 1 <
     """The rows whose key occurs in the column `key` of `wanted`, and a few others: a filter on the scan, for a join
     that follows. Its bitmap has about 16 bits for each wanted key and at most `most_bits`, 128 MB; with more keys
     than that more rows pass, and the join still decides."""
+    bounded_batches(rows.sparkSession)
     n = wanted.count()
     bits = 1 << min(max(16, (16 * n).bit_length()), most_bits.bit_length() - 1)
     slot = F.xxhash64(key).bitwiseAND(F.lit(bits - 1)) + 1

@@ -1,0 +1,388 @@
+import base64
+import collections
+import hashlib
+import re
+import struct
+import unicodedata
+
+import numpy as np
+import pytest
+import sentencepiece
+import zstandard
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from lodestone.llm import byte_cnn, compression, fingerprint, mixing, neardup, pieces, preference, pseudonyms, registry, secret_scan, url_filter
+from tests.llm.tables import by_id, documents, prose
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def codec():
+    return pieces.PieceCodec(registry.piece_model())
+
+
+@pytest.fixture(scope="module")
+def library():
+    return sentencepiece.SentencePieceProcessor(model_proto=registry.piece_model())
+
+
+# 1 preference formatting
+
+
+def test_preference_prefix_completions_and_spans(spark):
+    rows = [
+        (1, "chosen", 0, "user", "hi"), (1, "chosen", 1, "assistant", "yes"), (1, "chosen", 2, "user", "ok"), (1, "chosen", 3, "assistant", "bye"),
+        (1, "rejected", 0, "user", "hi"), (1, "rejected", 1, "assistant", "no"),
+        (2, "chosen", 0, "user", "same"), (2, "rejected", 0, "user", "same"),
+        (3, "chosen", 0, None, None),
+        (4, "other", 0, "user", "left out"),
+    ]
+    turns = spark.createDataFrame(rows, "pair_id int, side string, turn int, role string, text string").withColumn("prompt", F.lit("clash"))
+    got = {r.pair_id: r for r in preference.formatted(turns).collect()}
+    assert set(got) == {1, 2, 3}
+    one = got[1]
+    assert one.n_common == 1 and one.prompt == "<|im_start|>user\nhi<|im_end|>\n"
+    learned = [one.chosen[s.start - 1 : s.start - 1 + s.length] for s in one.chosen_spans]
+    assert learned == ["yes<|im_end|>", "bye<|im_end|>"] and one.chosen.count("<|im_start|>") == 3
+    assert [one.rejected[s.start - 1 : s.start - 1 + s.length] for s in one.rejected_spans] == ["no<|im_end|>"]
+    assert (got[2].n_common, got[2].chosen, got[2].rejected, got[2].chosen_spans) == (1, "", "", [])
+    assert (got[3].n_common, got[3].rejected) == (0, "")
+    assert preference.formatted(turns.limit(0)).count() == 0
+
+
+# 2 secret scans
+
+
+@pytest.fixture(scope="module")
+def forest(spark):
+    return secret_scan.default_forest(spark)
+
+
+def test_secrets_are_masked_and_look_alikes_stay(spark, forest):
+    secret = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    texts = {
+        1: f'see token = "{secret}" there',
+        2: f"fixed in commit {secret} today",
+        3: "password=b7db7aa4a5fcc78305 at the end",
+        4: "card 4041894974608795 and getUserHandlerName2 in /usr/share/doc2/lib",
+        5: None,
+        6: "",
+        7: f"{prose(1, 20_000)} api_key: {secret}",
+    }
+    docs = spark.createDataFrame([(k, t, "c") for k, t in texts.items()], "doc_id int, text string, values__x string")
+    out = by_id(secret_scan.redact(docs, forest))
+    assert out[1].text == 'see token = "[SECRET]" there' and out[3].text == "password=[SECRET] at the end"
+    assert all(out[k].text == texts[k] for k in (2, 4, 5, 6)) and out[7].text == texts[7].replace(secret, "[SECRET]")
+    found = secret_scan.scan(docs, forest).filter("is_secret").collect()
+    assert {(r.doc_id, texts[r.doc_id][r.start - 1 : r.start - 1 + len(r.value)] == r.value) for r in found} == {(1, True), (3, True), (7, True)}
+    assert secret_scan.redact(docs.limit(0), forest).count() == 0
+
+
+def test_forest_on_findings_it_has_not_seen(spark):
+    rows = secret_scan.generated_findings(spark, 4000).withColumn("n", F.monotonically_increasing_id())
+    model = secret_scan.train(rows.filter("n % 5 <> 0"))
+    some = lambda c: f"coalesce({c}, '')"
+    held = rows.filter("n % 5 = 0").select("label", F.expr(secret_scan._described(some("before"), "candidate", some("after"), some("path"))).alias("x"))
+    right = held.select(((F.expr(f"get(transform(array(x), x -> {model}), 0)") >= 0.5).cast("int") == F.col("label")).cast("int").alias("ok")).agg(F.avg("ok")).first()[0]
+    assert right > 0.97
+
+
+# 3 compression bands
+
+
+def counted(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    windows = collections.Counter(zip(w, w[1:], w[2:], strict=False))
+    covered = {k for i in range(len(w) - 2) if windows[tuple(w[i : i + 3])] > 1 for k in (i, i + 1, i + 2)}
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab \n\t#é|\x0b\x85\u3000", max_size=80))
+def test_word_counts_equal_brute_force(text):
+    assert compression.judge(text, zstandard.ZstdCompressor())[:5] == counted(text)
+
+
+def test_bands_keep_prose_and_reject_repetition_and_noise(spark):
+    noise = " ".join(base64.b64encode(hashlib.sha256(str(i).encode()).digest()).decode() for i in range(300))
+    half = prose(1, 600) + " " + " ".join(prose(9, 300).split()[i % 7] + f"{i % 5}" for i in range(3000))
+    rows = [(1, prose(1, 500)), (2, noise), (3, prose(2, 60) + " zq" * 30 + (" ab" * 50)), (4, half)]
+    rows += [(r.doc_id, r.text) for r in documents(spark).collect() if r.doc_id and r.doc_id > 4]
+    got = by_id(compression.rules(spark.createDataFrame(rows, "doc_id long, text string").withColumn("ratio", F.lit("clash"))))
+    assert got[1].kept and got[7].kept and not got[2].kept and not got[2].base_failed and not got[3].kept and not got[4].kept
+    assert not got[5].kept and got[5].ratio is None and got[6].n_words == 0
+
+
+def test_rules_on_any_table(spark):
+    docs = documents(spark)
+    assert compression.rules(docs).count() == docs.count() and compression.rules(documents(spark, True)).count() == 0
+    kept = compression.keep(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 7, 8, 8, 10]
+
+
+# 4 pseudonyms
+
+
+def test_pseudonyms_keep_format_validity_and_links(spark):
+    text = "card 4111111111111111 or 4111-1111-1111-1111, +1 (743) 555-3824, 152.143.123.131, a.b1@x.org, 123-45-6789, 2024-02-29 31.12.1999"
+    rows = [(1, text), (2, "again 4111 1111 1111 1111 x@y"), (3, None), (4, ""), (5, "4111111111111112 999.1.1.1 2023-02-30 000-12-3456 v1.2.3"), (6, prose(1, 20_000) + " 2024-02-29")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string").withColumn("kind", F.lit("clash"))
+    out = by_id(pseudonyms.pseudonymised(docs, "k"))
+    a = out[1]
+    assert [f.kind for f in a.findings] == ["card", "card", "phone", "ipv4", "email", "ssn", "date", "date"]
+    assert re.sub(r"[0-9]", "0", re.sub(r"[a-z]", "a", re.sub(r"(?:\d+\.){3}\d+", "ip", a.text))) == re.sub(r"[0-9]", "0", re.sub(r"[a-z]", "a", re.sub(r"(?:\d+\.){3}\d+", "ip", text)))
+    plain = a.findings[0].pseudonym
+    assert plain != "4111111111111111" and a.findings[1].pseudonym.replace("-", "") == plain and plain in out[2].text.replace(" ", "")
+    digits = [int(c) for c in reversed(plain)]
+    assert (sum(digits[::2]) + sum(sum(divmod(2 * d, 10)) for d in digits[1::2])) % 10 == 0
+    assert out[3].text is None and out[4].text == "" and out[5].text == rows[4][1] and out[5].findings == []
+    assert out[6].text.startswith(prose(1, 20_000)) and out[6].findings[0].pseudonym == a.findings[6].pseudonym
+    assert by_id(pseudonyms.pseudonymised(docs, "other"))[1].text != a.text
+    assert pseudonyms.pseudonymised(docs.limit(0), "k").count() == 0
+
+
+def test_dates_are_permuted_one_to_one(spark):
+    days = spark.range(0, 4000).select(F.col("id").alias("doc_id"), F.date_format(F.date_add(F.lit("1990-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("text"))
+    out = [r.text for r in pseudonyms.pseudonymised(days, "k").collect()]
+    assert len(set(out)) == 4000 and all(re.fullmatch(r"\d{4}-\d\d-\d\d", t) for t in out)
+
+
+# 5 mixing
+
+
+def test_mix_meets_its_targets_and_is_the_same_each_time(spark):
+    rows = [(i, prose(i, 20 + i % 90), f"s{i % 5}" if i % 7 else None) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("rate", F.lit("clash"))
+    results = []
+    for n in (3, 7):
+        sizes = mixing.sized(docs.repartition(n))
+        targets = mixing.share_out(mixing.cyclic_weights(sizes))
+        results.append(sorted((r.doc_id, r.size, r.target, r.copies) for r in mixing.mix(sizes, targets).collect()))
+    assert results[0] == results[1] and len(results[0]) == 1500
+    whole = {r.source: r for r in targets.collect()}
+    total = sum(r.source_size for r in whole.values())
+    assert abs(sum(r.target for r in whole.values()) - 1.5 * total) < 1e-6 * total
+    open_ = {s: r.target / r.weight for s, r in whole.items() if r.target < 2 * r.source_size - 1e-6}
+    assert max(open_.values()) - min(open_.values()) < 1e-6 * total and [whole[s].weight for s in ("s0", "s1", "s2", "s3", "s4", None)] == [3, 1, 2, 3, 1, 2]
+    taken = collections.Counter()
+    for r in mixing.mix(sizes, targets).collect():
+        taken[r.source] += r.copies * r.size
+        assert 0 <= r.copies <= 2
+    assert all(abs(taken[s] - r.target) <= 0.01 * r.target for s, r in whole.items())
+
+
+def test_mix_of_any_table(spark):
+    docs = documents(spark)
+    sizes = mixing.sized(docs)
+    mixed = mixing.mix(sizes, mixing.share_out(mixing.cyclic_weights(sizes)))
+    assert mixed.count() == docs.count()
+    again = mixing.repeated(docs, mixed)
+    assert again.columns == docs.columns and again.count() == mixed.agg(F.sum("copies")).first()[0]
+    none = mixing.sized(documents(spark, True))
+    assert mixing.mix(none, mixing.share_out(mixing.cyclic_weights(none))).count() == 0
+
+
+# 6 byte network
+
+
+def test_network_learns_and_reads_the_whole_text(spark):
+    good = [(i, prose(i, 60 + i % 200)) for i in range(0, 300)]
+    bad = [(i, prose(i, 60 + i % 90).upper().replace(" ", "!! ")) for i in range(300, 420)]
+    docs = spark.createDataFrame(good + bad, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 300)) for i in range(420) if i % 3] + [(7, None), (8, 5)], "doc_id long, quality int")
+    texts, known, odds = byte_cnn.sample(docs, labels, per_class=150)
+    w = byte_cnn.fit(texts, known, odds=odds, least_steps=200)
+    rows = [(r.doc_id, r.score) for r in byte_cnn.scores(docs, w).collect() if r.doc_id % 3 == 0]
+    assert np.mean([(s >= 0.5) == (i < 300) for i, s in rows]) > 0.97
+    tail = spark.createDataFrame([(1, prose(1, 9000)), (2, prose(1, 9000) + bad[0][1] * 3), (3, None), (4, "")], "doc_id long, text string").withColumn("score", F.lit("clash"))
+    s = {r.doc_id: r.score for r in byte_cnn.scores(tail, w).collect()}
+    assert s[2] < s[1] and s[3] == s[4] and all(0 <= x <= 1 for x in s.values())
+    assert [r.score for r in byte_cnn.scores(tail, None).collect()] == [0.5] * 4 and byte_cnn.scores(tail.limit(0), w).count() == 0
+
+
+# 7 near-duplicates
+
+
+def brute_classes(texts):
+    sets = {k: neardup.shingles((t or "").encode().split(), 5) for k, t in texts.items()}
+    parent = {k: k for k in texts}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    keys = sorted(texts)
+    for i, a in enumerate(keys):
+        for b in keys[:i]:
+            if neardup.similarity(sets[a], sets[b]) >= 0.8:
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    return {k: find(k) for k in keys}
+
+
+def test_classes_equal_brute_force(spark):
+    texts, r = {}, np.random.default_rng(3)
+    for k in range(12):
+        base = prose(k, 40 + 12 * k).split()
+        for v in range(14):
+            words = list(base)
+            for at in r.integers(0, len(words), v // 3):
+                words[at] = f"new{r.integers(1000)}"
+            texts[100 * k + v] = " ".join(words)
+    texts |= {5000: "", 5001: None, 5002: " \n", 5003: "one two", 5004: "one  two", 5005: prose(77, 20_000), 5006: prose(77, 20_000) + " more"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("class_id", F.lit("clash"))
+    want = brute_classes(texts)
+    for options in ({}, {"block": 4}, {"large": 3, "block": 4}):
+        assert {r.doc_id: r.class_id for r in neardup.near_classes(docs, **options).collect()} == want
+    assert sorted(r.doc_id for r in neardup.keep_one(docs).collect()) == sorted(set(want.values()))
+
+
+def test_near_duplicates_of_any_table(spark):
+    docs = documents(spark)
+    rows = neardup.near_classes(docs).collect()
+    classes = {r.doc_id: r.class_id for r in rows}
+    assert len(rows) == docs.count() and classes[2] == classes[3] == 1 and classes[5] == classes[6] == classes[4] == 4
+    kept = neardup.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 4, 7, 8, 9, 10]
+    assert neardup.near_classes(documents(spark, True)).count() == 0
+
+
+@pytest.mark.parametrize("likeness", [0.3, 0.8, 0.95])
+def test_signatures_estimate_weighted_similarity(likeness):
+    r = np.random.default_rng(int(100 * likeness))
+    element = r.integers(0, 1 << 62, 300).astype(np.uint64)
+    a = r.uniform(0.3, 4, 300)
+    b = a * np.where(r.random(300) < likeness, 1, 0.2)
+    s = neardup.signatures([(element, a), (element, b)], 3000)
+    want = np.minimum(a, b).sum() / np.maximum(a, b).sum()
+    assert abs((s[0] == s[1]).mean() - want) < 4 * (want * (1 - want) / 3000) ** 0.5 + 0.002
+
+
+# 8 fingerprints
+
+
+def test_canonical_form():
+    same = ["Élan  vital", "e\u0301LAN\tvital ", "élan\u3000VITAL", "Ｅ\u0301lan vital"]
+    assert len({fingerprint.digest(fingerprint.canonical(t)) for t in same}) == 1
+    assert fingerprint.canonical(None) == "" == fingerprint.canonical(" \n")
+
+
+def test_fingerprints_edits_and_groups_equal_brute_force(spark):
+    docs = documents(spark).filter("doc_id is not null").dropDuplicates(["doc_id"])
+    given_ = sorted(((r.doc_id, r.text or "") for r in docs.collect()), reverse=True)
+    got = by_id(fingerprint.grouped(fingerprint.edits(docs), docs))
+    for i, (k, t) in enumerate(given_):
+        other = given_[(i + 1) % len(given_)][1]
+        third = len(t) // 3
+        edited = t[: len(t) - third] + other[:third]
+        assert got[k].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and got[k].n_chars == len(t)
+        form = " ".join(unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", t).casefold()).split())
+        members = [d for d, x in given_ if fingerprint.canonical(x) == form]
+        assert (got[k].group_id, got[k].group_size) == (min(members), len(members))
+        assert got[k].near_next == float(fingerprint.canonical(other) == form) and got[k].near_edited == float(fingerprint.canonical(edited) == form)
+    assert fingerprint.edits(documents(spark)).count() == 12 and fingerprint.edits(documents(spark, True)).count() == 0
+
+
+def test_equal_digests_of_other_texts_are_told_apart(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "b"), (2, "a"), (3, "A "), (4, "c")], "doc_id long, text string")
+    # a digest that collides on purpose, in the driver and, as it is sent with the functions, in the tasks
+    forged = docs.select("doc_id", F.lit("f" * 32).alias("fingerprint"))
+    monkeypatch.setattr(fingerprint, "_suspects", lambda batches, bitmap, bits: _forged(batches))
+    monkeypatch.setattr(fingerprint, "_forms", _forged_forms)
+    got = {r.doc_id: (r.fingerprint, r.group_id, r.group_size) for r in fingerprint.grouped(forged, docs).collect()}
+    assert got == {1: ("f" * 32 + "-1", 1, 1), 2: ("f" * 32, 2, 2), 3: ("f" * 32, 2, 2), 4: ("f" * 32 + "-2", 4, 1)}
+
+
+def _forged(batches):
+    import pyarrow as pa
+
+    for b in batches:
+        forms = [fingerprint.canonical(t) for t in b.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(["f" * 32] * len(forms)), pa.array(forms)], ["fingerprint", "form"])
+
+
+def _forged_forms():
+    return lambda t: ("f" * 32, fingerprint.canonical(t))
+
+
+# 9 pieces
+
+ALPHABET = ["  ", " ", "\n", "a", "e", "th", "in", "▁", "é", "\t", "漢", "\r", ";", "0", "{", "The", "ing", "     ", "\x00", "ñ", "<s>", "<0x41>", "😀", "ll", "er", "\u200b"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(ALPHABET), max_size=60).map("".join) | st.text(max_size=60).filter(lambda t: not any(0xD800 <= ord(c) < 0xE000 for c in t)))
+def test_encoding_equals_the_library(codec, library, text):
+    want = library.encode(text, add_bos=True, add_eos=True)
+    assert codec.encode(text) == want and codec.decode(want) == library.decode(want)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 400) | st.integers(28000, 31999), max_size=12))
+def test_decoding_equals_the_library(codec, library, ids):
+    assert codec.decode(ids) == library.decode(ids)
+
+
+def test_long_runs_without_spaces(codec, library):
+    for text in ("a" * 5000, "ab" * 3000, "▁" * 700 + "x", " " * 333, "thinging" * 900):
+        assert codec.encode(text) == library.encode(text, add_bos=True, add_eos=True)
+
+
+def test_round_trip_of_any_table(spark, library):
+    docs = documents(spark).withColumn("n_tokens", F.lit("clash"))
+    model = registry.piece_model()
+    got = pieces.round_trip_digests(docs, model)
+    assert got.count() == 12 and pieces.round_trip_digests(documents(spark, True), model).count() == 0
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for k, r in by_id(got).items():
+        ids = library.encode(texts[k], add_bos=True, add_eos=True)
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(library.decode(ids).encode()).hexdigest()
+    back = pieces.decode(pieces.encode(docs, model, ["doc_id"]), model, ["doc_id"])
+    assert {r.doc_id: r.decoded for r in back.collect()} == texts
+
+
+# 10 URLs
+
+
+def test_hosts_paths_and_rules(spark):
+    rows = [
+        ("HTTP://WWW.Example.COM/en/12?x#y", "www.example.com", "/en/12", "com/en/", "block"),
+        ("http://a.example.com/en/7", "a.example.com", "/en/7", "example.com/en/7", "allow"),
+        ("x://example.net/de/88", "example.net", "/de/88", "example.net/de/8", "block"),
+        ("x://b.net/de/", "b.net", "/de/", "net/de/", "allow"),
+        ("x://org/es/", "org", "/es/", "org/es/", "block"),
+        ("http://example.com?/en/", "example.com", "", None, None),
+        ("http://a://b.org/es/", "a:", "//b.org/es/", None, None),
+        ("example.com/en/", "", "", None, None),
+        (None, "", "", None, None),
+        ("", "", "", None, None),
+    ]
+    pages = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "page_id int, url string").withColumn("verdict", F.lit("clash"))
+    model = url_filter.Filter(url_filter.CharacterModel(["good.example.org/x"]), url_filter.CharacterModel(["casino.example.org/x"]), 0.0)
+    got = {r.page_id: r for r in url_filter.judged(pages, model).collect()}
+    for i, (_, host, path, rule, verdict) in enumerate(rows):
+        assert (got[i].host, got[i].path, got[i].rule) == (host, path, rule)
+        assert got[i].verdict == verdict if verdict else got[i].verdict in ("allow", "block")
+    assert got[8].verdict == got[9].verdict == "allow" and url_filter.judged(pages.limit(0), model).count() == 0
+
+
+def test_model_tells_hosts_that_it_has_not_seen(spark):
+    good = [f"http://{prose(i, 1)}{prose(i + 500, 1)}.example.org/p/{i}" for i in range(300)]
+    bad = [f"http://{a}-{prose(i, 1)[:3]}.example.org/p/{i}" for i, a in enumerate(["casino", "cheap-pills", "free-bets", "adult-x"] * 50)]
+    urls = spark.createDataFrame([(i, u) for i, u in enumerate(good + bad)], "page_id int, url string")
+    model = url_filter.fit(url_filter.examples(urls))
+    fresh = ["http://limapapa.example.org/p/9", "http://casino-royal.example.org/p/9", "http://pills-now.example.org/p/4", "http://hotelecho.example.org/p/1"]
+    got = [r.verdict for r in url_filter.judged(spark.createDataFrame(list(enumerate(fresh)), "page_id int, url string"), model).orderBy("page_id").collect()]
+    assert got == ["allow", "block", "block", "allow"]
+
+
+def test_character_model_is_a_distribution():
+    m = url_filter.CharacterModel(["abcab", "aab"], order=3, alphabet=4)
+    for context in ("", "a", "ab", "zab"):
+        assert abs(sum(m.probability(context, c) for c in "abc\n") - 1) < 1e-9
