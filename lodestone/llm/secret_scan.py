@@ -161,8 +161,12 @@ def scanned(docs: DataFrame, forest: str, text: str = "text", path: str | None =
 
 
 def scan(docs: DataFrame, forest: str, doc_id: str = "doc_id", text: str = "text", path: str | None = None, threshold: float = 0.5) -> DataFrame:
-    """The id, start, value, score, is_secret: a row for each candidate, false ones included."""
-    return scanned(docs, forest, text, path, threshold).select(F.col(doc_id), F.explode("findings__").alias("f")).select(doc_id, "f.*")
+    """The id, start, value, score, is_secret: a row for each candidate, false ones included.
+
+    From a plain explode Catalyst infers a filter on the size of the findings and pushes it to the scan, with all that
+    they are made of written out at each use; after explode_outer the filter stays where it is."""
+    rows = scanned(docs, forest, text, path, threshold).select(F.col(doc_id), F.explode_outer("findings__").alias("f"))
+    return rows.filter("f is not null").select(doc_id, "f.*")
 
 
 def redact(docs: DataFrame, forest: str, text: str = "text", path: str | None = None, threshold: float = 0.5, mask: str = MASK) -> DataFrame:
