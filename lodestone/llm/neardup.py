@@ -11,8 +11,10 @@ exact similarity, and classes are the connected components of the links.
 Copies (equal word sequences) are one node; what follows sees each distinct text once. In each band every text is tied
 to the least node of its bucket, so a bucket of n texts gives n pairs, and the connected components of these ties hold
 every pair that shares a band. Within a component all texts are compared exactly, by products of sparse incidence
-matrices over blocks of bounded size; a block gives at most one link for each of its texts, so a group of near copies
-is not expanded into pairs and loses no link.
+matrices over blocks of bounded size, however large the component; a block gives at most one link for each of its
+texts, so a group of near copies is not expanded into pairs and loses no link. In components of more than one block
+each text is first compared with a few hubs, texts that meet most others in their bands; then only blocks that these
+links do not already put into one class meet. A component whose texts the hubs do not link needs all its block pairs.
 
 Null and empty texts have no words; they are copies of each other. Repeated rows are copies. Ids may be null or repeat.
 An empty table gives an empty one. Other columns are ignored.
@@ -25,11 +27,11 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import components
-from lodestone.llm.tasks import bounded_batches, checkpointed, likely_in, per_row
+from lodestone.llm.tasks import bounded_batches, checkpointed, likely_in, per_row, stored
 
 MASK = (1 << 64) - 1
 _ODD, _STEP, _OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7)
@@ -177,15 +179,48 @@ def linked(sets: list[tuple[np.ndarray, np.ndarray]], threshold: float, columns:
         label = least
 
 
+def _stars(members: DataFrame, block: int, hubs: int) -> DataFrame:
+    """node, hub, part: each text beside the `hubs` hubs it shares most bands with, in parts of about `block` texts;
+    the hub is in each of its parts. members: node, band, n; a band's hub is the text with most others in its bands."""
+    weight = members.groupBy("node").agg(F.sum("n").alias("weight"))
+    of_band = members.join(weight, "node").groupBy("band").agg(F.max_by("node", F.struct("weight", "node")).alias("hub"))
+    near = members.join(of_band, "band").filter("node != hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("bands"))
+    order = Window.partitionBy("node").orderBy(F.col("bands").desc(), "hub")
+    near = checkpointed(near.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= hubs).select("node", "hub"))
+    parts = near.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).alias("parts"))
+    dealt = near.join(parts, "hub").select("node", "hub", F.pmod(F.xxhash64("node"), "parts").alias("part"))
+    return dealt.unionAll(dealt.select(F.col("hub").alias("node"), "hub", "part").distinct())
+
+
+def _met(sets: DataFrame, known: DataFrame, block: int) -> DataFrame:
+    """node, set, mine (its block in the set), others (the blocks it has to meet). sets: node, set; known: node, label.
+
+    A class of `block` texts or more has blocks of its own, which do not meet each other, as it is linked already; the
+    other texts share blocks that meet all. A set of one class has no blocks."""
+    placed = sets.join(known, "node", "left").select("node", "set", F.coalesce("label", "node").alias("class"))
+    placed = checkpointed(placed)
+    classes = placed.groupBy("set", "class").agg(F.count(F.lit(1)).alias("m")).withColumn("unit", F.when(F.col("m") >= block, F.col("class")))
+    units = classes.groupBy("set", "unit").agg(F.ceil(F.sum("m") / F.lit(block)).alias("blocks"), F.count(F.lit(1)).alias("n_classes"))
+    whole = Window.partitionBy("set")
+    before = F.sum("blocks").over(whole.orderBy("unit").rowsBetween(Window.unboundedPreceding, -1))
+    units = units.withColumns({"first": F.coalesce(before, F.lit(0)), "total": F.sum("blocks").over(whole), "n_classes": F.sum("n_classes").over(whole)}).filter("n_classes > 1")
+    of_class = classes.select("set", "class", "unit").join(units.withColumnsRenamed({"set": "of_set", "unit": "of_unit"}), (F.col("set") == F.col("of_set")) & F.col("unit").eqNullSafe(F.col("of_unit")))
+    of_class = of_class.select("set", "class", F.col("unit").isNotNull().alias("own"), "first", "blocks", "total")
+    rows = placed.join(of_class, ["set", "class"]).withColumn("mine", F.col("first") + F.pmod(F.xxhash64("node"), "blocks"))
+    every = F.sequence(F.lit(0).cast("bigint"), F.col("total") - 1)
+    others = F.filter(every, lambda x: ~F.col("own") | (x < F.col("first")) | (x >= F.col("first") + F.col("blocks")))
+    return rows.select("node", "set", "mine", others.alias("others")).filter(F.size("others") > 0)
+
+
 def near_classes(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 5, block: int = 128, most_blocks: int = 32, large: int = 16_000
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 5, block: int = 128, hubs: int = 3, large: int = 16_000
 ) -> DataFrame:
     """doc_id, class_id (the least id of the class), class_size, copies (rows of the same word sequence) for each row.
 
     With 32 bands of 5 coordinates a pair at 0.8 shares no band once in 300,000 times, one at 0.85 once in 50 million.
-    A component has a block for each `block` texts, up to `most_blocks`; each two blocks meet in one group. Components
-    of more than `large` texts are compared bucket by bucket instead, which costs more copies of their texts and holds
-    the same pairs that share a band."""
+    A component has a block for each `block` texts; each two blocks meet in one group, except those of one class by the
+    links to `hubs` hubs of each text. Components of more than `large` texts are compared bucket by bucket instead,
+    which holds the same pairs that share a band."""
     given = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = given.schema["doc_id"].dataType.simpleString()
     bounded_batches(docs.sparkSession)
@@ -201,16 +236,7 @@ def near_classes(
 
     keyed = per_row(likely_in(given, "doc_id", tied), ["doc_id", "text"], ["text"], "key binary", _node_of)
     mine = (keyed["key"] == tied["node"]) & keyed["doc_id"].eqNullSafe(tied["doc_id"])
-    texts = keyed.join(tied, mine).select("node", "text", "label", "n")
-    few = texts.filter(F.col("n") <= large).withColumn("set", F.struct("label", F.lit(0).cast("bigint").alias("band")))
-    if not sizes.filter(F.col("n") > large).isEmpty():
-        buckets = members.select("node", F.col("band").alias("of_band"), F.col("n").alias("of_n"))
-        many = texts.filter(F.col("n") > large).drop("n").join(buckets, "node").withColumn("set", F.struct("label", F.col("of_band").alias("band"))).withColumn("n", F.col("of_n"))
-        few = few.select("node", "text", "set", "n").unionAll(many.select("node", "text", "set", "n"))
-    blocks = F.least(F.lit(most_blocks), F.ceil(F.col("n") / F.lit(block)))
-    one = few.select("node", "text", "set", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).alias("mine"))
-    met = one.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    met = met.select("node", "text", "set", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    texts = stored(keyed.join(tied, mine).select("node", "text"))
 
     def links(table: pa.Table) -> pa.Table:
         table = table.sort_by("node")
@@ -219,7 +245,19 @@ def near_classes(
         found = table.column("node").combine_chunks()
         return pa.table({"a": found.take(pa.array(label[far])), "b": found.take(pa.array(far))})
 
-    found = met.groupBy("set", "i", "j").applyInArrow(links, "a binary, b binary")
+    none = F.lit(0).cast("bigint")
+    one_block = tied.filter(F.col("n") <= block).select("node", F.struct("label", none.alias("band")).alias("set"), none.alias("i"), none.alias("j"))
+    found = one_block.join(texts, "node").groupBy("set", "i", "j").applyInArrow(links, "a binary, b binary")
+    if not sizes.filter(F.col("n") > block).isEmpty():
+        wide = tied.filter(F.col("n") > block).select("node", "label", "n")
+        stars = _stars(members.join(wide.select("node"), "node", "left_semi"), block, hubs)
+        linked_to_hubs = checkpointed(stars.join(texts, "node").groupBy("hub", "part").applyInArrow(links, "a binary, b binary"))
+        buckets = members.select("node", F.col("band").alias("of_band"))
+        sets = wide.filter(F.col("n") <= large).select("node", F.struct("label", none.alias("band")).alias("set"))
+        sets = sets.unionAll(wide.filter(F.col("n") > large).join(buckets, "node").select("node", F.struct("label", F.col("of_band").alias("band")).alias("set")))
+        met = _met(sets, components(linked_to_hubs), block).join(texts, "node").withColumn("other", F.explode("others"))
+        met = met.select("node", "text", "set", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+        found = found.unionAll(linked_to_hubs).unionAll(met.groupBy("set", "i", "j").applyInArrow(links, "a binary, b binary"))
     label = components(found)
     classes = nodes.select("node", "first", "copies").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     ids = classes.groupBy("label").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size"))

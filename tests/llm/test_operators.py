@@ -242,6 +242,26 @@ def test_classes_equal_brute_force(spark):
     assert sorted(r.doc_id for r in neardup.keep_one(docs).collect()) == sorted(set(want.values()))
 
 
+def test_blocks_stay_small_in_large_groups(spark, monkeypatch):
+    r, base, texts = np.random.default_rng(5), prose(5, 150).split(), {}
+    for k in range(400):
+        words = list(base)
+        for at in r.integers(0, len(words), k % 5):
+            words[at] = f"new{r.integers(1000)}"
+        texts[k] = " ".join([*words, f"end{k}"])
+    whole = neardup.linked
+
+    def watched(sets, threshold):
+        assert len(sets) <= 24, len(sets)
+        return whole(sets, threshold)
+
+    monkeypatch.setattr(neardup, "linked", watched)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = brute_classes(texts)
+    for options in ({"block": 4}, {"block": 4, "large": 50}, {"block": 4, "hubs": 1}):
+        assert {x.doc_id: x.class_id for x in neardup.near_classes(docs, **options).collect()} == want
+
+
 def test_near_duplicates_of_any_table(spark):
     docs = documents(spark)
     rows = neardup.near_classes(docs).collect()
