@@ -117,6 +117,21 @@ def test_bands_keep_prose_and_reject_repetition_and_noise(spark):
     assert not got[5].kept and got[5].ratio is None and got[6].n_words == 0
 
 
+def test_bands_reject_planted_noise_and_keep_clean_documents(spark):
+    import pyarrow.parquet as pq
+
+    r, z = np.random.default_rng(1), zstandard.ZstdCompressor(level=3)
+    letters = lambda n: " ".join("".join(chr(97 + c) for c in r.integers(0, 26, r.integers(3, 13))) for _ in range(n))
+    hexes = lambda n: " ".join(hashlib.sha1(str(i).encode()).hexdigest() for i in range(n))
+    for text in (letters(250), letters(500), letters(3000), hexes(100), hexes(500), hexes(2000)):
+        counts = compression.judge(text, z)
+        assert not counts[5] and not counts[6]
+    docs, labels = (pq.read_table(f"/root/testdata/sf0.01/{t}.parquet").to_pylist() for t in ("documents", "labels"))
+    good = {x["doc_id"] for x in labels if x["quality"] == 1}
+    judged = [compression.judge(x["text"], z) for x in docs if x["doc_id"] in good]
+    assert len(judged) > 300 and all(j[6] or j[5] for j in judged)
+
+
 def test_rules_on_any_table(spark):
     docs = documents(spark)
     assert compression.rules(docs).count() == docs.count() and compression.rules(documents(spark, True)).count() == 0
