@@ -73,11 +73,13 @@ def reference_text(references: str = "references") -> F.Column:
 
 
 def coverage(queries: DataFrame, ranked: DataFrame, docs: DataFrame) -> DataFrame:
-    """query_id, top_sim: the greatest share of a query's distinct terms that one of its documents holds."""
+    """query_id, top_sim: the greatest share of a query's distinct terms that one of its documents holds; 0 for a query
+    without any document."""
     asked = queries.groupBy("query_id").agg(F.collect_set("term").alias("asked"))
     held = docs.select("doc_id", F.array_distinct(terms(F.col("text"))).alias("held"))
     rows = ranked.select("query_id", "doc_id").join(held, "doc_id").join(asked, "query_id")
-    return rows.groupBy("query_id").agg(F.round(F.max(F.size(F.array_intersect("asked", "held")) / F.size("asked")), 6).alias("top_sim"))
+    best = rows.groupBy("query_id").agg(F.round(F.max(F.size(F.array_intersect("asked", "held")) / F.size("asked")), 6).alias("top_sim"))
+    return asked.select("query_id").join(best, "query_id", "left").select("query_id", F.coalesce("top_sim", F.lit(0.0)).alias("top_sim"))
 
 
 def answer(queries: DataFrame, docs: DataFrame, external: DataFrame, k: int = 10, threshold: float = 0.7) -> DataFrame:

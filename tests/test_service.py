@@ -2,7 +2,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import agent, safety
+from lodestone.operators import agent, evolution, retrieval, safety
 from lodestone.plans.relational import asof_join, range_join
 from lodestone.sources import files
 from lodestone.streaming import incremental
@@ -25,6 +25,20 @@ def test_loop_refuses_and_searches_outside(spark):
     assert got[2].rounds_used == 5 and "-5" in got[2].references
 
 
+def test_queries_without_local_hits_are_gaps(spark):
+    docs = spark.createDataFrame([(1, "the heart and the salt", "src0")], "doc_id long, text string, source string")
+    outside = spark.createDataFrame([(4, "la rara molecula"), (5, "nothing")], "doc_id long, text string")
+    q = spark.createDataFrame([(1, "the salt"), (2, "la rara molecula"), (3, "une histoire")], "query_id int, text string")
+    got = {r.query_id: r for r in agent.answer(q, docs, outside).collect()}
+    assert (got[2].top_sim, got[2].rounds_used, got[2].references) == (0.0, 5, "1:-5")
+    assert (got[3].top_sim, got[3].status, got[3].references) == (0.0, "insufficient", "")
+    asked = retrieval.query_terms(q, "query_id")
+    ranked = retrieval.top_k(retrieval.bm25(retrieval.build_index(docs), asked), 10)
+    gaps = agent.coverage(asked, ranked, docs).filter("top_sim < 0.95")
+    filled = evolution.fill_gaps(gaps, retrieval.bm25(retrieval.build_index(outside), asked))
+    assert {r.query_id: (r.status, r.doc_id) for r in filled.collect()} == {2: ("filled", 4), 3: ("open", None)}
+
+
 def test_risk_levels(spark):
     docs = spark.createDataFrame([(1, "a@b.org"), (2, "x"), (3, "x"), (4, "1.2.3.4"), (5, None)], "doc_id int, text string")
     labels = spark.createDataFrame([(1, 1, 1), (2, 1, 1), (3, 0, 0)], "doc_id int, quality int, toxic int")
