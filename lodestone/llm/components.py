@@ -5,20 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.tasks import checkpointed
+from lodestone.llm.tasks import checkpointed, join_uneven
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, n_edges: int) -> DataFrame:
     """One step of the alternating star algorithm on edges (hi, lo) with hi > lo: each node links its larger (or
-    smaller) neighbours, and itself, to the least node among its neighbours and itself."""
+    smaller) neighbours, and itself, to the least node among its neighbours and itself. The edges of a node with very
+    many of them stay where they are."""
     if large:
-        both = edges.select(F.col("hi").alias("node"), F.col("lo").alias("near")).unionAll(edges.select(F.col("lo").alias("node"), F.col("hi").alias("near")))
-        least = both.groupBy("node").agg(F.min("near").alias("least")).select("node", F.least("node", "least").alias("least"))
-        linked = edges.select(F.col("lo").alias("node"), F.col("hi").alias("far")).join(least, "node")
+        both = edges.select(F.col("hi").alias("node"), F.col("lo").alias("near"), F.lit(0).alias("own")).unionAll(edges.select(F.col("lo").alias("node"), F.col("hi").alias("near"), F.lit(1).alias("own")))
+        least = both.groupBy("node").agg(F.min("near").alias("least"), F.sum("own").alias("n")).filter("n > 0").select("node", F.least("node", "least").alias("least"), "n")
+        linked = join_uneven(edges.select(F.col("lo").alias("node"), F.col("hi").alias("far")), least, ["node"], n_edges)
         pairs = linked.select(F.col("far").alias("hi"), F.col("least").alias("lo"))
     else:
-        least = edges.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("least"))
-        linked = edges.select(F.col("hi").alias("node"), F.col("lo").alias("near")).join(least, "node")
+        least = edges.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("least"), F.count(F.lit(1)).alias("n"))
+        linked = join_uneven(edges.select(F.col("hi").alias("node"), F.col("lo").alias("near")), least, ["node"], n_edges)
         pairs = linked.select(F.col("near").alias("hi"), F.col("least").alias("lo")).unionAll(least.select(F.col("node").alias("hi"), F.col("least").alias("lo")))
     return pairs.filter("hi > lo").distinct()
 
@@ -35,5 +36,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if check == last:
             break
         last = check
-        now = checkpointed(_star(_star(now, large=True), large=False))
+        # a large star keeps the number of edges; a small one adds at most one for each node
+        now = checkpointed(_star(_star(now, True, check[0]), False, 2 * check[0]))
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("label")).unionAll(now.select(F.col("lo").alias("node"), F.col("lo").alias("label")).distinct())

@@ -43,11 +43,14 @@ def per_row(rows: DataFrame, kept: list[str], texts: list[str], columns: str, st
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir of the session, or, where that is unset, as in tests,
-    a temporary one."""
+    """The folder that all executors share: spark.checkpoint.dir of the session. Where that is unset, a session on one
+    machine, as in tests, gets a temporary one; on a cluster, whose executors would not share it, it is an error."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return context.getCheckpointDir()
 
 
@@ -85,3 +88,13 @@ def likely_in(rows: DataFrame, key: str, wanted: DataFrame, most_bits: int = 1 <
             yield batch.filter(pa.array((sent.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))).drop_columns(["slot__"])
 
     return rows.withColumn("slot__", slot - 1).mapInArrow(passing, rows.schema)
+
+
+def join_uneven(rows: DataFrame, table: DataFrame, keys: list[str], n_rows: int, size: str = "n", most: int = 50_000) -> DataFrame:
+    """Inner join of `rows` to `table`, which has one row for each key and, as `size`, how many of the `n_rows` rows
+    have that key. The rows of keys above a limit don't move: those keys are broadcast. The limit grows with n_rows so
+    that there are never more than `most` such keys, since their sizes add up to no more than n_rows."""
+    limit = max(1024, -(-n_rows // most))
+    frequent = F.broadcast(table.filter(F.col(size) > limit))
+    rare = rows.join(frequent.select(*keys), keys, "left_anti").join(table.filter(F.col(size) <= limit), keys)
+    return rare.unionByName(rows.join(frequent, keys))

@@ -223,7 +223,10 @@ def test_network_learns_and_reads_the_whole_text(spark):
 
 
 def brute_classes(texts):
+    """Every two texts: linked if they share a band and their similarity is 0.8 or more, or have no words."""
     sets = {k: neardup.shingles((t or "").encode().split(), 5) for k, t in texts.items()}
+    some = [k for k in texts if len(sets[k][0])]
+    bands = {k: set(h) for k, h in zip(some, neardup.band_hashes(neardup.signatures([sets[k] for k in some], 160), 32).tolist(), strict=True)}
     parent = {k: k for k in texts}
 
     def find(x):
@@ -234,7 +237,7 @@ def brute_classes(texts):
     keys = sorted(texts)
     for i, a in enumerate(keys):
         for b in keys[:i]:
-            if neardup.similarity(sets[a], sets[b]) >= 0.8:
+            if neardup.similarity(sets[a], sets[b]) >= 0.8 and (a not in bands or b not in bands or bands[a] & bands[b]):
                 x, y = sorted((find(a), find(b)))
                 parent[y] = x
     return {k: find(k) for k in keys}
@@ -252,7 +255,7 @@ def test_classes_equal_brute_force(spark):
     texts |= {5000: "", 5001: None, 5002: " \n", 5003: "one two", 5004: "one  two", 5005: prose(77, 20_000), 5006: prose(77, 20_000) + " more"}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("class_id", F.lit("clash"))
     want = brute_classes(texts)
-    for options in ({}, {"block": 4}, {"large": 3, "block": 4}):
+    for options in ({}, {"block": 4}, {"block": 40, "hubs": 1}):
         assert {r.doc_id: r.class_id for r in neardup.near_classes(docs, **options).collect()} == want
     assert sorted(r.doc_id for r in neardup.keep_one(docs).collect()) == sorted(set(want.values()))
 
@@ -266,14 +269,14 @@ def test_blocks_stay_small_in_large_groups(spark, monkeypatch):
         texts[k] = " ".join([*words, f"end{k}"])
     whole = neardup.linked
 
-    def watched(sets, threshold):
+    def watched(sets, bands, threshold):
         assert len(sets) <= 24, len(sets)
-        return whole(sets, threshold)
+        return whole(sets, bands, threshold)
 
     monkeypatch.setattr(neardup, "linked", watched)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     want = brute_classes(texts)
-    for options in ({"block": 4}, {"block": 4, "large": 50}, {"block": 4, "hubs": 1}):
+    for options in ({"block": 4}, {"block": 4, "hubs": 1}):
         assert {x.doc_id: x.class_id for x in neardup.near_classes(docs, **options).collect()} == want
 
 
@@ -287,6 +290,42 @@ def test_near_duplicates_of_any_table(spark):
     assert neardup.near_classes(documents(spark, True)).count() == 0
 
 
+def test_rows_without_ids_with_equal_ids_and_repeated_ones(spark):
+    a, b = prose(11, 90), prose(12, 90)
+    rows = [(None, a), (None, a + " more"), (None, b), (7, prose(13, 90)), (7, b), (7, b), (7, " ".join([prose(13, 90), "x"])), (8, b), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("class_key", F.lit("clash")).withColumn("m", F.create_map(F.lit("k"), F.lit(1)))
+    got = neardup.near_classes(docs.drop("m")).collect()
+    assert len(got) == len(rows) and len({r.class_key for r in got}) == 4
+    assert sorted((r.doc_id or 0, r.class_id or 0, r.class_size) for r in got) == sorted([(0, 0, 2), (0, 0, 2), (0, 7, 4), (7, 7, 2), (7, 7, 4), (7, 7, 4), (7, 7, 2), (8, 7, 4), (0, 0, 1)])
+    kept = neardup.keep_one(docs)
+    assert kept.columns == docs.columns
+    texts = sorted((r.doc_id or 0, r.text) for r in kept.collect())
+    assert len(texts) == 4 and (7, b) in texts and (0, "") in texts
+
+
+def test_recall_against_all_pairs(spark):
+    import pyarrow.parquet as pq
+
+    texts = {r["doc_id"]: r["text"] for r in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["doc_id", "text"]).to_pylist()}
+    sets = {k: neardup.shingles((t or "").encode().split(), 5) for k, t in texts.items()}
+    of = {r.doc_id: r.class_key for r in neardup.near_classes(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    keys = sorted(k for k in texts if len(sets[k][0]))
+    elements = np.concatenate([sets[k][0] for k in keys])
+    both = neardup._together(elements, np.repeat(np.arange(len(keys)), [len(sets[k][0]) for k in keys]), len(keys))
+    pairs = [(keys[i], keys[j]) for i, j in zip(*np.nonzero(np.triu(both, 1)), strict=True)]
+    near = [(a, b) for a, b in pairs if neardup.similarity(sets[a], sets[b]) >= 0.8]
+    assert len(near) > 50 and np.mean([of[a] == of[b] for a, b in near]) >= 0.999
+
+
+def test_heavy_weights_cost_little():
+    import time
+
+    element = np.arange(1, 11, dtype=np.uint64)
+    began = time.perf_counter()
+    s = neardup.signatures([(element, np.full(10, 1e6)), (element, np.full(10, 5e5))], 160)
+    assert time.perf_counter() - began < 1 and 40 < (s[0] == s[1]).sum() < 120
+
+
 @pytest.mark.parametrize("likeness", [0.3, 0.8, 0.95])
 def test_signatures_estimate_weighted_similarity(likeness):
     r = np.random.default_rng(int(100 * likeness))
