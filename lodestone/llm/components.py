@@ -36,6 +36,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if check == last:
             break
         last = check
-        # a large star keeps the number of edges; a small one adds at most one for each node
-        now = checkpointed(_star(_star(now, True, check[0]), False, 2 * check[0]))
+        now = checkpointed(_star(now, True, check[0]))  # at most as many edges as before
+        now = checkpointed(_star(now, False, check[0]))
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("label")).unionAll(now.select(F.col("lo").alias("node"), F.col("lo").alias("label")).distinct())

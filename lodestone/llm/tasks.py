@@ -95,6 +95,8 @@ def join_uneven(rows: DataFrame, table: DataFrame, keys: list[str], n_rows: int,
     have that key. The rows of keys above a limit don't move: those keys are broadcast. The limit grows with n_rows so
     that there are never more than `most` such keys, since their sizes add up to no more than n_rows."""
     limit = max(1024, -(-n_rows // most))
+    if n_rows <= limit:
+        return rows.join(table, keys)
     frequent = F.broadcast(table.filter(F.col(size) > limit))
     rare = rows.join(frequent.select(*keys), keys, "left_anti").join(table.filter(F.col(size) <= limit), keys)
     return rare.unionByName(rows.join(frequent, keys))
