@@ -5,11 +5,16 @@ Language models are out of scope: stages decide by explicit rules, and the answe
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import terms
-from lodestone.operators.retrieval import COLLECTIONS, bm25, build_index, collection_of, query_terms, top_k, weight_collections
+from lodestone.operators.embedding import Embedder, HashingEmbedder, embed
+from lodestone.operators.retrieval import COLLECTIONS, bm25, build_index, collection_of, covered, fuse, knn, query_terms, rerank, top_k, weight_collections
+
+Scorer = Callable[[Column, Column], Column]
 
 #: The four disease areas with keywords; the short words are stand-ins that the test texts have.
 KEYWORDS = (
@@ -63,9 +68,9 @@ def evidence(ranked: DataFrame, min_hits: int = 3, min_score: float = 10.0, min_
     return rows.withColumn("sufficient", (F.col("n_good") >= min_hits) & (F.col("n_collections") >= min_collections))
 
 
-def bundle(ranked: DataFrame, query_id: str = "query_id", doc_id: str = "doc_id") -> DataFrame:
-    """query_id, references: array of (rank, id), in order; its length is that of the ranking."""
-    return ranked.groupBy(query_id).agg(F.array_sort(F.collect_list(F.struct("rank", F.col(doc_id).alias("id")))).alias("references"))
+def bundle(ranked: DataFrame, query_id: str = "query_id", doc_id: str = "doc_id", more: tuple[str, ...] = ()) -> DataFrame:
+    """query_id, references: array of (rank, id and the columns `more`), in order; its length is that of the ranking."""
+    return ranked.groupBy(query_id).agg(F.array_sort(F.collect_list(F.struct("rank", F.col(doc_id).alias("id"), *more))).alias("references"))
 
 
 def reference_text(references: str = "references") -> F.Column:
@@ -82,26 +87,64 @@ def coverage(queries: DataFrame, ranked: DataFrame, docs: DataFrame) -> DataFram
     return asked.select("query_id").join(best, "query_id", "left").select("query_id", F.coalesce("top_sim", F.lit(0.0)).alias("top_sim"))
 
 
-def answer(queries: DataFrame, docs: DataFrame, external: DataFrame, k: int = 10, threshold: float = 0.7) -> DataFrame:
-    """query_id, status, disease, top_sim, rounds_used, sufficient, confidence, references (as text).
+def local_search(queries: DataFrame, docs: DataFrame, pool: int = 50, candidates: int = 20, scorer: Scorer = covered, factory: Callable[[], Embedder] = HashingEmbedder) -> DataFrame:
+    """query_id, doc_id, collection, score, rank: the `pool` best by BM25 and by vectors, fused, weighted by collection,
+    cut to `candidates` and scored anew. queries: query_id, text; docs: doc_id, text, source."""
+    by_terms = top_k(bm25(build_index(docs), query_terms(queries, "query_id")), pool)
+    by_vectors = knn(embed(docs, "doc_id", factory=factory), embed(queries, "query_id", factory=factory), pool)
+    known = docs.select("doc_id", collection_of(F.col("source")).alias("collection"))
+    found = top_k(weight_collections(fuse(by_terms, by_vectors), known), candidates)
+    return rerank(found, queries, docs, candidates, scorer).join(known, "doc_id")
+
+
+def external_search(queries: DataFrame, external: DataFrame, candidates: int = 20, scorer: Scorer = covered) -> DataFrame:
+    """query_id, doc_id (-1 - the given one), collection, score: the best external texts (doc_id, text) by BM25, scored
+    as local ones are."""
+    found = top_k(bm25(build_index(external), query_terms(queries, "query_id")), candidates)
+    rows = rerank(found, queries, external, candidates, scorer)
+    return rows.select("query_id", (-1 - F.col("doc_id")).alias("doc_id"), F.lit("coll_common_study").alias("collection"), "score")
+
+
+#: The tools of the loop, by name.
+TOOLS: dict[str, Callable[..., DataFrame]] = {"query_classifier": classify, "local_search": local_search, "external_search": external_search, "evidence_evaluator": evidence}
 
-    1 domain gate and class; 2 local search, weighted by collection; 3 where the best similarity is below the
-    threshold, search of the external texts, which rank after local ones of equal score; 4 evidence; 5 bundle."""
+
+def answer(queries: DataFrame, docs: DataFrame, external: DataFrame, k: int = 10, threshold: float = 0.7, min_score: float = 0.3, tools: dict[str, Callable[..., DataFrame]] = TOOLS) -> DataFrame:
+    """The columns of `queries` but for its text (query_id, and user_id and conversation_id where they are given), status,
+    disease, top_sim, rounds_used, confidence, answer (the beginning of the best reference) and references, an array of
+    structs (rank, id, title, authors, year); the last three are null where docs and external lack them.
+
+    1 domain gate and class; 2 local search; 3 where its best similarity is below the threshold or its evidence does
+    not suffice, search of the external texts, which rank after local ones of equal score; 4 evidence; 5 bundle. Hits
+    of score 0 are not cited."""
     asked = queries.select("query_id", "text")
-    known = classify(asked).join(gate(asked), "query_id")
-    open_terms = query_terms(asked.join(known.filter(~F.col("refused")), "query_id").select("query_id", "text"), "query_id")
-    local = top_k(weight_collections(bm25(build_index(docs), open_terms), docs.withColumn("collection", collection_of(F.col("source")))), k)
-    sims = coverage(open_terms, local, docs)
-    thin = open_terms.join(sims.filter(F.col("top_sim") < threshold).select("query_id"), "query_id", "left_semi")
-    outside = bm25(build_index(external), thin).select("query_id", (-1 - F.col("doc_id")).alias("doc_id"), F.lit("coll_common_study").alias("collection"), (F.col("score") * COLLECTIONS["coll_common_study"]).alias("score"))
-    both = local.select("query_id", "doc_id", "collection", "score").unionByName(outside)
+    known = tools["query_classifier"](asked).join(gate(asked), "query_id")
+    open_queries = asked.join(known.filter(~F.col("refused")).select("query_id"), "query_id", "left_semi")
+    local = tools["local_search"](open_queries, docs)
+    sims = open_queries.select("query_id").join(local.groupBy("query_id").agg(F.max("score").alias("best")), "query_id", "left").select("query_id", F.coalesce("best", F.lit(0.0)).alias("top_sim"))
+    enough = tools["evidence_evaluator"](local.filter(F.col("rank") <= k), min_score=min_score).filter("sufficient").select("query_id")
+    searched = sims.filter(F.col("top_sim") < threshold).select("query_id").unionAll(sims.select("query_id").join(enough, "query_id", "left_anti")).distinct()
+    outside = tools["external_search"](open_queries.join(searched, "query_id", "left_semi"), external)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), (F.col("doc_id") < 0).cast("int"), F.abs("doc_id"))
-    ranked = both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    cited = bundle(ranked).select("query_id", reference_text().alias("references"))
-    rows = known.join(sims, "query_id", "left").join(evidence(ranked), "query_id", "left").join(cited, "query_id", "left")
+    both = local.select("query_id", "doc_id", "collection", "score").unionByName(outside)
+    ranked = both.filter("score > 0").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    texts = _described(docs, F.col("doc_id")).unionByName(_described(external, -1 - F.col("doc_id")))
+    cited = bundle(ranked.join(texts, "doc_id"), more=("title", "authors", "year", "begins")).withColumn("answer", F.col("references")[0]["begins"])
+    cited = cited.withColumn("references", F.transform("references", lambda r: r.dropFields("begins")))
+    rows = queries.drop("text").join(known, "query_id").join(sims, "query_id", "left").join(evidence(ranked, min_score=min_score), "query_id", "left").join(cited, "query_id", "left")
+    rows = rows.join(searched.withColumn("searched", F.lit(True)), "query_id", "left")
     status = F.when(F.col("refused"), "refused").when(F.coalesce("sufficient", F.lit(False)), "success").otherwise("insufficient")
-    rounds = F.when(F.col("refused"), 1).when(F.coalesce("top_sim", F.lit(0.0)) < threshold, 5).otherwise(4)
-    return rows.select("query_id", status.alias("status"), "disease", "top_sim", rounds.alias("rounds_used"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("references", F.lit("")).alias("references"))
+    rounds = F.when(F.col("refused"), 1).when(F.coalesce("searched", F.lit(False)), 5).otherwise(4)
+    request = [c for c in queries.columns if c != "text"]
+    none = F.array().cast(cited.schema["references"].dataType)
+    return rows.select(*request, status.alias("status"), "disease", "top_sim", rounds.alias("rounds_used"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("answer", F.lit("")).alias("answer"), F.coalesce("references", none).alias("references"))
+
+
+def _described(docs: DataFrame, doc_id: Column) -> DataFrame:
+    """doc_id, title, authors, year, begins (200 characters of the text)."""
+    kinds = {"title": "string", "authors": "string", "year": "int"}
+    given = [(F.col(c) if c in docs.columns else F.lit(None)).cast(kind).alias(c) for c, kind in kinds.items()]
+    return docs.select(doc_id.alias("doc_id"), *given, F.substring("text", 1, 200).alias("begins"))
 
 
 def context(turns: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.retrieval import bm25, build_index, query_terms, top_k
+
 
 def sample(items: DataFrame, n: int, id_col: str) -> DataFrame:
     """n items by the md5 of their id: the same ones each time, without a seed."""
@@ -30,15 +32,49 @@ def metrics(ranked: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
     )
 
 
+def _runs(tokens: Column, size: int) -> Column:
+    """Distinct hashes of the runs of so many tokens. The tokens are named once: written into the inner function they
+    would be made anew for each run."""
+    runs = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - (size - 1)), lambda i: F.xxhash64(F.slice(w, i, size)))
+    return F.get(F.transform(F.array(tokens), lambda w: F.when(F.size(w) >= size, F.array_distinct(runs(w)))), F.lit(0))
+
+
 def passages_in(docs: DataFrame, passages: DataFrame, words: int = 6) -> DataFrame:
-    """query_id, doc_id: documents that contain a passage (item_id, text) as it stands. Each document's runs of
-    `words` words meet the first run of each passage by equality; only pairs that share it are compared."""
-    runs = lambda text: F.transform(
-        F.sequence(F.lit(0), F.greatest(F.size(F.split(text, " ")) - words, F.lit(0))), lambda i: F.array_join(F.slice(F.split(text, " "), i + 1, words), " ")
-    )
-    keyed = docs.select("doc_id", F.col("text").alias("doc_text"), F.explode(F.array_distinct(runs(F.col("text")))).alias("run"))
-    wanted = passages.select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"), F.get(runs(F.col("text")), F.lit(1)).alias("run"))
-    return keyed.join(wanted, "run").filter(F.col("doc_text").contains(F.col("passage"))).select("query_id", "doc_id").distinct()
+    """query_id, doc_id: documents that contain a passage (item_id, text) as it stands, as a substring; null and empty
+    passages are in none.
+
+    Between its first and its last blank a passage consists of whole words of the text around it. So the hash of a run
+    of at most `words` of these words, that of a passage's second word on, meets the hashes of all runs of each
+    document; shorter runs are made where shorter passages ask for them. Passages of one or two words have no such
+    word and are met by their first characters instead. Only ids and hashes are joined; texts are compared for the
+    pairs found."""
+    asked = passages.filter(F.length("text") > 0).select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
+    blanks = F.split("passage", " ")
+    inner = F.least(F.lit(words), F.size(blanks) - 2)
+    anchored = asked.withColumns({"n": F.greatest(inner, F.lit(0)), "m": F.when(inner < 1, F.least(F.lit(8), F.length("passage"))).otherwise(0)})
+    sizes = anchored.select("n", "m").distinct().collect()  # at most words + 8 rows
+    hits = None
+    for n, m in sorted(map(tuple, sizes)):
+        key = F.xxhash64(F.slice(blanks, 2, n)) if n else F.xxhash64(F.array(F.substring("passage", 1, m)))
+        wanted = anchored.filter((F.col("n") == n) & (F.col("m") == m)).select("query_id", key.alias("run"))
+        tokens = F.split("text", " ") if n else F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - (m - 1), F.lit(1))), lambda i: F.substring("text", i, F.lit(m)))  # noqa: B023
+        found = docs.select("doc_id", F.explode(_runs(tokens, n or 1)).alias("run")).join(wanted, "run").select("query_id", "doc_id")
+        hits = found if hits is None else hits.unionAll(found)
+    if hits is None:
+        return asked.select("query_id", F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"))
+    pairs = hits.distinct().join(asked, "query_id").join(docs.select("doc_id", "text"), "doc_id")
+    return pairs.filter(F.col("text").contains(F.col("passage"))).select("query_id", "doc_id").distinct()
+
+
+def run(test_set: DataFrame, n: int, docs: DataFrame, run_id: str, k: int = 10) -> DataFrame:
+    """run_id, item_id, metric, value: the records of a run over n samples of a test set (item_id, text), whose items
+    are found by BM25 and judged by the documents that hold them as they stand."""
+    items = sample(test_set, n, "item_id")
+    ranked = top_k(bm25(build_index(docs), query_terms(items, "item_id")), k)
+    found = metrics(ranked, passages_in(docs, items), k)
+    names = ["recall", "precision", "hit", "rr", "ndcg"]
+    values = found.select(F.col("query_id").alias("item_id"), *(F.col(c).cast("double") for c in names))
+    return values.unpivot("item_id", names, "metric", "value").select(F.lit(run_id).alias("run_id"), "item_id", "metric", "value")
 
 
 def two_proportion_z(rows: DataFrame, group: str, outcome: str, limit: float = 1.959964) -> DataFrame:

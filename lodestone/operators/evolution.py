@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import terms
-from lodestone.operators.retrieval import Index, bm25, top_k
+from lodestone.operators.embedding import embed
+from lodestone.operators.retrieval import Index, bm25, knn, top_k
 
 
 def fill_gaps(open_gaps: DataFrame, outside: DataFrame) -> DataFrame:
@@ -29,6 +30,14 @@ def memory(turns: DataFrame) -> DataFrame:
     return rows.filter("k = 1").select("question", "answer", "hits", "first_conv")
 
 
+def recall_memory(bank: DataFrame, queries: DataFrame, k: int = 3, least: float = 0.0, **options) -> DataFrame:
+    """query_id, question, answer, sim, rank: what the memory (the result of memory()) holds for questions most like
+    each query (query_id, text), by their embeddings."""
+    keyed = bank.withColumn("key", F.md5("question"))
+    found = knn(embed(keyed, "key", "question", **options), embed(queries, "query_id", **options), k).filter(F.col("sim") >= least)
+    return found.join(keyed.select(F.col("key").alias("doc_id"), "question", "answer"), "doc_id").select("query_id", "question", "answer", "sim", "rank")
+
+
 def strategy_grid(index: Index, queries: DataFrame, qrels: DataFrame, grid: list[tuple[float, float]]) -> DataFrame:
     """k1, b, mrr, champion: the mean reciprocal rank in the top 10 of each parameter pair over the judged queries."""
     n = qrels.select("query_id").distinct().agg(F.count(F.lit(1)).alias("n"))
@@ -43,10 +52,12 @@ def strategy_grid(index: Index, queries: DataFrame, qrels: DataFrame, grid: list
 
 
 def rule_support(docs: DataFrame, labels: DataFrame, least: int = 20) -> DataFrame:
-    """rule_id, text, support, success, weight: first terms of documents as rules, how often they hold and how often
-    the document is good; a rule's weight is its log odds with one added to each side."""
-    first = docs.select("doc_id", F.get(terms(F.col("text")), F.lit(0)).alias("rule")).filter("rule is not null").join(labels.select("doc_id", "quality"), "doc_id")
-    rows = first.groupBy("rule").agg(F.count(F.lit(1)).alias("support"), F.sum("quality").cast("long").alias("good")).filter(F.col("support") >= least)
+    """rule_id, text, support, success, weight: each term of a labelled document, wherever it stands, is a rule; how many
+    documents it holds in, and in which share of them the document is good. A rule's weight is its log odds with one
+    added to each side. Documents meet their labels before their terms are listed, and counts are summed in each task
+    before they move."""
+    held = docs.join(labels.select("doc_id", "quality"), "doc_id").select("quality", F.explode(F.array_distinct(terms(F.col("text")))).alias("rule"))
+    rows = held.groupBy("rule").agg(F.count(F.lit(1)).alias("support"), F.sum("quality").cast("long").alias("good")).filter(F.col("support") >= least)
     return rows.select(
         F.md5("rule").alias("rule_id"),
         F.col("rule").alias("text"),

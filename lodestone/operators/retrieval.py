@@ -6,12 +6,15 @@ in which a cluster happens to add numbers.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lodestone.functions.text import chunk_texts, terms
 
@@ -67,34 +70,40 @@ def top_k(scored: DataFrame, k: int, score: str = "score", doc_id: str = "doc_id
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _best(k: int):
+def _best(k: int, kinds: pa.Schema):
     def run(corpus: pa.Table, queries: pa.Table) -> pa.Table:
         if not corpus.num_rows or not queries.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "doc_id": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})
-        c, q = (np.array(column.to_pylist(), np.float64) for column in (corpus.column("vector"), queries.column("sought")))
-        ids, asked = corpus.column("id").to_numpy(), queries.column("asked").to_numpy()
-        sims = np.round(q @ c.T, 6)
-        order = np.lexsort((np.broadcast_to(ids, sims.shape), -sims), axis=1)[:, :k]
-        return pa.table({"query_id": np.repeat(asked, order.shape[1]), "doc_id": ids[order].ravel(), "sim": np.take_along_axis(sims, order, 1).ravel()})
+            return kinds.empty_table()
+        c, q = (column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1) for column in (corpus.column("vector"), queries.column("sought")))
+        ids = corpus.column("id").to_numpy()
+        sims = np.round(q @ c.T, 6) + 0.0  # no negative zero
+        order = np.lexsort((np.broadcast_to(ids.astype(str) if ids.dtype == object else ids, sims.shape), -sims), axis=1)[:, :k]
+        asked = queries.column("asked").take(pa.array(np.repeat(np.arange(len(q)), order.shape[1])))
+        return pa.Table.from_arrays([asked, corpus.column("id").take(pa.array(order.ravel())), pa.array(np.take_along_axis(sims, order, 1).ravel())], schema=kinds)
 
     return run
 
 
-def knn(corpus: DataFrame, queries: DataFrame, k: int, rows: int = 2048, asked: int = 512, most: int = 4096) -> DataFrame:
+def knn(corpus: DataFrame, queries: DataFrame, k: int, rows: int = 2048, asked: int = 512) -> DataFrame:
     """query_id, doc_id, sim, rank: for each query vector the k corpus vectors of highest inner product, exactly.
 
     Both have id, vector and, to search within cells only, cell. Corpus and queries are cut into blocks of about
     `rows` and `asked` vectors; each pair of blocks of a cell is one matrix product, whose best k go on. Work grows
-    with corpus times queries, as an exact search must; memory of a task is bounded by the blocks."""
+    with corpus times queries, as an exact search must; memory of a task is bounded by the blocks, however many they
+    are. Vectors are of one length, that of the longest query; a null vector, one with a null in it or one of another
+    length is in no result."""
     cell = lambda d: d if "cell" in d.columns else d.withColumn("cell", F.lit(0))
-    corpus, queries = cell(corpus), cell(queries)
-    blocks = lambda d, size, name: d.groupBy("cell").agg(F.least(F.lit(most), F.ceil(F.count(F.lit(1)) / F.lit(size))).cast("int").alias(name))
+    size = queries.agg(F.max(F.size("vector"))).first()[0] or 0
+    whole = (F.size("vector") == size) & ~F.exists("vector", lambda x: x.isNull())
+    corpus, queries = cell(corpus).filter(whole), cell(queries).filter(whole)
+    blocks = lambda d, size, name: d.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("int").alias(name))
+    kinds = T.StructType([T.StructField("query_id", queries.schema["id"].dataType), T.StructField("doc_id", corpus.schema["id"].dataType), T.StructField("sim", T.DoubleType())])
     cells = blocks(corpus, rows, "n_c").join(blocks(queries, asked, "n_q"), "cell")
     other = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     left = corpus.join(cells, "cell").select("cell", "id", "vector", own("n_c").alias("c"), other("n_q").alias("q"))
     right = queries.join(cells, "cell").select(F.col("cell").alias("of"), F.col("id").alias("asked"), F.col("vector").alias("sought"), other("n_c").alias("at_c"), own("n_q").alias("at_q"))
-    found = left.groupBy("cell", "c", "q").cogroup(right.groupBy("of", "at_c", "at_q")).applyInArrow(_best(k), "query_id long, doc_id long, sim double")
+    found = left.groupBy("cell", "c", "q").cogroup(right.groupBy("of", "at_c", "at_q")).applyInArrow(_best(k, to_arrow_schema(kinds)), kinds)
     return top_k(found, k, "sim")
 
 
@@ -107,6 +116,16 @@ def centres(vectors: DataFrame, n: int = 16, sample: int = 20_000, seed: int = 3
     return np.array(KMeans(k=n, seed=seed, maxIter=10).fit(some).clusterCenters())
 
 
+def search(corpus: DataFrame, queries: DataFrame, k: int, mode: str = "exact", cells: int = 16, probes: int = 10) -> DataFrame:
+    """knn() among all vectors (`exact`), or among those of the nearest `probes` of `cells` cells (`cells`)."""
+    if mode == "exact":
+        return knn(corpus, queries, k)
+    if mode != "cells":
+        raise ValueError(f"mode is exact or cells, not {mode!r}")
+    at = centres(corpus, cells)
+    return knn(celled(corpus, at), celled(queries, at, probes), k)
+
+
 def celled(vectors: DataFrame, at: np.ndarray, probes: int = 1) -> DataFrame:
     """vectors (id, vector) with the cells of the nearest `probes` centres, a row for each."""
     points = F.array(*(F.array(*map(F.lit, map(float, p))) for p in at))
@@ -152,13 +171,26 @@ def weight_collections(scored: DataFrame, docs: DataFrame, weights: dict[str, fl
     return scored.join(docs.select("doc_id", "collection"), "doc_id").select("query_id", "doc_id", "collection", (F.col("score") * weight).alias("score"))
 
 
-def rerank(candidates: DataFrame, queries: DataFrame, docs: DataFrame, top_n: int, query_id: str = "query_id") -> DataFrame:
-    """query_id, doc_id, score, rank: candidates by the Jaccard similarity of term sets, a stand-in for a model."""
-    asked = queries.select("query_id", F.array_distinct(terms(F.col("text"))).alias("asked"))
-    found = docs.select("doc_id", F.array_distinct(terms(F.col("text"))).alias("found"))
+def covered(asked: Column, found: Column) -> Column:
+    """The share of a query's distinct terms that a text holds."""
+    a = F.array_distinct(terms(asked))
+    return F.coalesce(F.try_divide(F.size(F.array_intersect(a, F.array_distinct(terms(found)))), F.size(a)), F.lit(0.0))
+
+
+def jaccard(asked: Column, found: Column) -> Column:
+    """Similarity of the term sets of two texts: a scorer that needs no model."""
+    a, b = F.array_distinct(terms(asked)), F.array_distinct(terms(found))
+    both = F.size(F.array_intersect(a, b))
+    return both / F.greatest(F.lit(1), F.size(a) + F.size(b) - both)
+
+
+def rerank(candidates: DataFrame, queries: DataFrame, docs: DataFrame, top_n: int, scorer: Callable[[Column, Column], Column] = jaccard) -> DataFrame:
+    """query_id, doc_id, score, rank: candidates by scorer(query text, document text), a column: an expression as here,
+    or a pandas_udf that holds a model."""
+    asked = queries.select("query_id", F.col("text").alias("asked"))
+    found = docs.select("doc_id", F.col("text").alias("found"))
     rows = candidates.select("query_id", "doc_id").join(asked, "query_id").join(found, "doc_id")
-    both = F.size(F.array_intersect("asked", "found"))
-    return top_k(rows.select("query_id", "doc_id", F.round(both / F.greatest(F.lit(1), F.size("asked") + F.size("found") - both), 6).alias("score")), top_n)
+    return top_k(rows.select("query_id", "doc_id", F.round(scorer(F.col("asked"), F.col("found")), 6).alias("score")), top_n)
 
 
 def expand(queries: DataFrame, synonyms: DataFrame) -> DataFrame:

@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import strip_tags
-from lodestone.operators import agent, evaluation, evolution, retrieval, safety
+from lodestone.operators import agent, embedding, evaluation, evolution, retrieval, safety
 from lodestone.plans.catalog import query
 from lodestone.session import table
+from lodestone.sources import files
 from lodestone.streaming import incremental
 
 TERMS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
@@ -127,8 +128,8 @@ def knn_label_recall(spark, folder):
 def knn_cells(spark, folder):
     """Approximate search: the 10 nearest within the 10 nearest of 16 cells; every row is indexed."""
     rows = _vectors(spark, folder)
-    at = retrieval.centres(rows)
-    return retrieval.knn(retrieval.celled(rows, at), retrieval.celled(rows.filter(F.col("id") % 20 == 0), at, 10), 10)
+    found = retrieval.search(rows, rows.filter(F.col("id") % 20 == 0), 11, "cells").filter("query_id <> doc_id").drop("rank")
+    return retrieval.top_k(found, 10, "sim")
 
 
 @query(f"WITH {BM25}{WEIGHTED} SELECT query_id, doc_id, collection, score, rank FROM top")
@@ -149,9 +150,12 @@ def _sides(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return retrieval.top_k(_bm25(spark, folder), 50), retrieval.knn(rows, asked, 50)
 
 
-@query(f"""{SIDES}, s AS (
+PARTS = """s AS (
   SELECT query_id, doc_id, 0.5 * CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS part FROM t WINDOW w AS (PARTITION BY query_id)
-  UNION ALL SELECT query_id, doc_id, 0.5 * CASE WHEN max(sim) OVER w = min(sim) OVER w THEN 1.0 ELSE (sim - min(sim) OVER w) / (max(sim) OVER w - min(sim) OVER w) END FROM v WINDOW w AS (PARTITION BY query_id))
+  UNION ALL SELECT query_id, doc_id, 0.5 * CASE WHEN max(sim) OVER w = min(sim) OVER w THEN 1.0 ELSE (sim - min(sim) OVER w) / (max(sim) OVER w - min(sim) OVER w) END FROM v WINDOW w AS (PARTITION BY query_id))"""
+
+
+@query(f"""{SIDES}, {PARTS}
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT query_id, doc_id, round(sum(part), 6) AS score FROM s GROUP BY 1, 2) QUALIFY rank <= 10""")
 def fusion_minmax(spark, folder):
     return retrieval.top_k(retrieval.fuse(*_sides(spark, folder)), 10)
@@ -229,11 +233,11 @@ def auto_save_anti(spark, folder):
 HITS = f"""m AS (SELECT {{id}} AS query_id, list_distinct({TERMS}) AS found FROM {{rows}}),
 h AS (SELECT query_id, d, CAST(list_contains(found, w) AS INT) AS hits FROM m CROSS JOIN (VALUES ('hypertension', 'the'), ('hyperlipidaemia', 'la'), ('type-2 diabetes', 'und'), ('comorbidity', 'une')) k(d, w)),
 known AS (SELECT query_id, sum(hits) = 0 AS refused, min(d) FILTER (WHERE hits > 0) AS disease, max(hits) AS hits FROM h GROUP BY 1)"""
-USERS = "(SELECT conv_id * 1000 + turn AS qid, text FROM conversations WHERE role = 'user')"
+USERS = "(SELECT conv_id || ':' || turn AS qid, text FROM conversations WHERE role = 'user')"
 
 
 def _said(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "conversations").filter("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
+    return table(spark, folder, "conversations").filter("role = 'user'").select(F.concat_ws(":", "conv_id", "turn").alias("query_id"), "text")
 
 
 @query(f"WITH {_put(HITS, id='qid', rows=USERS)} SELECT query_id, refused FROM known")
@@ -264,17 +268,61 @@ def evidence_bundle(spark, folder):
     return agent.bundle(_weighted(spark, folder)).select("query_id", agent.reference_text().alias("references"))
 
 
-@query(f"""WITH {_put(HITS, id='item_id', rows='benchmark')}, {BM25.replace('FROM benchmark)', 'FROM benchmark WHERE item_id IN (SELECT query_id FROM known WHERE NOT refused))')}{WEIGHTED}, {_put(COVER, ranked='top')},
-thin AS (SELECT q.* FROM q JOIN cover USING (query_id) WHERE top_sim < 0.7), {_put(PAGES_BM25, asked='thin')},
-allhits AS (SELECT query_id, doc_id, collection, score FROM top UNION ALL SELECT query_id, -1 - doc_id, 'coll_common_study', score * CAST(0.5 AS DOUBLE) FROM pbm),
-final AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id < 0, abs(doc_id)) AS r FROM allhits QUALIFY r <= 10), {_put(EVIDENCE, ranked='final')},
-cited AS (SELECT query_id, string_agg(r || ':' || doc_id, ' ' ORDER BY r) AS refs FROM final GROUP BY 1)
-SELECT query_id, CASE WHEN refused THEN 'refused' WHEN n_good >= 3 AND n_collections >= 2 THEN 'success' ELSE 'insufficient' END AS status, disease, top_sim,
-  CASE WHEN refused THEN 1 WHEN coalesce(top_sim, 0) < 0.7 THEN 5 ELSE 4 END AS rounds_used, CAST(coalesce(confidence, 0) AS DOUBLE) AS confidence, coalesce(refs, '') AS "references"
-FROM known LEFT JOIN cover USING (query_id) LEFT JOIN ev USING (query_id) LEFT JOIN cited USING (query_id)""")
+PLACE = "CAST('0x' || substr(md5(term), 1, 8) AS BIGINT) % 64"
+SIGN = "(1 - 2 * (CAST('0x' || substr(md5(term), 9, 1) AS BIGINT) % 2))"
+
+
+def _embedded(name: str, counts: str, ids: str) -> str:
+    """SQL of `name` (id, v): hashing embeddings of 64 numbers. counts: id, term, tf; ids: a row for each id."""
+    return f"""{name}_p AS (SELECT id, {PLACE} AS place, sum({SIGN} * tf) AS x FROM {counts} GROUP BY 1, 2),
+{name}_m AS (SELECT id, map(list(place), list(x)) AS m, sqrt(sum(x * x)) AS norm FROM {name}_p GROUP BY 1),
+{name} AS (SELECT i.id, list_transform(range(64), lambda k: CASE WHEN norm > 0 THEN coalesce(CAST(m[k] AS DOUBLE), 0) / norm ELSE CAST(0 AS DOUBLE) END) AS v FROM {ids} i LEFT JOIN {name}_m USING (id))"""
+
+
+QUESTIONS = f"qtf AS (SELECT item_id AS id, term, count(*) AS tf FROM (SELECT item_id, unnest({TERMS}) AS term FROM benchmark) GROUP BY 1, 2)"
+
+
+@query(f"WITH {BM25}, {_embedded('e', 'tf', '(SELECT doc_id AS id FROM documents)')} SELECT id AS doc_id, CAST(k AS INT) AS place, round(v[k + 1], 6) AS value FROM (SELECT id, v, unnest(range(64)) AS k FROM e) WHERE v[k + 1] <> 0")
+def embed_hashing(spark, folder):
+    rows = embedding.embed(table(spark, folder, "documents"), "doc_id").select("id", F.posexplode("vector").alias("place", "value"))
+    return rows.filter("value <> 0").select(F.col("id").alias("doc_id"), "place", F.round("value", 6).alias("value"))
+
+
+@query(f"""WITH c AS ({CHUNKS.format(step=500, overlap=0)}), ctf AS (SELECT doc_id || ':' || chunk_no AS id, term, count(*) AS tf FROM (SELECT doc_id, chunk_no, unnest({TERMS}) AS term FROM c) GROUP BY 1, 2),
+{_embedded('e', 'ctf', "(SELECT doc_id || ':' || chunk_no AS id FROM c)")}
+SELECT d.source AS collection, count(*) AS chunks, round(sum(list_max(v)), 4) AS peaks FROM (SELECT {COLL} AS source, doc_id FROM documents) d JOIN (SELECT CAST(split_part(id, ':', 1) AS BIGINT) AS doc_id, v FROM e) USING (doc_id) GROUP BY 1""")
+def vector_rebuild(spark, folder):
+    """The vector store anew, chunk by chunk, and what it then holds."""
+    at = _shared(spark)
+    docs = table(spark, folder, "documents").select("doc_id", "text", retrieval.collection_of(F.col("source")).alias("collection"))
+    files.rebuild_vectors(docs, at)
+    rows = spark.read.parquet(at)
+    return rows.groupBy("collection").agg(F.count(F.lit(1)).alias("chunks"), F.round(F.sum(F.array_max("vector")), 4).alias("peaks"))
+
+
+@query(f"""WITH {_put(HITS, id='item_id', rows='benchmark')}, {BM25.replace('FROM benchmark)', 'FROM benchmark WHERE item_id IN (SELECT query_id FROM known WHERE NOT refused))')}, {QUESTIONS},
+{_embedded('de', 'tf', '(SELECT doc_id AS id FROM documents)')}, {_embedded('qe', 'qtf', '(SELECT query_id AS id FROM known WHERE NOT refused)')},
+v AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, doc_id) AS rank FROM (SELECT q.id AS query_id, d.id AS doc_id, round(list_dot_product(q.v, d.v), 6) AS sim FROM qe q CROSS JOIN de d) QUALIFY rank <= 50),
+t AS (SELECT * FROM ranked WHERE rank <= 50), {PARTS},
+fused AS (SELECT query_id, doc_id, round(sum(part), 6) AS score FROM s GROUP BY 1, 2),
+cand AS (SELECT query_id, doc_id, {COLL} AS collection, score * CAST(([1.5, 1.0, 0.5])[CAST(regexp_extract(source, '([0-9]+)$', 1) AS INT) % 3 + 1] AS DOUBLE) AS w FROM fused JOIN documents USING (doc_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY w DESC, doc_id) <= 20),
+asked AS (SELECT query_id, list(term) AS asked FROM q GROUP BY 1), held AS (SELECT doc_id, list_distinct({TERMS}) AS held FROM documents),
+local AS (SELECT query_id, doc_id, collection, round(len(list_intersect(asked, held)) / len(asked), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(len(list_intersect(asked, held)) / len(asked), 6) DESC, doc_id) AS rank FROM cand JOIN held USING (doc_id) JOIN asked USING (query_id)),
+sims AS (SELECT k.query_id, coalesce(max(score), 0) AS top_sim FROM known k LEFT JOIN local USING (query_id) WHERE NOT refused GROUP BY 1),
+lev AS (SELECT query_id FROM local WHERE rank <= 10 GROUP BY 1 HAVING count(*) FILTER (WHERE score >= 0.3) >= 3 AND count(DISTINCT collection) FILTER (WHERE score >= 0.3) >= 2),
+searched AS (SELECT query_id FROM sims WHERE top_sim < 0.7 OR query_id NOT IN (FROM lev)), thin AS (SELECT q.* FROM q JOIN searched USING (query_id)), {_put(PAGES_BM25, asked='thin')},
+ph AS (SELECT id AS doc_id, list_distinct({TERMS}) AS held FROM ptext), pc AS (SELECT query_id, doc_id FROM pbm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 20),
+allhits AS (SELECT query_id, doc_id, collection, score FROM local UNION ALL SELECT query_id, -1 - doc_id, 'coll_common_study', round(len(list_intersect(asked, held)) / len(asked), 6) FROM pc JOIN ph USING (doc_id) JOIN asked USING (query_id)),
+final AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id < 0, abs(doc_id)) AS r FROM allhits WHERE score > 0 QUALIFY r <= 10), {_put(EVIDENCE.replace('10.0', '0.3'), ranked='final')},
+texts AS (SELECT doc_id, substr(text, 1, 200) AS begins FROM documents UNION ALL SELECT -1 - id, substr(text, 1, 200) FROM ptext),
+cited AS (SELECT query_id, string_agg(r || ':' || doc_id, ' ' ORDER BY r) AS refs, max(begins) FILTER (WHERE r = 1) AS answer FROM final JOIN texts USING (doc_id) GROUP BY 1)
+SELECT query_id, 'u' || (query_id % 7) AS user_id, query_id % 3 AS conversation_id, CASE WHEN refused THEN 'refused' WHEN n_good >= 3 AND n_collections >= 2 THEN 'success' ELSE 'insufficient' END AS status, disease, top_sim,
+  CASE WHEN refused THEN 1 WHEN query_id IN (FROM searched) THEN 5 ELSE 4 END AS rounds_used, CAST(coalesce(confidence, 0) AS DOUBLE) AS confidence, coalesce(answer, '') AS answer, coalesce(refs, '') AS "references"
+FROM known LEFT JOIN sims USING (query_id) LEFT JOIN ev USING (query_id) LEFT JOIN cited USING (query_id)""")
 def agent_pipeline(spark, folder):
-    queries = table(spark, folder, "benchmark").withColumnRenamed("item_id", "query_id")
-    return agent.answer(queries, table(spark, folder, "documents"), _pages(spark, folder))
+    asked = table(spark, folder, "benchmark").withColumnRenamed("item_id", "query_id")
+    asked = asked.withColumns({"user_id": F.concat(F.lit("u"), F.col("query_id") % 7), "conversation_id": F.col("query_id") % 3})
+    return agent.answer(asked, table(spark, folder, "documents"), _pages(spark, folder)).withColumn("references", agent.reference_text())
 
 
 @query("SELECT conv_id, turn, role, coalesce(string_agg(role, '>') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS previous FROM conversations")
@@ -289,6 +337,20 @@ def memory_lookup(spark, folder):
     return evolution.memory(table(spark, folder, "conversations"))
 
 
+MEMORY = """p AS (SELECT conv_id, role, text AS question, lead(role) OVER w AS nxt, lead(text) OVER w AS answer FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+a AS (SELECT question, answer, count(*) AS n FROM p WHERE role = 'user' AND nxt = 'assistant' GROUP BY 1, 2),
+bank AS (SELECT md5(question) AS id, question, answer FROM a QUALIFY row_number() OVER (PARTITION BY question ORDER BY n DESC, answer) = 1)"""
+
+
+@query(f"""WITH {MEMORY}, {QUESTIONS}, btf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({TERMS.replace('text', 'question')}) AS term FROM bank) GROUP BY 1, 2),
+{_embedded('be', 'btf', 'bank')}, {_embedded('qe', 'qtf', '(SELECT item_id AS id FROM benchmark)')},
+n AS (SELECT q.id AS query_id, b.id AS key, round(list_dot_product(q.v, b.v), 6) AS sim FROM qe q CROSS JOIN be b), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, key) AS rank FROM n QUALIFY rank <= 3)
+SELECT query_id, question, answer, sim, rank FROM r JOIN bank ON bank.id = key WHERE sim >= 0""")
+def memory_similar(spark, folder):
+    asked = table(spark, folder, "benchmark").withColumnRenamed("item_id", "query_id")
+    return evolution.recall_memory(evolution.memory(table(spark, folder, "conversations")), asked)
+
+
 def _qrels(spark: SparkSession, folder: str) -> DataFrame:
     return evaluation.passages_in(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -306,7 +368,7 @@ def strategy_grid(spark, folder):
     return evolution.strategy_grid(_index(spark, folder), _asked(spark, folder), _qrels(spark, folder), GRID)
 
 
-@query(f"""WITH f AS (SELECT doc_id, ({TERMS})[1] AS rule FROM documents), r AS (SELECT rule, count(*) AS support, CAST(sum(quality) AS BIGINT) AS good FROM f JOIN labels USING (doc_id) WHERE rule IS NOT NULL GROUP BY 1 HAVING count(*) >= 5)
+@query(f"""WITH f AS (SELECT doc_id, unnest(list_distinct({TERMS})) AS rule FROM documents), r AS (SELECT rule, count(*) AS support, CAST(sum(quality) AS BIGINT) AS good FROM f JOIN labels USING (doc_id) GROUP BY 1 HAVING count(*) >= 5)
 SELECT md5(rule) AS rule_id, rule AS text, support, round(good / support, 6) AS success, round(ln((good + 1.0) / (support - good + 1.0)), 6) AS weight FROM r""")
 def rule_support(spark, folder):
     return evolution.rule_support(table(spark, folder, "documents"), table(spark, folder, "labels"), 5)
@@ -385,6 +447,16 @@ def eval_compare_runs(spark, folder):
     return evaluation.compare_runs(records[0].unionAll(records[1]))
 
 
+@query(f"""{METRICS.replace("FROM benchmark)", "FROM sampled)").replace("FROM benchmark b", "FROM sampled b").replace("WITH ", "WITH sampled AS (SELECT item_id, text FROM benchmark ORDER BY md5(CAST(item_id AS VARCHAR)), item_id LIMIT 20), ", 1)}
+SELECT 'first' AS run_id, query_id AS item_id, metric, value FROM (UNPIVOT (SELECT query_id, recall, CAST(precision AS DOUBLE) AS precision, CAST(hit AS DOUBLE) AS hit, rr, ndcg FROM m) ON recall, precision, hit, rr, ndcg INTO NAME metric VALUE value)""")
+def eval_run(spark, folder):
+    """From a test file to stored records: 20 samples of a JSON test set."""
+    at = _shared(spark)
+    table(spark, folder, "benchmark").write.json(f"{at}/test_set")
+    files.append(evaluation.run(files.test_set(spark, f"{at}/test_set", lines=True), 20, table(spark, folder, "documents"), "first"), at, "table_eval_record")
+    return spark.read.schema(files.schema("table_eval_record")).parquet(f"{at}/table_eval_record")
+
+
 @query("SELECT item_id, text FROM benchmark ORDER BY md5(CAST(item_id AS VARCHAR)), item_id LIMIT 20")
 def eval_sample(spark, folder):
     return evaluation.sample(table(spark, folder, "benchmark"), 20, "item_id")
@@ -401,9 +473,12 @@ def admin_page(spark, folder):
     return table(spark, folder, "documents").select("doc_id", "source", "lang").orderBy("doc_id").offset(40).limit(20)
 
 
-@query(f"""WITH {BM25}{WEIGHTED}, a AS (SELECT query_id, string_agg(rank || ':' || doc_id, ' ' ORDER BY rank) AS refs FROM top GROUP BY 1), b AS (SELECT item_id AS query_id, text, greatest(1, CAST(ceil(length(text) / 200.0) AS BIGINT)) AS n, refs FROM benchmark JOIN a ON query_id = item_id)
+FRAMES = f"""WITH {BM25}{WEIGHTED}, a AS (SELECT query_id, string_agg(rank || ':' || doc_id, ' ' ORDER BY rank) AS refs FROM top GROUP BY 1), b AS (SELECT item_id AS query_id, text, greatest(1, CAST(ceil(length(text) / 200.0) AS BIGINT)) AS n, refs FROM benchmark JOIN a ON query_id = item_id)
 SELECT query_id, 0 AS seq, 'thinking' AS type, '' AS content FROM b UNION ALL SELECT query_id, 1, 'searching', '' FROM b
-UNION ALL SELECT query_id, CAST(2 + i AS INT), 'chunk', substr(text, CAST(i * 200 + 1 AS BIGINT), 200) FROM (SELECT *, unnest(range(n)) AS i FROM b) UNION ALL SELECT query_id, CAST(2 + n AS INT), 'done', refs FROM b""")
+UNION ALL SELECT query_id, CAST(2 + i AS INT), 'chunk', substr(text, CAST(i * 200 + 1 AS BIGINT), 200) FROM (SELECT *, unnest(range(n)) AS i FROM b) UNION ALL SELECT query_id, CAST(2 + n AS INT), 'done', refs FROM b"""
+
+
+@query(FRAMES)
 def answer_frames(spark, folder):
     cited = evidence_bundle(spark, folder)
     answers = table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("answer")).join(cited, "query_id")
@@ -415,8 +490,71 @@ def event_windows(spark, folder):
     return incremental.windowed(table(spark, folder, "events")).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+@query(FRAMES)
+def answer_frames_stream(spark, folder):
+    """The frames of questions as they arrive: each batch of a stream is answered by the batch plan."""
+    asked, at = table(spark, folder, "benchmark"), _shared(spark)
+
+    def made(batch: DataFrame) -> DataFrame:
+        found = retrieval.bm25(_index(spark, folder), retrieval.query_terms(batch, "item_id"))
+        docs = table(spark, folder, "documents").withColumn("collection", retrieval.collection_of(F.col("source")))
+        cited = agent.bundle(retrieval.top_k(retrieval.weight_collections(found, docs), 10)).select("query_id", agent.reference_text().alias("references"))
+        return incremental.frames(batch.select(F.col("item_id").alias("query_id"), F.col("text").alias("answer")).join(cited, "query_id"))
+
+    incremental.each_batch(incremental.landed(spark, f"{folder}/benchmark.parquet*", asked.schema), made, f"{at}/target", f"{at}/progress")
+    return spark.read.parquet(f"{at}/target").select("query_id", "seq", "type", "content")
+
+
+def _events(spark: SparkSession, folder: str) -> DataFrame:
+    return incremental.landed(spark, f"{folder}/events.parquet*", table(spark, folder, "events").schema)
+
+
+@query("SELECT event_id, user_id, event_type FROM events")
+def stream_once(spark, folder):
+    """Events that are delivered twice, each kept once within the watermark."""
+    at, both = _shared(spark), _events(spark, folder).unionByName(_events(spark, folder))
+    incremental.run(incremental.once(both).select("event_id", "user_id", "event_type"), f"{at}/target", f"{at}/progress")
+    return spark.read.parquet(f"{at}/target")
+
+
+@query("""WITH w AS (SELECT event_type, unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS start FROM events)
+SELECT start, event_type, count(*) AS n FROM w GROUP BY 1, 2""")
+def sliding_windows(spark, folder):
+    return incremental.sliding(table(spark, folder, "events")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+n AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g), d AS (SELECT user_id, min(ts) AS started, max(ts) AS ended, count(*) AS n FROM n GROUP BY user_id, k)
+SELECT * FROM d WHERE ended + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
+def stream_sessions(spark, folder):
+    """Sessions of a stream that its watermark has closed."""
+    at = _shared(spark)
+    incremental.run(incremental.sessions(_events(spark, folder)), f"{at}/target", f"{at}/progress")
+    plain = [F.col(c).cast("timestamp_ntz").alias(c) for c in ("started", "ended")]
+    return spark.read.parquet(f"{at}/target").select("user_id", *plain, "n")
+
+
+@query("""WITH o AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS island FROM events),
+r AS (SELECT user_id, event_type, island, count(*) AS n FROM o GROUP BY 1, 2, 3) SELECT user_id, CAST(sum(n) AS BIGINT) AS seen, max(n) AS longest FROM r GROUP BY 1""")
+def stream_runs(spark, folder):
+    """State for each user: the longest run of one type of event; what the last batch said of each."""
+    at = _shared(spark)
+    stream = incremental.longest_runs(_events(spark, folder))
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/target/batch={number}")
+
+    stream.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/target").groupBy("user_id").agg(F.max("seen").alias("seen"), F.max("longest").alias("longest"))
+
+
 def _shared(spark: SparkSession) -> str:
-    base = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="streams-")
+    """A new folder that all executors share; without spark.checkpoint.dir only a session on one machine has one."""
+    base = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="streams-")
     return f"{base}/{uuid.uuid4().hex}"
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,11 +60,13 @@ def semi_anti(spark, folder):
     return one("semi").unionAll(one("anti"))
 
 
-@query("WITH b(band, low, high) AS (SELECT p_partkey, p_retailprice - 1, p_retailprice + 1 FROM part WHERE p_partkey % 50 = 0) SELECT band, count(*) AS n FROM part JOIN b ON p_retailprice BETWEEN low AND high GROUP BY 1")
+@query("WITH b AS (SELECT p_partkey AS band, p_retailprice - 1 AS low, p_retailprice + 1 AS high FROM part), p AS (SELECT p_retailprice AS price, count(*) AS c FROM part GROUP BY 1) SELECT band, CAST(sum(c) AS BIGINT) AS n FROM p JOIN b ON price BETWEEN low AND high GROUP BY 1")
 def range_join_bands(spark, folder):
+    """How many parts cost about as much as each part. Prices are counted before they meet the ranges."""
     part = table(spark, folder, "part").select("p_partkey", "p_retailprice")
-    bands = part.filter(F.col("p_partkey") % 50 == 0).select(F.col("p_partkey").alias("band"), (F.col("p_retailprice") - 1).alias("low"), (F.col("p_retailprice") + 1).alias("high"))
-    return range_join(part, bands, "p_retailprice", "low", "high", 4).groupBy("band").agg(F.count(F.lit(1)).alias("n"))
+    prices = part.groupBy(F.col("p_retailprice").alias("price")).agg(F.count(F.lit(1)).alias("c"))
+    bands = part.select(F.col("p_partkey").alias("band"), (F.col("p_retailprice") - 1).alias("low"), (F.col("p_retailprice") + 1).alias("high"))
+    return range_join(prices, bands, "price", "low", "high", 2).groupBy("band").agg(F.sum("c").alias("n"))
 
 
 @query("""WITH c AS (SELECT event_id, user_id, ts FROM events WHERE event_type = (SELECT min(event_type) FROM events)), v AS (SELECT user_id, ts, value FROM events WHERE event_type = (SELECT max(event_type) FROM events))
@@ -160,3 +165,123 @@ def pricing_summary(spark, folder):
 def statistics(spark, folder):
     price = "o_totalprice"
     return table(spark, folder, "orders").groupBy("o_orderpriority").agg(F.round(F.stddev_samp(price), 4).alias("sd"), F.round(F.percentile(price, F.lit(0.5)), 4).alias("median"), F.round(F.corr(price, "o_custkey"), 6).alias("corr"))
+
+
+@query("UNPIVOT (SELECT l_orderkey, l_linenumber, CAST(l_discount AS DOUBLE) AS discount, CAST(l_tax AS DOUBLE) AS tax FROM lineitem) ON discount, tax INTO NAME rate VALUE value")
+def unpivot(spark, folder):
+    line = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"))
+    return line.unpivot(["l_orderkey", "l_linenumber"], ["discount", "tax"], "rate", "value")
+
+
+@query("SELECT c_custkey, round(percent_rank() OVER w, 9) AS p, round(cume_dist() OVER w, 9) AS c FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey)")
+def window_distribution(spark, folder):
+    w = Window.partitionBy("c_nationkey").orderBy("c_acctbal", "c_custkey")
+    return table(spark, folder, "customer").select("c_custkey", F.round(F.percent_rank().over(w), 9).alias("p"), F.round(F.cume_dist().over(w), 9).alias("c"))
+
+
+@query("""SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000000 RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS last_hour,
+first_value(event_id) OVER w AS first, last_value(event_id) OVER w AS last, nth_value(event_id, 2) OVER w AS second FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""")
+def window_range(spark, folder):
+    events = table(spark, folder, "events").withColumn("s", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000))
+    whole = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    hour = Window.partitionBy("user_id").orderBy("s").rangeBetween(-3600, 0)
+    return events.select("event_id", F.count(F.lit(1)).over(hour).alias("last_hour"), F.first("event_id").over(whole).alias("first"), F.last("event_id").over(whole).alias("last"), F.nth_value("event_id", 2).over(whole).alias("second"))
+
+
+@query("SELECT user_id, string_agg(event_type || '=' || n, ' ' ORDER BY event_type) AS kinds FROM (SELECT user_id, upper(event_type) AS event_type, count(*) * 10 AS n FROM events GROUP BY 1, 2 HAVING count(*) > 1) GROUP BY 1")
+def map_functions(spark, folder):
+    counts = table(spark, folder, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    maps = counts.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("m"))
+    m = F.transform_keys(F.transform_values(F.map_filter("m", lambda k, v: v > 1), lambda k, v: v * 10), lambda k, v: F.upper(k))
+    rows = maps.withColumn("m", m).filter(F.size("m") > 0)
+    return rows.select("user_id", F.array_join(F.transform(F.array_sort(F.map_entries("m")), lambda e: F.concat_ws("=", e["key"], e["value"])), " ").alias("kinds"))
+
+
+SUBQUERIES = """SELECT c_custkey, (SELECT count(*) FROM nation) AS nations, t.o_orderkey AS best
+FROM customer c, LATERAL (SELECT o_orderkey FROM orders o WHERE o.o_custkey = c.c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) t
+WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'F') AND c_acctbal > (SELECT avg(c_acctbal) FROM customer)"""
+
+
+@query(SUBQUERIES)
+def subqueries(spark, folder):
+    """Scalar, exists and lateral subqueries, as Spark SQL writes them."""
+    views = {t: f"{t}_{abs(hash(folder))}" for t in ("customer", "orders", "nation")}
+    sql = SUBQUERIES
+    for t, view in views.items():
+        table(spark, folder, t).createOrReplaceTempView(view)
+        sql = sql.replace(f"FROM {t}", f"FROM {view}")
+    return spark.sql(sql)
+
+
+@query("SELECT a.s_suppkey AS supplier, count(*) AS richer FROM supplier a JOIN supplier b ON a.s_acctbal < b.s_acctbal GROUP BY 1")
+def join_inequality(spark, folder):
+    """How many suppliers have more, for each: an inequality with no key. Instead of all pairs, a rank of distinct
+    balances, whose counts are summed from the top; equal balances share it."""
+    s = table(spark, folder, "supplier").select("s_suppkey", "s_acctbal")
+    counts = s.groupBy("s_acctbal").agg(F.count(F.lit(1)).alias("n"))
+    cell = F.floor(F.col("s_acctbal") / 100)
+    cells = counts.groupBy(cell.alias("cell")).agg(F.sum("n").alias("n"))
+    above = Window.orderBy(F.col("cell").desc()).rowsBetween(Window.unboundedPreceding, -1)  # one row a cell of balances
+    before = cells.select("cell", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("before"))
+    within = Window.partitionBy("cell").orderBy(F.col("s_acctbal").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    ranks = counts.withColumn("cell", cell).withColumn("inside", F.coalesce(F.sum("n").over(within), F.lit(0)))
+    richer = ranks.join(before, "cell").select("s_acctbal", (F.col("before") + F.col("inside")).alias("richer")).filter("richer > 0")
+    return s.join(richer, "s_acctbal").select(F.col("s_suppkey").alias("supplier"), "richer")
+
+
+@query("SELECT coalesce(a.k, b.k) AS k, a.n AS sold, b.n AS listed FROM (SELECT l_suppkey AS k, count(*) AS n FROM lineitem WHERE l_quantity > 49 GROUP BY 1) a FULL JOIN (SELECT s_suppkey + 3 AS k, count(*) AS n FROM supplier GROUP BY 1) b ON a.k = b.k")
+def join_full(spark, folder):
+    sold = table(spark, folder, "lineitem").filter("l_quantity > 49").groupBy(F.col("l_suppkey").alias("k")).agg(F.count(F.lit(1)).alias("sold"))
+    listed = table(spark, folder, "supplier").groupBy((F.col("s_suppkey") + 3).alias("k")).agg(F.count(F.lit(1)).alias("listed"))
+    return sold.join(listed, "k", "full").select("k", "sold", "listed")
+
+
+@query("SELECT n_name, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+def join_hints(spark, folder):
+    """A merge join of two tables that grow, and a broadcast of one of 25 rows."""
+    o = table(spark, folder, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    rows = o.join(table(spark, folder, "customer").select("c_custkey", "c_nationkey").hint("merge"), "c_custkey")
+    return rows.join(F.broadcast(table(spark, folder, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT l_returnflag, count(DISTINCT l_suppkey) AS exact, true AS near FROM lineitem GROUP BY 1")
+def distinct_sketch(spark, folder):
+    """Distinct counts, and whether the HyperLogLog sketch comes within 5 per cent of them."""
+    rows = table(spark, folder, "lineitem").groupBy("l_returnflag").agg(F.countDistinct("l_suppkey").alias("exact"), F.hll_sketch_estimate(F.hll_sketch_agg("l_suppkey", 14)).alias("about"))
+    return rows.select("l_returnflag", "exact", (F.abs(F.col("about") - F.col("exact")) <= 0.05 * F.col("exact")).alias("near"))
+
+
+@query("SELECT o_orderpriority, max_by(o_orderkey, {'a': o_totalprice, 'b': o_orderkey}) AS dearest, min_by(o_orderkey, {'a': o_totalprice, 'b': o_orderkey}) AS cheapest, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS statuses FROM orders GROUP BY 1")
+def agg_by(spark, folder):
+    at = F.struct("o_totalprice", "o_orderkey")
+    return table(spark, folder, "orders").groupBy("o_orderpriority").agg(F.max_by("o_orderkey", at).alias("dearest"), F.min_by("o_orderkey", at).alias("cheapest"), F.array_join(F.array_sort(F.collect_set("o_orderstatus")), ",").alias("statuses"))
+
+
+@query("""SELECT event_id, '{"type":"' || event_type || '","k":' || CAST(json_extract_string(props, '$.k') AS INT) || '}' AS body, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events""")
+def json_variant(spark, folder):
+    k = F.variant_get(F.parse_json("props"), "$.k", "int")
+    return table(spark, folder, "events").select("event_id", F.to_json(F.struct(F.col("event_type").alias("type"), k.alias("k"))).alias("body"), k.alias("k"))
+
+
+@query("SELECT r_name, count(*) AS pairs FROM region CROSS JOIN nation GROUP BY 1")
+def join_cross(spark, folder):
+    """Two tables of fixed size, 5 and 25 rows."""
+    return table(spark, folder, "region").crossJoin(F.broadcast(table(spark, folder, "nation"))).groupBy("r_name").agg(F.count(F.lit(1)).alias("pairs"))
+
+
+@query("SELECT p_partkey, round(p_retailprice * 1.2 + 0.5, 4) AS gross, unnest(regexp_extract_all(p_name, '[a-z]+')) AS word FROM part")
+def python_functions(spark, folder):
+    """A pandas UDF and a table function; built-in functions would be the faster way to the same."""
+
+    @F.pandas_udf("double")
+    def gross(price: pd.Series) -> pd.Series:
+        return price * 1.2 + 0.5
+
+    @F.udtf(returnType="word: string")
+    class Words:
+        def eval(self, text: str):
+            for word in re.findall("[a-z]+", text or ""):
+                yield (word,)
+
+    part = table(spark, folder, "part").select("p_partkey", "p_name", F.round(gross("p_retailprice"), 4).alias("gross"))
+    return part.lateralJoin(Words(F.col("p_name").outer())).select("p_partkey", "gross", "word")

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.operators.embedding import embed
+from lodestone.operators.retrieval import chunk
+
 #: The tables of the service with fixed schemas.
 TABLES = {
     "table_article_meta": "doc_id long, title string, authors string, year int, full_text string, collection string",
@@ -41,9 +44,9 @@ def append(rows: DataFrame, folder: str, name: str) -> None:
     rows.select(*(F.col(f.name).cast(f.dataType) for f in schema(name))).write.mode("append").parquet(f"{folder}/{name}")
 
 
-def test_set(spark: SparkSession, path: str) -> DataFrame:
-    """item_id, text of a JSON file that holds an array of records, or a record a line."""
-    return spark.read.schema(schema("table_test_set")).json(path, multiLine=True)
+def test_set(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """item_id, text of a JSON file that holds an array of records, or, with `lines`, a record a line."""
+    return spark.read.schema(schema("table_test_set")).json(path, multiLine=not lines)
 
 
 def write_log(rows: DataFrame, path: str) -> None:
@@ -57,6 +60,10 @@ def xml_articles(spark: SparkSession, path: str, tag: str = "article") -> DataFr
     return spark.read.schema(wanted).option("rowTag", tag).format("xml").load(path)
 
 
-def rebuild_vectors(rows: DataFrame, path: str) -> None:
-    """The vector store anew: a folder for each collection."""
-    rows.write.mode("overwrite").partitionBy("collection").parquet(path)
+def rebuild_vectors(docs: DataFrame, path: str, size: int = 500, overlap: int = 0, **options) -> None:
+    """The vector store anew, a folder for each collection: docs (doc_id, text, collection) are cut into chunks, and
+    each chunk is embedded; columns doc_id, chunk_no, vector, collection. Options are those of embed()."""
+    chunks = chunk(docs, size, overlap).join(docs.select("doc_id", "collection"), "doc_id")
+    key = F.struct("doc_id", "chunk_no", "collection").alias("key")
+    vectors = embed(chunks.select(key, "text"), "key", **options)
+    vectors.select("id.doc_id", "id.chunk_no", "vector", "id.collection").write.mode("overwrite").partitionBy("collection").parquet(path)

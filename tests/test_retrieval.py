@@ -4,7 +4,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lodestone.operators import evaluation, retrieval
+from lodestone.operators import embedding, evaluation, retrieval
 
 
 def test_chinese_terms_are_single_characters(spark):
@@ -46,6 +46,28 @@ def test_knn_equals_brute_force(spark):
         assert [r.doc_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == want
 
 
+def test_knn_leaves_out_broken_vectors_and_takes_string_ids(spark):
+    rows = spark.createDataFrame([("a", [1.0, 0.0]), ("b", None), ("c", [1.0]), ("d", [0.6, 0.8]), ("e", [None, 1.0])], "id string, vector array<double>")
+    got = retrieval.knn(rows, rows.filter("id in ('a', 'b')"), 3).collect()
+    assert sorted((r.query_id, r.doc_id, r.sim) for r in got) == [("a", "a", 1.0), ("a", "d", 0.6)]
+
+
+def test_passages_as_they_stand(spark):
+    texts = {1: "xa bc de fg", 2: "one two three four five six seven eight\nnine", 3: "short", 4: "", 5: None, 6: "a b  c d"}
+    asked = {1: "a bc d", 2: "two three four five six", 3: "two three four five six seven", 4: "hor", 5: "eight\nni", 6: "", 7: None, 8: "b  c", 9: "o two three four five six seven eight\nn", 10: "s", 11: "a b"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id int, text string")
+    passages = spark.createDataFrame(list(asked.items()), "item_id int, text string")
+    want = {(q, d) for q, p in asked.items() for d, t in texts.items() if p and t and p in t}
+    assert {tuple(r) for r in evaluation.passages_in(docs, passages).collect()} == want
+    assert evaluation.passages_in(docs, passages.limit(0)).count() == 0
+
+
+def test_embedder_is_a_hook(spark):
+    rows = spark.createDataFrame([(1, "ab"), (2, None), (3, "")], "id int, text string")
+    lengths = lambda: lambda texts: np.array([[len(t), 1.0] for t in texts])
+    assert {r.id: r.vector for r in embedding.embed(rows, "id", factory=lengths, batch=2).collect()} == {1: [2, 1], 2: [0, 1], 3: [0, 1]}
+
+
 def test_cells_find_nine_of_ten(spark):
     folder = "/root/testdata/sf0.01"
     from lodestone.plans import QUERIES

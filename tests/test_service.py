@@ -20,9 +20,9 @@ def test_loop_refuses_and_searches_outside(spark):
     outside = spark.createDataFrame([(4, "the rare molecule study"), (5, "nothing")], "doc_id long, text string")
     q = spark.createDataFrame([(1, "the salt"), (2, "the rare molecule trial"), (3, "weather")], "query_id int, text string")
     got = {r.query_id: r for r in agent.answer(q, docs, outside).collect()}
-    assert (got[3].status, got[3].rounds_used, got[3].references) == ("refused", 1, "")
-    assert got[1].rounds_used == 4 and got[1].top_sim == 1.0
-    assert got[2].rounds_used == 5 and "-5" in got[2].references
+    assert (got[3].status, got[3].rounds_used, got[3].references) == ("refused", 1, [])
+    assert got[1].rounds_used == 5 and got[1].top_sim == 1.0 and got[1].answer == "the heart and the salt"  # one hit is no sufficient evidence
+    assert got[2].rounds_used == 5 and -5 in [r.id for r in got[2].references]
 
 
 def test_queries_without_local_hits_are_gaps(spark):
@@ -30,8 +30,8 @@ def test_queries_without_local_hits_are_gaps(spark):
     outside = spark.createDataFrame([(4, "la rara molecula"), (5, "nothing")], "doc_id long, text string")
     q = spark.createDataFrame([(1, "the salt"), (2, "la rara molecula"), (3, "une histoire")], "query_id int, text string")
     got = {r.query_id: r for r in agent.answer(q, docs, outside).collect()}
-    assert (got[2].top_sim, got[2].rounds_used, got[2].references) == (0.0, 5, "1:-5")
-    assert (got[3].top_sim, got[3].status, got[3].references) == (0.0, "insufficient", "")
+    assert (got[2].top_sim, got[2].rounds_used, [r.id for r in got[2].references]) == (0.0, 5, [-5])
+    assert (got[3].top_sim, got[3].status, got[3].references) == (0.0, "insufficient", [])
     asked = retrieval.query_terms(q, "query_id")
     ranked = retrieval.top_k(retrieval.bm25(retrieval.build_index(docs), asked), 10)
     gaps = agent.coverage(asked, ranked, docs).filter("top_sim < 0.95")
@@ -45,6 +45,37 @@ def test_risk_levels(spark):
     assert {r.doc_id: r.risk for r in safety.risk(docs, labels).collect()} == {1: 4, 2: 3, 3: 2, 4: 2, 5: 1}
 
 
+def test_answers_carry_the_request_and_described_references(spark):
+    rows = [(i, f"the salt and the heart of patient {i}", f"src{i % 3}", f"T{i}", "A", 2000 + i) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, title string, authors string, year int")
+    q = spark.createDataFrame([(1, "the salt", "u1", "c9")], "query_id int, text string, user_id string, conversation_id string")
+    r = agent.answer(q, docs, docs.limit(0)).first()
+    assert (r.user_id, r.conversation_id, r.status, r.rounds_used, len(r.references)) == ("u1", "c9", "success", 4, 6)
+    assert (r.references[0].id, r.references[0].title, r.references[0].year) == (0, "T0", 2000)
+    tools = agent.TOOLS | {"local_search": lambda queries, docs: agent.local_search(queries, docs, scorer=lambda a, f: F.lit(0.5))}
+    assert agent.answer(q, docs, docs.limit(0), tools=tools).first().top_sim == 0.5
+
+
+def test_memory_finds_questions_put_otherwise(spark):
+    bank = spark.createDataFrame([("how much salt is safe", "little"), ("when to walk", "daily")], "question string, answer string")
+    q = spark.createDataFrame([(1, "salt: how much of it is safe"), (2, None)], "query_id int, text string")
+    got = [(r.query_id, r.answer) for r in evolution.recall_memory(bank, q, 1, least=0.3).collect()]
+    assert got == [(1, "little")]
+
+
+def test_runs_go_on_from_batch_to_batch(spark, tmp_path):
+    t0, at = datetime.datetime(2024, 1, 1), str(tmp_path / "in")
+    kinds, got = ["aab", "bbba", "c"], []
+    for n, part in enumerate(kinds):
+        rows = [(1, 10 * n + i, t0 + datetime.timedelta(minutes=10 * n + i), k) for i, k in enumerate(part)]
+        events = spark.createDataFrame(rows, "user_id long, event_id long, ts timestamp, event_type string")
+        events.coalesce(1).write.mode("append").parquet(at)
+        stream = incremental.longest_runs(incremental.landed(spark, at, events.schema))
+        q = stream.writeStream.foreachBatch(lambda b, _: got.extend(b.collect())).outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    assert [(r.seen, r.longest) for r in got] == [(3, 2), (7, 4), (8, 4)]
+
+
 def test_range_join_meets_each_pair_once(spark):
     p = spark.createDataFrame([(i, i * 0.7) for i in range(40)], "p int, at double")
     r = spark.createDataFrame([(1, 0.0, 9.1), (2, 5.0, 5.0), (3, -3.0, 30.0)], "r int, low double, high double")
