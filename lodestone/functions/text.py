@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A term is a run of letters and digits; in Chinese text, which has no spaces, one Han character.
@@ -29,3 +29,11 @@ def chunk_texts(text: Column, size: int, overlap: int = 0) -> Column:
     at = F.sequence(F.lit(0), n - 1)
     pieces = F.transform(at, lambda i: F.struct(i.alias("chunk_no"), F.substring(text, i * step + 1, F.lit(size)).alias("text")))
     return F.when(F.length(text) > 0, pieces)
+
+
+def listed(rows: DataFrame, items: Column, name: str, *kept: str | Column) -> DataFrame:
+    """The columns `kept` and each item of an array, as `name`; null items and rows without any are left out.
+
+    From a plain explode Spark infers a filter on the size of the array and pushes it to the scan, where the array is
+    then made a second time; after explode_outer there is only the filter on the item."""
+    return rows.select(*kept, F.explode_outer(items).alias(name)).filter(F.col(name).isNotNull())

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import listed
 from lodestone.operators.retrieval import bm25, build_index, query_terms, top_k
 
 
@@ -58,7 +59,7 @@ def passages_in(docs: DataFrame, passages: DataFrame, words: int = 6) -> DataFra
         key = F.xxhash64(F.slice(blanks, 2, n)) if n else F.xxhash64(F.array(F.substring("passage", 1, m)))
         wanted = anchored.filter((F.col("n") == n) & (F.col("m") == m)).select("query_id", key.alias("run"))
         tokens = F.split("text", " ") if n else F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - (m - 1), F.lit(1))), lambda i: F.substring("text", i, F.lit(m)))  # noqa: B023
-        found = docs.select("doc_id", F.explode(_runs(tokens, n or 1)).alias("run")).join(wanted, "run").select("query_id", "doc_id")
+        found = listed(docs, _runs(tokens, n or 1), "run", "doc_id").join(wanted, "run").select("query_id", "doc_id")
         hits = found if hits is None else hits.unionAll(found)
     if hits is None:
         return asked.select("query_id", F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"))

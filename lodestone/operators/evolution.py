@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import terms
+from lodestone.functions.text import listed, terms
 from lodestone.operators.embedding import embed
 from lodestone.operators.retrieval import Index, bm25, knn, top_k
 
@@ -56,7 +56,7 @@ def rule_support(docs: DataFrame, labels: DataFrame, least: int = 20) -> DataFra
     documents it holds in, and in which share of them the document is good. A rule's weight is its log odds with one
     added to each side. Documents meet their labels before their terms are listed, and counts are summed in each task
     before they move."""
-    held = docs.join(labels.select("doc_id", "quality"), "doc_id").select("quality", F.explode(F.array_distinct(terms(F.col("text")))).alias("rule"))
+    held = listed(docs.join(labels.select("doc_id", "quality"), "doc_id"), F.array_distinct(terms(F.col("text"))), "rule", "quality")
     rows = held.groupBy("rule").agg(F.count(F.lit(1)).alias("support"), F.sum("quality").cast("long").alias("good")).filter(F.col("support") >= least)
     return rows.select(
         F.md5("rule").alias("rule_id"),

@@ -16,17 +16,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lodestone.functions.text import chunk_texts, terms
+from lodestone.functions.text import chunk_texts, listed, terms
 
 
 def chunk(docs: DataFrame, size: int, overlap: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, chunk_no, text."""
-    return docs.select(doc_id, F.explode(chunk_texts(F.col(text), size, overlap)).alias("c")).select(doc_id, "c.chunk_no", "c.text")
+    return listed(docs, chunk_texts(F.col(text), size, overlap), "c", doc_id).select(doc_id, "c.chunk_no", "c.text")
 
 
 def tokenize(rows: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """id, term: a row for each term of each text."""
-    return rows.select(F.col(id_col).alias("id"), F.explode(terms(F.col(text_col))).alias("term"))
+    return listed(rows, terms(F.col(text_col)), "term", F.col(id_col).alias("id"))
 
 
 class Index(NamedTuple):
@@ -38,12 +38,15 @@ class Index(NamedTuple):
 
 
 def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Index:
-    """Counts terms inside each row, so that only (document, term) counts exist, never single occurrences."""
+    """Terms are counted in the task that reads a text, so that only (document, term) counts move. The other figures are
+    made of these counts, including the column tf though they could do without it: so all of them have one exchange in
+    common, and a plan that uses them all reads and cuts each text once. A null text counts as an empty one."""
     rows = docs.select(F.col(doc_id).alias("id"), terms(F.col(text)).alias("terms")).withColumn("dl", F.size("terms"))
-    tf = rows.select("id", "dl", F.explode("terms").alias("term")).groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = rows.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl"))
-    return Index(tf, df, stats)
+    tf = listed(rows, F.col("terms"), "term", "id", "dl").groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    df = tf.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
+    total = tf.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("all"))
+    stats = docs.agg(F.count(F.lit(1)).alias("n_docs")).crossJoin(F.broadcast(total))  # one row each
+    return Index(tf, df, stats.select("n_docs", F.coalesce(F.try_divide("all", "n_docs"), F.lit(0.0)).alias("avg_dl")))
 
 
 def idf(n_docs: Column, df: Column) -> Column:
@@ -52,16 +55,17 @@ def idf(n_docs: Column, df: Column) -> Column:
 
 def bm25(index: Index, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """query_id, doc_id, score. `queries`: query_id, term, one row for each distinct term. The terms of the queries
-    meet the index on the term; the figures are one row."""
+    meet the index on the term, by a merge join: a term that most documents hold is then split as a skewed partition,
+    and the index is never taken for small by the size of its files. The figures are one row."""
     wanted = queries.join(index.df, "term").crossJoin(F.broadcast(index.stats))  # one row of figures
     wanted = wanted.select("query_id", "term", idf(F.col("n_docs"), F.col("df")).alias("idf"), "avg_dl")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))
-    return index.tf.join(wanted, "term").groupBy("query_id", F.col("id").alias("doc_id")).agg(F.round(F.sum(part), 6).alias("score"))
+    return index.tf.hint("merge").join(wanted, "term").groupBy("query_id", F.col("id").alias("doc_id")).agg(F.round(F.sum(part), 6).alias("score"))
 
 
 def query_terms(queries: DataFrame, query_id: str, text: str = "text") -> DataFrame:
     """query_id, term: the distinct terms of each query."""
-    return queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(terms(F.col(text)))).alias("term"))
+    return listed(queries, F.array_distinct(terms(F.col(text))), "term", F.col(query_id).alias("query_id"))
 
 
 def top_k(scored: DataFrame, k: int, score: str = "score", doc_id: str = "doc_id", query_id: str = "query_id") -> DataFrame:

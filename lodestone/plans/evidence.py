@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import strip_tags
 from lodestone.operators import agent, embedding, evaluation, evolution, retrieval, safety
 from lodestone.plans.catalog import query
-from lodestone.session import table
+from lodestone.session import spread, table
 from lodestone.sources import files
 from lodestone.streaming import incremental
 
@@ -42,8 +42,13 @@ def _put(sql: str, **parts: str) -> str:
     return sql
 
 
+def _docs(spark: SparkSession, folder: str) -> DataFrame:
+    """The columns of documents that searches read."""
+    return spread(table(spark, folder, "documents").select("doc_id", "text", "source"))
+
+
 def _index(spark: SparkSession, folder: str) -> retrieval.Index:
-    return retrieval.build_index(table(spark, folder, "documents"))
+    return retrieval.build_index(_docs(spark, folder))
 
 
 def _asked(spark: SparkSession, folder: str) -> DataFrame:
@@ -86,12 +91,12 @@ CHUNKS = "SELECT doc_id, CAST(i AS INT) AS chunk_no, substr(text, CAST(i * {step
 
 @query(CHUNKS.format(step=500, overlap=0))
 def chunk_fixed(spark, folder):
-    return retrieval.chunk(table(spark, folder, "documents"), 500)
+    return retrieval.chunk(_docs(spark, folder), 500)
 
 
 @query(CHUNKS.format(step=400, overlap=100))
 def chunk_overlap(spark, folder):
-    return retrieval.chunk(table(spark, folder, "documents"), 500, 100)
+    return retrieval.chunk(_docs(spark, folder), 500, 100)
 
 
 @query("SELECT md5(text) AS digest, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1")
@@ -101,7 +106,7 @@ def exact_dedup(spark, folder):
 
 @query(f"SELECT page_id, {PLAIN} AS text FROM pages")
 def html_to_text(spark, folder):
-    return table(spark, folder, "pages").select("page_id", strip_tags(F.col("html")).alias("text"))
+    return spread(table(spark, folder, "pages").select("page_id", "html")).select("page_id", strip_tags(F.col("html")).alias("text"))
 
 
 @query("SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS lang, regexp_extract(url, '://([^/?#]*)', 1) AS host FROM pages")
@@ -194,7 +199,7 @@ pbm AS (SELECT q.query_id, ptf.id AS doc_id, round(sum(ln(1.0 + (n_docs - df + 0
 
 
 def _pages(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "pages").select(F.col("page_id").alias("doc_id"), strip_tags(F.col("html")).alias("text"))
+    return spread(table(spark, folder, "pages").select("page_id", "html")).select(F.col("page_id").alias("doc_id"), strip_tags(F.col("html")).alias("text"))
 
 
 def _outside(spark: SparkSession, folder: str, asked: DataFrame) -> DataFrame:
@@ -284,7 +289,7 @@ QUESTIONS = f"qtf AS (SELECT item_id AS id, term, count(*) AS tf FROM (SELECT it
 
 @query(f"WITH {BM25}, {_embedded('e', 'tf', '(SELECT doc_id AS id FROM documents)')} SELECT id AS doc_id, CAST(k AS INT) AS place, round(v[k + 1], 6) AS value FROM (SELECT id, v, unnest(range(64)) AS k FROM e) WHERE v[k + 1] <> 0")
 def embed_hashing(spark, folder):
-    rows = embedding.embed(table(spark, folder, "documents"), "doc_id").select("id", F.posexplode("vector").alias("place", "value"))
+    rows = embedding.embed(_docs(spark, folder), "doc_id").select("id", F.posexplode("vector").alias("place", "value"))
     return rows.filter("value <> 0").select(F.col("id").alias("doc_id"), "place", F.round("value", 6).alias("value"))
 
 
@@ -322,7 +327,7 @@ FROM known LEFT JOIN sims USING (query_id) LEFT JOIN ev USING (query_id) LEFT JO
 def agent_pipeline(spark, folder):
     asked = table(spark, folder, "benchmark").withColumnRenamed("item_id", "query_id")
     asked = asked.withColumns({"user_id": F.concat(F.lit("u"), F.col("query_id") % 7), "conversation_id": F.col("query_id") % 3})
-    return agent.answer(asked, table(spark, folder, "documents"), _pages(spark, folder)).withColumn("references", agent.reference_text())
+    return agent.answer(asked, _docs(spark, folder), _pages(spark, folder)).withColumn("references", agent.reference_text())
 
 
 @query("SELECT conv_id, turn, role, coalesce(string_agg(role, '>') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS previous FROM conversations")
@@ -352,7 +357,7 @@ def memory_similar(spark, folder):
 
 
 def _qrels(spark: SparkSession, folder: str) -> DataFrame:
-    return evaluation.passages_in(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return evaluation.passages_in(_docs(spark, folder), table(spark, folder, "benchmark"))
 
 
 GRID = [(0.9, 0.4), (1.2, 0.75), (2.0, 0.75)]
@@ -371,7 +376,7 @@ def strategy_grid(spark, folder):
 @query(f"""WITH f AS (SELECT doc_id, unnest(list_distinct({TERMS})) AS rule FROM documents), r AS (SELECT rule, count(*) AS support, CAST(sum(quality) AS BIGINT) AS good FROM f JOIN labels USING (doc_id) GROUP BY 1 HAVING count(*) >= 5)
 SELECT md5(rule) AS rule_id, rule AS text, support, round(good / support, 6) AS success, round(ln((good + 1.0) / (support - good + 1.0)), 6) AS weight FROM r""")
 def rule_support(spark, folder):
-    return evolution.rule_support(table(spark, folder, "documents"), table(spark, folder, "labels"), 5)
+    return evolution.rule_support(_docs(spark, folder), table(spark, folder, "labels"), 5)
 
 
 PERSONAL = r"(regexp_matches(text, '[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+[.][A-Za-z]{2,}') OR regexp_matches(text, '\b[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}\b'))"

@@ -19,3 +19,10 @@ def session(name: str = "lodestone", master: str | None = None, **conf: str) ->
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A Parquet table of a folder; columns and filters are pushed into its scan."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows, dealt out if their scan has fewer splits than there are cores, as that of a small file: texts are worth
+    more work than their shuffle. Tables of many splits, as all large ones are, stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
