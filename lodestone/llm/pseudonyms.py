@@ -3,15 +3,17 @@
 Numbers and dates that pass their validation are replaced by others of the same format and validity. A value is two
 residues (l mod a, r mod b); each round adds a keyed hash of one to the other, so the rounds permute the a * b values of
 the format, whatever a and b are. Equal values under one key have equal pseudonyms in every document, however they
-are punctuated, and different values keep different ones. All is a single pass of SQL functions over the texts.
+are punctuated, and different values keep different ones. All is a single pass of SQL functions over the texts. The
+key is read from a table of one row, so it is in no plan, event log or page of the UI.
 
   card   13 to 19 digits, plain or in the usual groups, with a right Luhn digit: the first digit stays, the Luhn digit
          is made anew
   phone  North American numbers, +1 or not: area, exchange and line stay valid; the country code stays
   intl   + and 8 to 15 digits: the first three digits stay
   ssn    ddd-dd-dddd with an area, group and serial that can be assigned
-  date   year-month-day, day.month.year or month/day/year that is in the calendar, 1800 to 2199: the days of 400 years
-         are 189 * 773
+  date   year-month-day, day.month.year, day-month-year or month/day/year that is in the calendar, 1800 to 2199: the
+         days of 400 years are 189 * 773. Dates with slashes that only make sense with the day first stay: month/day
+         results could not be told from theirs
   ipv4   four numbers to 255
   email  letters and digits before the @, each within its class; the domain stays
 
@@ -33,20 +35,16 @@ PATTERNS = {
     "intl": r"(?<![\w+])\+[1-9][0-9]{0,2}(?:[ .\-]?\(?[0-9]{1,5}\)?){2,5}(?!\w)",
     "card": r"(?<![\w])(?:[0-9]{13,19}|[0-9]{4}(?:[ \-][0-9]{4}){3}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5})(?!\w)",
     "ssn": r"(?<![\w\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w\-])",
-    "date": r"(?<![\w.\-/])(?:[0-9]{4}([\-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![\w\-/]|\.[0-9])",
+    "date": r"(?<![\w.\-/])(?:[0-9]{4}([\-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([.\-/])[0-9]{2}\2[0-9]{4})(?![\w\-/]|\.[0-9])",
     "ipv4": r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w|\.[0-9])",
 }
-#: The date pattern has a group that it refers to; it is the only one.
+#: The date pattern has two groups that it refers to; they are the only ones.
 ANY = "|".join(PATTERNS.values())
 
 
-def _text(value: str) -> str:
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def _permuted(l: str, a: str, r: str, b: str, key: str, kind: str) -> str:
     """SQL of a struct (l, r): the rounds over residues l mod a and r mod b."""
-    added = lambda value, of: f"cast(conv(substring(sha2(concat_ws('|', {_text(key)}, '{kind}', k, {value}), 256), 1, 13), 16, 10) as bigint) % {of}"
+    added = lambda value, of: f"cast(conv(substring(sha2(concat_ws('|', {key}, '{kind}', k, {value}), 256), 1, 13), 16, 10) as bigint) % {of}"
     return (
         f"aggregate(sequence(1, {ROUNDS}), named_struct('l', cast({l} as bigint), 'r', cast({r} as bigint)), (s, k) -> if(k % 2 = 1, "
         f"named_struct('l', (s.l + {added('s.r', a)}) % {a}, 'r', s.r), named_struct('l', s.l, 'r', (s.r + {added('s.l', b)}) % {b})))"
@@ -77,8 +75,8 @@ def _number(digits: str, keep: int, last: int, key: str, kind: str) -> str:
 
 def _kinds(key: str) -> list[tuple[str, str, str]]:
     """name, SQL of the validation of v, SQL of its pseudonym; d is the digits of v."""
-    day = "coalesce(try_to_date(v, 'yyyy-MM-dd'), try_to_date(v, 'yyyy/MM/dd'), try_to_date(v, 'yyyy.MM.dd'), try_to_date(v, 'dd.MM.yyyy'), try_to_date(v, 'MM/dd/yyyy'))"
-    shape = "case when v rlike '^[0-9]{4}-' then 'yyyy-MM-dd' when v rlike '^[0-9]{4}/' then 'yyyy/MM/dd' when v rlike '^[0-9]{4}[.]' then 'yyyy.MM.dd' when v rlike '[.]' then 'dd.MM.yyyy' else 'MM/dd/yyyy' end"
+    day = "coalesce(try_to_date(v, 'yyyy-MM-dd'), try_to_date(v, 'yyyy/MM/dd'), try_to_date(v, 'yyyy.MM.dd'), try_to_date(v, 'dd.MM.yyyy'), try_to_date(v, 'dd-MM-yyyy'), try_to_date(v, 'MM/dd/yyyy'))"
+    shape = "case when v rlike '^[0-9]{4}-' then 'yyyy-MM-dd' when v rlike '^[0-9]{4}/' then 'yyyy/MM/dd' when v rlike '^[0-9]{4}[.]' then 'yyyy.MM.dd' when v rlike '[.]' then 'dd.MM.yyyy' when v rlike '-' then 'dd-MM-yyyy' else 'MM/dd/yyyy' end"
     number = f"datediff({day}, date'1800-01-01')"
     days = _permuted(f"{number} div 773", "189", f"{number} % 773", "773", key, "date")
     card = _let("p", _number("d", 1, 1, key, "card"), f"{_fill('v', 'concat(p, get(filter(split(' + chr(39) + '0123456789' + chr(39) + ', ' + chr(39) + chr(39) + '), c -> luhn_check(concat(p, c))), 0))')}")
@@ -103,7 +101,7 @@ def _kinds(key: str) -> list[tuple[str, str, str]]:
         ("intl", "v like '+%' and length(d) between 8 and 15", _let("p", _number("d", 3, 0, key, "intl"), _fill("v", "p"))),
         ("ssn", "v rlike '^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$'", ssn),
         ("ipv4", "v rlike '^(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?:[.]|$)){4}$'", ipv4),
-        ("date", f"v rlike '^(?:[0-9]{{4}}[-/.][0-9]{{2}}[-/.]|[0-9]{{2}}[./][0-9]{{2}}[./])' and {day} between date'1800-01-01' and date'2199-12-31'", _let("h", days, f"date_format(date_add(date'1800-01-01', cast(h.l * 773 + h.r as int)), {shape})")),
+        ("date", f"v rlike '^(?:[0-9]{{4}}[-/.][0-9]{{2}}[-/.]|[0-9]{{2}}[-./][0-9]{{2}}[-./])' and {day} between date'1800-01-01' and date'2199-12-31'", _let("h", days, f"date_format(date_add(date'1800-01-01', cast(h.l * 773 + h.r as int)), {shape})")),
     ]
 
 
@@ -113,7 +111,7 @@ def _email(key: str) -> str:
         f"array_join(transform(split({half}, ''), (x, i) -> "
         + _let(
             "z",
-            f"cast(conv(substring(sha2(concat_ws('|', {_text(key)}, 'email', k, i, {other}), 256), 1, 8), 16, 10) as bigint)",
+            f"cast(conv(substring(sha2(concat_ws('|', {key}, 'email', k, i, {other}), 256), 1, 8), 16, 10) as bigint)",
             "case when x rlike '[0-9]' then cast((ascii(x) - 48 + z) % 10 as string) when x rlike '[a-z]' then chr((ascii(x) - 97 + z) % 26 + 97) when x rlike '[A-Z]' then chr((ascii(x) - 65 + z) % 26 + 65) else x end",
         )
         + "), '')"
@@ -128,8 +126,9 @@ def pseudonymised(docs: DataFrame, key: str, text: str = "text", findings: str =
     """docs with the text rewritten and the column `findings`, an array of structs (kind, start from 1, length in the
     given text, pseudonym)."""
     given = f"coalesce(`{text}`, '')"
-    rows = docs.withColumns({"values__": F.regexp_extract_all(F.expr(given), F.lit(ANY), F.lit(0)), "parts__": F.split(F.expr(given), ANY, -1)})
-    kinds = _kinds(key)
+    held = docs.sparkSession.createDataFrame([(key,)], "key__ string")
+    rows = docs.withColumns({"key__": held.scalar(), "values__": F.regexp_extract_all(F.expr(given), F.lit(ANY), F.lit(0)), "parts__": F.split(F.expr(given), ANY, -1)})
+    kinds = _kinds("key__")
     kind = "case " + " ".join(f"when {valid} then '{name}'" for name, valid, _ in kinds) + " end"
     other = "case t " + " ".join(f"when '{name}' then {made}" for name, _, made in kinds) + " end"
     each = _let("d", "regexp_replace(v, '[^0-9]', '')", _let("t", kind, f"named_struct('kind', t, 'pseudonym', {other})"))
