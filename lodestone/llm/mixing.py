@@ -12,7 +12,7 @@ within a short document of it. A large source has many blocks; no task holds a w
 
 A null source is a source of its own; null texts and texts without words have size 0, rate 1 and take no tokens.
 Repeated rows count as documents of their own. An empty table gives an empty result. The result depends on the rows
-alone, not on their order or partitions.
+alone, not on their order or partitions: what the iterations add up are decimals, whose sums have no order.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from lodestone.llm.corpus_words import n_words
-from lodestone.llm.tasks import checkpointed
+from lodestone.llm.tasks import checkpointed, join_uneven
 
 
 def sized(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
@@ -66,12 +66,18 @@ def _rate(size: Column, tilt: Column, mean: Column, cap: float) -> Column:
     return F.when(power >= F.log(F.lit(cap)), F.lit(cap)).otherwise(F.exp(power))
 
 
-def tilts(sizes: DataFrame, targets: DataFrame, cap: float = 2.0, tolerance: float = 1e-7, rounds: int = 60) -> DataFrame:
+def _exact(value: Column) -> Column:
+    """The sum of a double, to six places; the same in every order."""
+    return F.sum(value.cast("decimal(28,6)")).cast("double")
+
+
+def tilts(sizes: DataFrame, targets: DataFrame, cap: float = 2.0, tolerance: float = 1e-7, rounds: int = 200) -> DataFrame:
     """source, source_size, target, n, mean, tilt: Newton iterations on the dual, all sources at once.
 
     An iteration joins the tilts to the counts by (source, size) and sums tokens and their derivative by source. The
     step is Newton's for the logarithm of the tokens; where it would leave the bracket known to hold the root, which
-    the cap makes possible, the bracket is halved. A target of all `cap` copies, or of none, is met at its bound."""
+    the cap makes possible, the bracket is halved, so that a handful of rounds is the rule; sources that are still open
+    after `rounds` are an error. A target of all `cap` copies, or of none, is met at its bound."""
     cells = checkpointed(sizes.filter(F.col("size") > 0).groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
     size, n = F.col("size"), F.col("n")
     start = cells.groupBy("source").agg(F.sum(n).alias("n"), F.min(size).alias("least"), (F.sum(size * n) / F.sum(n)).alias("mean"), F.sum(size * n).alias("tokens"))
@@ -93,8 +99,8 @@ def tilts(sizes: DataFrame, targets: DataFrame, cap: float = 2.0, tolerance: flo
         rate = _rate(size, F.col("tilt"), F.col("mean"), cap)
         here = cells.select(F.col("source").alias("of"), "size", F.col("n").alias("docs")).join(state.filter(~F.col("done")), F.col("source").eqNullSafe(F.col("of")))
         sums = here.groupBy("source").agg(
-            F.sum(F.col("docs") * size * rate).alias("got"),
-            F.sum(F.when(rate < cap, F.col("docs") * size * size / F.col("mean") * rate).otherwise(F.lit(0.0))).alias("slope"),
+            _exact(F.col("docs") * size * rate).alias("got"),
+            _exact(F.when(rate < cap, F.col("docs") * size * size / F.col("mean") * rate).otherwise(F.lit(0.0))).alias("slope"),
         )
         moved = state.join(sums.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
         low = F.when(F.col("got") < F.col("target"), F.col("tilt")).otherwise(F.col("low"))
@@ -112,6 +118,9 @@ def tilts(sizes: DataFrame, targets: DataFrame, cap: float = 2.0, tolerance: flo
                 (F.col("done") | near | (high - low <= 1e-13 * F.abs(high))).alias("done"),
             )
         )
+    else:
+        if not state.filter(~F.col("done")).isEmpty():
+            raise ValueError(f"sources without a tilt after {rounds} rounds")
     return state.select("source", "source_size", "target", "n", "mean", "tilt")
 
 
@@ -129,16 +138,20 @@ def _diffuse(table: pa.Table, schema: pa.Schema) -> pa.Table:
     return table.append_column("copies", pa.array(copies)).select(schema.names).cast(schema)
 
 
-def mix(sizes: DataFrame, targets: DataFrame, cap: float = 2.0, block_docs: int = 64, most_blocks: int = 4096) -> DataFrame:
+def mix(sizes: DataFrame, targets: DataFrame, cap: float = 2.0, block_docs: int = 256) -> DataFrame:
     """doc_id, source, size, source_size, target, rate, copies for each row of sized(); `targets` has source,
-    source_size and target. A source has a block for each `block_docs` documents, up to `most_blocks`."""
-    tilted = tilts(sizes, targets, cap).withColumnsRenamed({"source": "of", "n": "docs"}).drop("source_size", "target")
-    whole = targets.select(F.col("source").alias("whole_of"), "source_size", "target")
-    known = whole.join(tilted, F.col("whole_of").eqNullSafe(F.col("of")), "left").drop("of")
+    source_size and target. A source has a block for each `block_docs` documents with words, however many they are; the
+    documents of a large source meet its figures where they are."""
+    key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("")).alias("key")  # noqa: E731  never null
+    tilted = tilts(sizes, targets, cap).select(key("source"), F.col("n").alias("docs"), "mean", "tilt")
+    rows_of = sizes.groupBy(key("source")).agg(F.count(F.lit(1)).alias("n"))
+    known = targets.select(key("source"), "source_size", "target").join(tilted, "key", "left").join(rows_of, "key")
+    known = checkpointed(known)
+    n_rows = known.agg(F.sum("n")).first()[0] or 0
     rate = F.when((F.col("size") > 0) & F.col("tilt").isNotNull(), _rate(F.col("size"), F.col("tilt"), F.col("mean"), cap)).otherwise(F.lit(1.0))
-    blocks = F.least(F.lit(most_blocks), F.ceil(F.coalesce(F.col("docs"), F.lit(1)) / F.lit(block_docs)))
+    blocks = F.ceil(F.coalesce(F.col("docs"), F.lit(1)) / F.lit(block_docs))
     rows = (
-        sizes.join(known, F.col("source").eqNullSafe(F.col("whole_of")))
+        join_uneven(sizes.select("*", key("source")), known, ["key"], n_rows)
         .withColumn("rate", rate)
         .withColumn("block", F.pmod(F.xxhash64("doc_id", "size"), blocks))
         .select("doc_id", "source", "size", "source_size", "target", "rate", "block")
