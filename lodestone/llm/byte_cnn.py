@@ -10,7 +10,8 @@ holds whole texts, at most `per_class` of each label and `most_bytes` bytes in a
 there, and only there, texts of more than `longest` bytes are passed over.
 
 A null text counts as empty; an empty text has no answers and gets the probability that the bias says. Labels other
-than 0 and 1, null labels and ids with both labels teach nothing; without any labelled text every score is 0.5.
+than 0 and 1, null labels and ids with both labels teach nothing; without any labelled text every score is 0.5. Of
+documents that share a labelled id the shortest text is learned from.
 Repeated rows get equal scores, and an empty table gives an empty one. Other columns are ignored.
 """
 
@@ -22,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.tasks import per_row
+from lodestone.llm.tasks import checkpointed, per_row
 
 VECTOR, STEP, CHUNK = 8, 4, 256
 PER_CHUNK = CHUNK // STEP
@@ -140,14 +141,17 @@ def sample(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: s
     counts = dict(one.groupBy("label__").count().collect())
     order = [F.xxhash64("id__"), F.col("id__")]
     chosen = F.broadcast(one.filter("label__ = 0").orderBy(*order).limit(per_class).unionAll(one.filter("label__ = 1").orderBy(*order).limit(per_class)))  # at most 2 * per_class rows
-    found = docs.select(F.col(doc_id).alias("id__"), F.col(text).alias("text__")).join(chosen, "id__")
-    sizes = sorted(found.select(F.xxhash64("id__"), "id__", "label__", F.octet_length("text__")).collect(), key=lambda r: (r[0], r[1]))
+    found = docs.select(F.col(doc_id).alias("id__"), F.coalesce(F.col(text), F.lit("")).alias("text__")).join(chosen, "id__")
+    # of rows of equal id the one of the shortest text, then the least: so there is one for each chosen id
+    found = found.groupBy("id__", "label__").agg(F.min(F.struct(F.octet_length("text__").alias("size"), "text__")).alias("one__")).select("id__", "label__", "one__.size", "one__.text__")
+    found = checkpointed(found)
+    sizes = sorted(found.select(F.xxhash64("id__"), "id__", "size").collect(), key=lambda r: (r[0], r[1]))
     taken, total = set(), 0
-    for _, i, _, size in sizes:
+    for _, i, size in sizes:
         if (size or 0) <= longest and total + (size or 0) <= most_bytes:
             total += size or 0
             taken.add(i)
-    rows = [(str(r["id__"]), r["text__"] or "", int(r["label__"])) for r in found.filter(F.col("id__").isin(*taken)).collect()] if taken else []
+    rows = [(str(r["id__"]), r["text__"], int(r["label__"])) for r in found.filter(F.col("id__").isin(*taken)).collect()] if taken else []
     rows.sort()
     n = [sum(r[2] == k for r in rows) for k in (0, 1)]
     odds = counts[1] / counts[0] * n[0] / n[1] if all(n) else 1.0
