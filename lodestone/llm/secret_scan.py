@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 #: password in a URL; a key that its prefix gives away; and any whole run of token characters, 12 or more, with a digit or
 #: a change from lower to upper case in it.
 CANDIDATE = (
-    r"(?<=(?i:pass|passwd|password|passphrase|pwd|secret|token|key)[\"'`]{0,1}\s{0,2}[=:]\s{0,2}[\"'`]{0,1})[^\s\"'`=:]{5,}[^\s\"'`=:,.;)\]]"
-    r"|(?<=://[^\s:/@]{1,40}:)[^\s/@]{4,}+(?=@)"
+    r"(?<=[=:\"'`\s])(?<=[=:][\"'`\s]{0,4})(?<=(?i:pass|passwd|password|passphrase|pwd|secret|token|key)[\"'`]{0,1}\s{0,2}[=:]\s{0,2}[\"'`]{0,1})[^\s\"'`=:]{5,}[^\s\"'`=:,.;)\]]"
+    r"|(?<=:)(?<=://[^\s:/@]{1,40}:)[^\s/@]{4,}+(?=@)"
     r"|(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
     r"|(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9]|[A-Za-z0-9+/_\-]*[a-z][A-Z])[A-Za-z0-9+/_\-]{12,}={0,2}"
 )
