@@ -13,11 +13,10 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.tasks import bounded_batches, checkpointed, per_row, stored
@@ -100,43 +99,69 @@ def _forms():
     return lambda text: (digest(canonical(text)), canonical(text))
 
 
-def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_docs: int = 512, most_blocks: int = 1_000_000) -> DataFrame:
-    """doc_id, text, next_text, block, extra: each row with the text of the next one by descending id; the first
-    follows the last. Rows of equal id follow each other by the hash of their texts.
+def _longs(values: np.ndarray) -> Column:
+    """An array column; one literal in the plan, however many values."""
+    return F.split(F.lit(",".join(map(str, values.tolist()))), ",").cast("array<bigint>") if len(values) else F.array().cast("array<bigint>")
 
-    Ids are cut into blocks of equal width, and each block also gets a copy of the first row of the block below
-    (`extra` is 1), so that no window spans more than a block. The table of blocks has at most `most_blocks` rows."""
+
+def _below(bounds: np.ndarray, value: Column, step: int = 64) -> Column:
+    """How many of the ascending bounds are at most the value: first by every step-th bound, then within a step."""
+    coarse = F.size(F.filter(_longs(bounds[::step]), lambda b: b <= value))
+    fine = F.slice(_longs(bounds), F.greatest(coarse - 1, F.lit(0)) * step + 1, step)
+    return F.greatest(coarse - 1, F.lit(0)) * step + F.size(F.filter(fine, lambda b: b <= value))
+
+
+def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_docs: int = 512, most_blocks: int = 4096) -> DataFrame:
+    """doc_id, text, next_text, block, extra: each row with the text of the next one by descending id, null ids last; the
+    first follows the last. Rows of equal id follow each other by the hash of their texts. Ids are whole numbers.
+
+    Rows are cut into blocks at quantiles of the ids, so gaps and outliers don't matter; ids that fill blocks alone, and
+    null ids, are cut further by the hash. Each block also gets a copy of the first row of the one after it (`extra` is
+    1), so that no window spans more than a block. There are at most 3 * most_blocks + 1 blocks, whatever the input."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    low, high, n = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    low, high = low or 0, high or 0
-    width = max(1, -(-(high - low + 1) // max(1, min(most_blocks, n // block_docs))))
-    block = F.coalesce(F.floor((F.col("doc_id") - F.lit(low)) / F.lit(width)), F.lit(-1)).cast("long")
-    firsts = rows.groupBy(block.alias("block")).agg(F.max("doc_id").alias("first"))
-    above = Window.orderBy("block")
-    to = F.coalesce(F.lead("block").over(above), F.min("block").over(above.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    firsts = F.broadcast(firsts.select("first", to.alias("to"), F.when(F.lead("block").over(above).isNull(), 2).otherwise(1).alias("extra")))
-    copies = rows.join(firsts, F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "text", F.col("to").alias("block"), "extra")
-    both = rows.select("doc_id", "text", block.alias("block"), F.lit(0).alias("extra")).unionByName(copies)
-    return both.withColumn("tie", F.xxhash64("text")).withColumn("next_text", F.lead("text").over(down()))
+    n, known = rows.agg(F.count(F.lit(1)), F.count("doc_id")).first()
+    wanted = int(np.clip(known // block_docs, 1, most_blocks))
+    cuts = rows.agg(F.percentile_approx("doc_id", [k / wanted for k in range(1, wanted + 1)], 8 * wanted)).first()[0]
+    bounds, times = np.unique(np.array(cuts or [], np.int64), return_counts=True)
+    hot = bounds[times > 1]  # ids with the rows of whole blocks
+    without = int(np.clip((n - known) // block_docs, 1, most_blocks))
+    rows = rows.withColumn("tie", F.xxhash64("text")).withColumn("at", _below(bounds, F.col("doc_id")))
+    rows = rows.withColumn("hot_at", F.array_position(_longs(hot), F.col("doc_id")).cast("int"))
+    parts = F.when(F.col("doc_id").isNull(), F.lit(without)).when(F.col("hot_at") > 0, F.get(_longs(times[times > 1]), F.col("hot_at") - 1)).otherwise(0)
+    part = F.when(parts > 0, 1 + F.least(F.floor((F.col("tie") / F.lit(2.0**64) + 0.5) * parts), parts - 1)).otherwise(0)
+    # blocks are numbered in the order of the rows: descending ids, and of an id that is cut the parts by hash
+    block = (F.lit(len(bounds) + 1) - F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("at"))) * F.lit(1 << 20) + part
+    rows = rows.select("doc_id", "text", "tie", block.cast("long").alias("block"))
+    firsts = rows.groupBy("block").agg(F.max(F.struct("doc_id", F.bitwise_not("tie").alias("turned"))).alias("first"))
+    chain = Window.orderBy("block")
+    to = F.coalesce(F.lag("block").over(chain), F.max("block").over(chain.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    firsts = F.broadcast(firsts.select(F.col("first.doc_id").alias("first"), F.bitwise_not("first.turned").alias("first_tie"), to.alias("to")))
+    copies = rows.join(firsts, F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("tie") == F.col("first_tie")))
+    copies = copies.select("doc_id", "text", "tie", F.col("to").alias("block"), F.lit(1).alias("extra"))
+    return rows.withColumn("extra", F.lit(0)).unionByName(copies).withColumn("next_text", F.lead("text").over(down()))
 
 
 def down():
-    """Within a block: its own rows by descending id, then the copy from the block below, or from the top."""
+    """Within a block: its own rows by descending id, then the copy of the row that follows them."""
     return Window.partitionBy("block").orderBy("extra", F.col("doc_id").desc_nulls_last(), "tie")
 
 
+def _compared():
+    def one(text: str, edited: str, after: str) -> tuple[str, str, float, float]:
+        form, edited_form = canonical(text), canonical(edited)
+        return digest(form), digest(edited_form), float(form == edited_form), float(form == canonical(after))
+
+    return one
+
+
 def edits(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next: each text against its
-    edited text, whose last third is the beginning of the next document. Fingerprints are exact, so likeness is 1 if
-    they are equal and 0 if not."""
+    edited text, whose last third is the beginning of the next document. The fingerprint stands for the canonical bytes,
+    so likeness is 1 if these are equal and 0 if not; the bytes themselves are compared."""
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - third), F.substring("next_text", F.lit(1), third))
-    rows = with_next(docs).select("doc_id", "block", "extra", "tie", "text", n.cast("long").alias("n_chars"), edited.alias("edited"))
+    rows = with_next(docs).filter("extra = 0").select("doc_id", n.cast("long").alias("n_chars"), "text", "next_text", edited.alias("edited"))
     rows = rows.withColumn("edited_sha256", F.sha2("edited", 256))
-    kept = ["doc_id", "block", "extra", "tie", "n_chars", "edited_sha256"]
-    rows = fingerprints(rows, kept, {"fingerprint": "text", "edited_fingerprint": "edited"})
-    rows = rows.withColumn("next_fingerprint", F.lead("fingerprint").over(down())).filter("extra = 0")
-    like = lambda other: (F.col("fingerprint") == F.col(other)).cast("double")
-    rows = rows.withColumns({"near_edited": like("edited_fingerprint"), "near_next": like("next_fingerprint")})
-    return stored(rows.drop("block", "extra", "tie", "next_fingerprint"))
+    columns = "fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    return stored(per_row(rows, ["doc_id", "n_chars", "edited_sha256"], ["text", "edited", "next_text"], columns, _compared))

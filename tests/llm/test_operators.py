@@ -466,6 +466,18 @@ def test_fingerprints_edits_and_groups_equal_brute_force(spark):
     assert fingerprint.edits(documents(spark)).count() == 12 and fingerprint.edits(documents(spark, True)).count() == 0
 
 
+def test_blocks_of_ids_are_small_and_follow_each_other(spark):
+    rows = [(2 * i, f"t{i}") for i in range(3000)] + [(10**12, "far"), (-(10**15), "low")]
+    rows += [(777, f"hot {i}") for i in range(1500)] + [(None, f"none {i}") for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = fingerprint.with_next(docs, block_docs=50).filter("extra = 0").collect()
+    sizes = collections.Counter(r.block for r in got)
+    assert len(got) == len(rows) and max(sizes.values()) < 250 and len(sizes) > 60
+    order = sorted(got, key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.tie))
+    assert [r.next_text for r in order] == [r.text for r in order[1:] + order[:1]]
+    assert [r.block for r in order] == sorted(r.block for r in order)
+
+
 def test_equal_digests_of_other_texts_are_told_apart(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "b"), (2, "a"), (3, "A "), (4, "c")], "doc_id long, text string")
     # a digest that collides on purpose, in the driver and, as it is sent with the functions, in the tasks
