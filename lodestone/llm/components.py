@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.tasks import checkpointed, join_uneven
+from lodestone.llm.tasks import join_uneven, removed, written
 
 
 def _star(edges: DataFrame, large: bool, n_edges: int) -> DataFrame:
@@ -28,14 +28,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, label for each node that has an edge: the label is the least node of its component.
 
     Large and small stars alternate until nothing changes; then every edge leads to the least node. Each round's edges
-    are written to the shared folder; only a count and a checksum come to the driver."""
+    are written to the shared folder in place of the last; only a count and a checksum come to the driver."""
     now = edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).filter("hi > lo").distinct()
-    now, last = checkpointed(now), None
+    (now, path), last = written(now), None
     while True:
         check = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if check == last:
             break
         last = check
-        now = checkpointed(_star(now, True, check[0]))  # at most as many edges as before
-        now = checkpointed(_star(now, False, check[0]))
+        for large in (True, False):
+            before = path
+            now, path = written(_star(now, large, check[0]))  # large stars leave at most as many edges as before
+            removed(edges.sparkSession, before)
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("label")).unionAll(now.select(F.col("lo").alias("node"), F.col("lo").alias("label")).distinct())

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import components
-from lodestone.llm.tasks import bounded_batches, checkpointed, join_uneven, likely_in, per_row, stored
+from lodestone.llm.tasks import bounded_batches, join_uneven, likely_in, per_row, stored
 
 MASK = (1 << 64) - 1
 #: A text counts once in a block, and once more for so many words, which bounds the bytes of a block.
@@ -199,11 +199,11 @@ def _stars(members: DataFrame, n_members: int, block: int, hubs: int) -> DataFra
     in each of its parts. members: node, load, band, n; a band's hub is the text with most others in its bands."""
     weight = members.groupBy("node").agg(F.sum("n").alias("weight"))
     of_band = members.join(weight, "node").groupBy("band").agg(F.max_by("node", F.struct("weight", "node")).alias("hub"), F.count(F.lit(1)).alias("n"))
-    near = join_uneven(members.select("node", "load", "band"), checkpointed(of_band), ["band"], n_members)
+    near = join_uneven(members.select("node", "load", "band"), stored(of_band), ["band"], n_members)
     near = near.filter("node != hub").groupBy("node", "load", "hub").agg(F.count(F.lit(1)).alias("bands"))
     order = Window.partitionBy("node").orderBy(F.col("bands").desc(), "hub")
-    near = checkpointed(near.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= hubs).select("node", "load", "hub"))
-    parts = checkpointed(near.groupBy("hub").agg(F.ceil(F.sum("load") / F.lit(block)).alias("parts"), F.count(F.lit(1)).alias("n")))
+    near = stored(near.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= hubs).select("node", "load", "hub"))
+    parts = stored(near.groupBy("hub").agg(F.ceil(F.sum("load") / F.lit(block)).alias("parts"), F.count(F.lit(1)).alias("n")))
     dealt = join_uneven(near, parts, ["hub"], n_members).select("node", "hub", F.pmod(F.xxhash64("node"), "parts").alias("part"))
     own = parts.select(F.col("hub").alias("node"), "hub", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
     return dealt.unionAll(own)
@@ -216,14 +216,14 @@ def _met(sets: DataFrame, known: DataFrame, n_sets: int, block: int) -> DataFram
     A class that fills a block or more has blocks of its own, which do not meet each other, as it is linked already; the
     other texts share blocks that meet all. A set of one class has no blocks."""
     placed = sets.join(known, "node", "left").select("node", "load", "set", F.coalesce("label", "node").alias("class"))
-    placed = checkpointed(placed)
+    placed = stored(placed)
     classes = placed.groupBy("set", "class").agg(F.sum("load").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("unit", F.when(F.col("m") >= block, F.col("class")))
     units = classes.groupBy("set", "unit").agg(F.ceil(F.sum("m") / F.lit(block)).alias("blocks"), F.count(F.lit(1)).alias("n_classes"))
     whole = Window.partitionBy("set")
     before = F.sum("blocks").over(whole.orderBy("unit").rowsBetween(Window.unboundedPreceding, -1))
     units = units.withColumns({"first": F.coalesce(before, F.lit(0)), "total": F.sum("blocks").over(whole), "n_classes": F.sum("n_classes").over(whole)}).filter("n_classes > 1")
     of_class = classes.select("set", "class", "unit", "n").join(units.withColumnsRenamed({"set": "of_set", "unit": "of_unit"}), (F.col("set") == F.col("of_set")) & F.col("unit").eqNullSafe(F.col("of_unit")))
-    of_class = checkpointed(of_class.select("set", "class", "n", F.col("unit").isNotNull().alias("own"), "first", "blocks", "total"))
+    of_class = stored(of_class.select("set", "class", "n", F.col("unit").isNotNull().alias("own"), "first", "blocks", "total"))
     rows = join_uneven(placed, of_class, ["set", "class"], n_sets).withColumn("mine", F.col("first") + F.pmod(F.xxhash64("node"), "blocks"))
     every = F.sequence(F.lit(0).cast("bigint"), F.col("total") - 1)
     others = F.filter(every, lambda x: ~F.col("own") | (x < F.col("first")) | (x >= F.col("first") + F.col("blocks")))
@@ -238,17 +238,17 @@ def _classes(
     given = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = given.schema["doc_id"].dataType.simpleString()
     bounded_batches(docs.sparkSession)
-    signed = checkpointed(given.mapInArrow(partial(_signed, width=width, bands=bands, rows=rows), f"doc_id {kind}, node binary, load bigint, bands array<bigint>"))
+    signed = stored(given.mapInArrow(partial(_signed, width=width, bands=bands, rows=rows), f"doc_id {kind}, node binary, load bigint, bands array<bigint>"))
     nodes = signed.groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.any_value("load").alias("load"), F.any_value("bands").alias("bands"))
-    nodes = checkpointed(nodes)
+    nodes = stored(nodes)
 
     in_bands = nodes.select("node", "load", F.explode("bands").alias("band"))
-    shared = checkpointed(in_bands.groupBy("band").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    shared = stored(in_bands.groupBy("band").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
     n_members = shared.agg(F.sum("n")).first()[0] or 0
-    members = checkpointed(join_uneven(in_bands, shared, ["band"], n_members))
+    members = stored(join_uneven(in_bands, shared, ["band"], n_members))
     ties = components(members.filter("node > least").select("least", "node"), "least", "node")
-    tied = checkpointed(ties.join(nodes.select("node", F.col("first").alias("doc_id"), "load", "bands"), "node"))
-    sizes = checkpointed(tied.groupBy("label").agg(F.sum("load").alias("loads"), F.count(F.lit(1)).alias("n")))
+    tied = stored(ties.join(nodes.select("node", F.col("first").alias("doc_id"), "load", "bands"), "node"))
+    sizes = stored(tied.groupBy("label").agg(F.sum("load").alias("loads"), F.count(F.lit(1)).alias("n")))
 
     keyed = per_row(likely_in(given, "doc_id", tied), ["doc_id", "text"], ["text"], "node binary", _node_of)
     keyed = keyed.groupBy("node", _never_null("doc_id").alias("key")).agg(F.min("text").alias("text"))  # of repeated rows one
@@ -266,17 +266,17 @@ def _classes(
     one_block = in_sets.filter(F.col("loads") <= block).select("node", "label")
     found = one_block.join(texts, "node").groupBy("label").applyInArrow(links, "a binary, b binary")
     if not sizes.filter(F.col("loads") > block).isEmpty():
-        wide = checkpointed(members.join(in_sets.filter(F.col("loads") > block).select("node", "label"), "node").select("node", "load", "label", "band", "n"))
+        wide = stored(members.join(in_sets.filter(F.col("loads") > block).select("node", "label"), "node").select("node", "load", "label", "band", "n"))
         n_wide = wide.count()
         stars = _stars(wide, n_wide, block, hubs)
-        to_hubs = checkpointed(stars.join(texts, "node").groupBy("hub", "part").applyInArrow(links, "a binary, b binary"))
+        to_hubs = stored(stars.join(texts, "node").groupBy("hub", "part").applyInArrow(links, "a binary, b binary"))
         sets = wide.select("node", "load", F.col("band").alias("set"))
         met = _met(sets, components(to_hubs), n_wide, block).join(texts, "node").withColumn("other", F.explode("others"))
         met = met.select("node", "text", "bands", "set", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
         found = found.unionAll(to_hubs).unionAll(met.groupBy("set", "i", "j").applyInArrow(links, "a binary, b binary"))
     label = components(found)
     labelled = nodes.select("node", "first", "copies").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    return signed.select("doc_id", "node"), checkpointed(labelled)
+    return signed.select("doc_id", "node"), stored(labelled)
 
 
 def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -289,8 +289,8 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **
     rows, nodes = _classes(docs, doc_id, text, **options)
     ids = nodes.groupBy("label").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("n"))
     n_nodes = nodes.count()
-    of_node = join_uneven(nodes.select("node", "label", "copies"), checkpointed(ids), ["label"], n_nodes)
-    of_node = checkpointed(of_node.select("node", "class_id", F.lower(F.hex("label")).alias("class_key"), "class_size", "copies", F.col("copies").alias("n")))
+    of_node = join_uneven(nodes.select("node", "label", "copies"), stored(ids), ["label"], n_nodes)
+    of_node = stored(of_node.select("node", "class_id", F.lower(F.hex("label")).alias("class_key"), "class_size", "copies", F.col("copies").alias("n")))
     n_rows = of_node.agg(F.sum("n")).first()[0] or 0
     return join_uneven(rows, of_node, ["node"], n_rows).select("doc_id", "class_id", "class_key", "class_size", "copies")
 
@@ -311,7 +311,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opti
     text digest decides, and of rows of equal words the least hash of the row."""
     _, nodes = _classes(docs, doc_id, text, **options)
     kept = nodes.groupBy("label").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "node")).alias("one"))
-    kept = checkpointed(kept.select(F.col("one.first").alias(doc_id), F.col("one.node").alias("node__")))
+    kept = stored(kept.select(F.col("one.first").alias(doc_id), F.col("one.node").alias("node__")))
     keyed = per_row(likely_in(docs, doc_id, kept), docs.columns, [text], "node__ binary", _node_of)
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
     plain = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]

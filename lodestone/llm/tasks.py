@@ -60,11 +60,22 @@ def checkpointed(rows: DataFrame) -> DataFrame:
     return rows.checkpoint()
 
 
-def stored(rows: DataFrame) -> DataFrame:
-    """The rows, written once as a Parquet table in the shared folder: for wide rows, which take less disk so."""
+def written(rows: DataFrame) -> tuple[DataFrame, str]:
+    """The rows, written once as a Parquet table in the shared folder, and the path of that table."""
     path = f"{shared_folder(rows.sparkSession)}/{uuid.uuid4().hex}"
     rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path), path
+
+
+def stored(rows: DataFrame) -> DataFrame:
+    """The rows, written once as a Parquet table in the shared folder: for wide rows or many, which take less disk so."""
+    return written(rows)[0]
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a table of the shared folder that nothing reads any more."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def likely_in(rows: DataFrame, key: str, wanted: DataFrame, most_bits: int = 1 << 30) -> DataFrame:
