@@ -88,6 +88,7 @@ def likely_in(rows: DataFrame, key: str, wanted: DataFrame, most_bits: int = 1 <
     slot = F.xxhash64(key).bitwiseAND(F.lit(bits - 1)) + 1
     bitmap = np.zeros(bits // 8, np.uint8)
     parts = wanted.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    parts = stored(parts)  # else each shuffle partition is a job of its own, however small
     for part in parts.toLocalIterator():
         at = (part["part"] - 1) * 4096
         bitmap[at : at + 4096] |= np.frombuffer(part["bits"], np.uint8)[: bits // 8 - at]

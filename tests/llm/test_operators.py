@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lodestone.llm import byte_cnn, compression, fingerprint, mixing, neardup, pieces, preference, pseudonyms, registry, secret_scan, url_filter
+from lodestone.llm import byte_cnn, components, compression, fingerprint, mixing, neardup, pieces, preference, pseudonyms, registry, secret_scan, url_filter
 from tests.llm.tables import by_id, documents, prose
 
 SF = "/root/testdata/sf0.001"
@@ -576,3 +576,42 @@ def test_character_model_is_a_distribution():
     m = url_filter.CharacterModel(["abcab", "aab"], order=3, alphabet=4)
     for context in ("", "a", "ab", "zab"):
         assert abs(sum(m.probability(context, c) for c in "abc\n") - 1) < 1e-9
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_components_of_chains_stars_and_repeated_edges(spark, parts):
+    rng = np.random.default_rng(3)
+    names = [hashlib.md5(str(i).encode()).digest() for i in range(900)]
+    pairs = [(i, i + 1) for i in range(299)]  # a chain
+    pairs += [(300, i) for i in range(301, 600)] * 2  # a star, each edge twice
+    pairs += [tuple(map(int, p)) for p in rng.integers(600, 900, (200, 2))]  # loops among them
+    of = list(range(900))
+
+    def root(i):
+        while of[i] != i:
+            i = of[i]
+        return i
+
+    for a, b in pairs:
+        of[root(a)] = root(b)
+    members = collections.defaultdict(list)
+    for i in {i for a, b in pairs if a != b for i in (a, b)}:
+        members[root(i)].append(names[i])
+    want = {n: min(group) for group in members.values() for n in group}
+    edges = spark.createDataFrame([(names[a], names[b]) for a, b in rng.permutation(pairs)], "a binary, b binary").repartition(parts)
+    got = components.components(edges).collect()
+    assert len(got) == len(want) and {bytes(r.node): bytes(r.label) for r in got} == want
+
+
+def test_components_without_edges(spark):
+    assert components.components(spark.createDataFrame([], "a binary, b binary")).collect() == []
+
+
+def test_contraction_in_small_steps_keeps_components():
+    import pyarrow as pa
+
+    names = [bytes([i]) for i in range(60)]
+    batches = [pa.RecordBatch.from_pydict({"hi": [names[i + 1]], "lo": [names[i]]}) for i in range(59)]
+    for most in (1, 4, 16, 1000):
+        kept = pa.Table.from_batches(components._contract(iter(batches), most))
+        assert components._forest(kept).column("lo").unique().to_pylist() == [names[0]]
