@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import byte_cnn, compression, fingerprint, mixing, neardup, pieces, preference, pseudonyms, secret_scan, url_filter
+from lodestone.llm import byte_bpe, byte_cnn, compression, filter_audit, fingerprint, mixing, neardup, pieces, preference, pseudonyms, resampling, secret_scan, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,12 @@ def piece_model() -> bytes:
     return pieces.read_model(public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def byte_vocabulary() -> bytes:
+    import public_tokenizers
+
+    return pieces.read_model(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op1_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = preference.formatted(preference.neighbour_pairs(_table(spark, sf_dir, "conversations")))
     masks = [F.expr(preference.span_text(f"{side}_spans")).alias(f"{side}_mask") for side in ("chosen", "rejected")]
@@ -74,6 +80,18 @@ def op10_url_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(pages, url_filter.fit(url_filter.examples(pages)))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.round_trip_digests(_table(spark, sf_dir, "documents"), byte_vocabulary())
+
+
 def queries() -> dict:
     found = (
         op1_preference_pairs,
@@ -86,9 +104,12 @@ def queries() -> dict:
         op8_canonical_digest,
         op9_sentencepiece,
         op10_url_markov,
+        op11_filter_audit,
+        op12_importance_resampling,
+        op13_byte_bpe,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_preference_pairs": preference.ORACLE}
+    return {"op1_preference_pairs": preference.ORACLE, "op11_filter_audit": filter_audit.ORACLE}
