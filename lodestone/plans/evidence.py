@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import strip_tags
 from lodestone.operators import agent, embedding, evaluation, evolution, retrieval, safety
 from lodestone.plans.catalog import query
-from lodestone.session import spread, table
+from lodestone.session import shared_folder, spread, table
 from lodestone.sources import files
 from lodestone.streaming import incremental
 
@@ -298,7 +295,7 @@ def embed_hashing(spark, folder):
 SELECT d.source AS collection, count(*) AS chunks, round(sum(list_max(v)), 4) AS peaks FROM (SELECT {COLL} AS source, doc_id FROM documents) d JOIN (SELECT CAST(split_part(id, ':', 1) AS BIGINT) AS doc_id, v FROM e) USING (doc_id) GROUP BY 1""")
 def vector_rebuild(spark, folder):
     """The vector store anew, chunk by chunk, and what it then holds."""
-    at = _shared(spark)
+    at = shared_folder(spark)
     docs = table(spark, folder, "documents").select("doc_id", "text", retrieval.collection_of(F.col("source")).alias("collection"))
     files.rebuild_vectors(docs, at)
     rows = spark.read.parquet(at)
@@ -456,7 +453,7 @@ def eval_compare_runs(spark, folder):
 SELECT 'first' AS run_id, query_id AS item_id, metric, value FROM (UNPIVOT (SELECT query_id, recall, CAST(precision AS DOUBLE) AS precision, CAST(hit AS DOUBLE) AS hit, rr, ndcg FROM m) ON recall, precision, hit, rr, ndcg INTO NAME metric VALUE value)""")
 def eval_run(spark, folder):
     """From a test file to stored records: 20 samples of a JSON test set."""
-    at = _shared(spark)
+    at = shared_folder(spark)
     table(spark, folder, "benchmark").write.json(f"{at}/test_set")
     files.append(evaluation.run(files.test_set(spark, f"{at}/test_set", lines=True), 20, table(spark, folder, "documents"), "first"), at, "table_eval_record")
     return spark.read.schema(files.schema("table_eval_record")).parquet(f"{at}/table_eval_record")
@@ -498,7 +495,7 @@ def event_windows(spark, folder):
 @query(FRAMES)
 def answer_frames_stream(spark, folder):
     """The frames of questions as they arrive: each batch of a stream is answered by the batch plan."""
-    asked, at = table(spark, folder, "benchmark"), _shared(spark)
+    asked, at = table(spark, folder, "benchmark"), shared_folder(spark)
 
     def made(batch: DataFrame) -> DataFrame:
         found = retrieval.bm25(_index(spark, folder), retrieval.query_terms(batch, "item_id"))
@@ -517,7 +514,7 @@ def _events(spark: SparkSession, folder: str) -> DataFrame:
 @query("SELECT event_id, user_id, event_type FROM events")
 def stream_once(spark, folder):
     """Events that are delivered twice, each kept once within the watermark."""
-    at, both = _shared(spark), _events(spark, folder).unionByName(_events(spark, folder))
+    at, both = shared_folder(spark), _events(spark, folder).unionByName(_events(spark, folder))
     incremental.run(incremental.once(both).select("event_id", "user_id", "event_type"), f"{at}/target", f"{at}/progress")
     return spark.read.parquet(f"{at}/target")
 
@@ -533,7 +530,7 @@ n AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRE
 SELECT * FROM d WHERE ended + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
 def stream_sessions(spark, folder):
     """Sessions of a stream that its watermark has closed."""
-    at = _shared(spark)
+    at = shared_folder(spark)
     incremental.run(incremental.sessions(_events(spark, folder)), f"{at}/target", f"{at}/progress")
     plain = [F.col(c).cast("timestamp_ntz").alias(c) for c in ("started", "ended")]
     return spark.read.parquet(f"{at}/target").select("user_id", *plain, "n")
@@ -543,7 +540,7 @@ def stream_sessions(spark, folder):
 r AS (SELECT user_id, event_type, island, count(*) AS n FROM o GROUP BY 1, 2, 3) SELECT user_id, CAST(sum(n) AS BIGINT) AS seen, max(n) AS longest FROM r GROUP BY 1""")
 def stream_runs(spark, folder):
     """State for each user: the longest run of one type of event; what the last batch said of each."""
-    at = _shared(spark)
+    at = shared_folder(spark)
     stream = incremental.longest_runs(_events(spark, folder))
 
     def write(batch: DataFrame, number: int) -> None:
@@ -553,20 +550,10 @@ def stream_runs(spark, folder):
     return spark.read.parquet(f"{at}/target").groupBy("user_id").agg(F.max("seen").alias("seen"), F.max("longest").alias("longest"))
 
 
-def _shared(spark: SparkSession) -> str:
-    """A new folder that all executors share; without spark.checkpoint.dir only a session on one machine has one."""
-    base = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="streams-")
-    return f"{base}/{uuid.uuid4().hex}"
-
-
 @query("SELECT doc_id, source, n_chars FROM documents")
 def stream_incremental(spark, folder):
     """Documents as they land, each id once, through two runs of the same stream."""
-    docs, at = table(spark, folder, "documents"), _shared(spark)
+    docs, at = table(spark, folder, "documents"), shared_folder(spark)
     stream = incremental.landed(spark, f"{folder}/documents.parquet*", docs.schema)
     for _ in range(2):
         incremental.load_new(stream.select("doc_id", "source", "n_chars"), f"{at}/target", f"{at}/progress", "doc_id")

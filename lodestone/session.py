@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -26,3 +29,23 @@ def spread(rows: DataFrame) -> DataFrame:
     more work than their shuffle. Tables of many splits, as all large ones are, stay as they are."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
     return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that all executors share, under spark.checkpoint.dir; without that setting only a session on one
+    machine has one."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        base = context.getConf().get("spark.checkpoint.dir")
+        if not base and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        context.setCheckpointDir(base or tempfile.mkdtemp(prefix="shared-"))
+    return f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
+
+
+def kept(rows: DataFrame) -> DataFrame:
+    """The rows, computed once and kept in the shared folder, for plans that read them several times: with their lineage
+    cut, they outlast the executors that made them. Spark removes the files with the frame where
+    spark.cleaner.referenceTracking.cleanCheckpoints is set."""
+    shared_folder(rows.sparkSession)
+    return rows.checkpoint()
