@@ -18,7 +18,8 @@ key is read from a table of one row, so it is in no plan, event log or page of t
   email  letters and digits before the @, each within its class; the domain stays
 
 A null text stays null and has no findings; an empty one has none. Each row is rewritten by itself: repeated rows get
-equal results, an empty table gives an empty one, long texts are rewritten whole, and other columns are kept.
+equal results, an empty table gives an empty one, long texts are rewritten whole, and other columns are kept, whatever
+their names; only one that has the name of the findings gives way to them.
 """
 
 from __future__ import annotations
@@ -26,11 +27,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.tasks import boxed, unboxed
+
 ROUNDS = 8
 
-#: name: pattern. Earlier ones win where two could start at one place.
+#: name: pattern. Earlier ones win where two could start at one place. Loops over groups are possessive or bounded: Java
+#: matches any other by a call for each turn, and a long text would end the JVM by its stack.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]*+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]*[A-Za-z0-9])+",
+    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]*+@[A-Za-z0-9\-]++(?:\.(?:-*+[A-Za-z0-9]++)++)++",
     "phone": r"(?<![\w+(])(?:\+?1[ .\-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .\-])[2-9][0-9]{2}[ .\-][0-9]{4}(?!\w)",
     "intl": r"(?<![\w+])\+[1-9][0-9]{0,2}(?:[ .\-]?\(?[0-9]{1,5}\)?){2,5}(?!\w)",
     "card": r"(?<![\w])(?:[0-9]{13,19}|[0-9]{4}(?:[ \-][0-9]{4}){3}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5})(?!\w)",
@@ -107,14 +111,16 @@ def _kinds(key: str) -> list[tuple[str, str, str]]:
 
 def _email(key: str) -> str:
     """Halves of the local part by turns: each letter or digit moves within its class by a keyed hash of the other."""
-    moved = lambda half, other: (
+    moved = lambda half, other: _let(
+        "o",
+        f"sha2({other}, 256)",
         f"array_join(transform(split({half}, ''), (x, i) -> "
         + _let(
             "z",
-            f"cast(conv(substring(sha2(concat_ws('|', {key}, 'email', k, i, {other}), 256), 1, 8), 16, 10) as bigint)",
+            f"cast(conv(substring(sha2(concat_ws('|', {key}, 'email', k, i, o), 256), 1, 8), 16, 10) as bigint)",
             "case when x rlike '[0-9]' then cast((ascii(x) - 48 + z) % 10 as string) when x rlike '[a-z]' then chr((ascii(x) - 97 + z) % 26 + 97) when x rlike '[A-Z]' then chr((ascii(x) - 65 + z) % 26 + 65) else x end",
         )
-        + "), '')"
+        + "), '')",
     )
     local = "substring_index(v, '@', 1)"
     start = f"named_struct('l', left({local}, length({local}) div 2), 'r', substring({local}, length({local}) div 2 + 1))"
@@ -125,19 +131,19 @@ def _email(key: str) -> str:
 def pseudonymised(docs: DataFrame, key: str, text: str = "text", findings: str = "findings") -> DataFrame:
     """docs with the text rewritten and the column `findings`, an array of structs (kind, start from 1, length in the
     given text, pseudonym)."""
-    given = f"coalesce(`{text}`, '')"
-    held = docs.sparkSession.createDataFrame([(key,)], "key__ string")
-    rows = docs.withColumns({"key__": held.scalar(), "values__": F.regexp_extract_all(F.expr(given), F.lit(ANY), F.lit(0)), "parts__": F.split(F.expr(given), ANY, -1)})
-    kinds = _kinds("key__")
+    held = docs.sparkSession.createDataFrame([(key,)], "key string")
+    given = F.coalesce("text", F.lit(""))
+    rows = boxed(docs, text=text).withColumns({"key": held.scalar(), "values": F.regexp_extract_all(given, F.lit(ANY), F.lit(0)), "parts": F.split(given, ANY, -1)})
+    kinds = _kinds("key")
     kind = "case " + " ".join(f"when {valid} then '{name}'" for name, valid, _ in kinds) + " end"
     other = "case t " + " ".join(f"when '{name}' then {made}" for name, _, made in kinds) + " end"
     each = _let("d", "regexp_replace(v, '[^0-9]', '')", _let("t", kind, f"named_struct('kind', t, 'pseudonym', {other})"))
-    rows = rows.withColumn("made__", F.expr(f"transform(values__, v -> {each})"))
-    at = "if(size(values__) = 0, cast(array() as array<int>), sequence(0, size(values__) - 1))"
+    rows = rows.withColumn("made", F.expr(f"transform(values, v -> {each})"))
+    at = "if(size(values) = 0, cast(array() as array<int>), sequence(0, size(values) - 1))"
     starts = f"""aggregate({at}, named_struct('next', 1, 'starts', cast(array() as array<int>)),
-        (s, i) -> named_struct('next', s.next + length(get(parts__, i)) + length(get(values__, i)), 'starts', concat(s.starts, array(s.next + length(get(parts__, i))))), s -> s.starts)"""
-    rows = rows.withColumn("starts__", F.expr(starts))
-    found = "transform(filter(arrays_zip(made__, starts__, values__), f -> f.made__.kind is not null), f -> named_struct('kind', f.made__.kind, 'start', f.starts__, 'length', length(f.values__), 'pseudonym', f.made__.pseudonym))"
-    rebuilt = "array_join(transform(arrays_zip(parts__, values__, made__), f -> concat(f.parts__, coalesce(f.made__.pseudonym, f.values__, ''))), '')"
-    rows = rows.withColumns({findings: F.expr(found), text: F.expr(f"if(size(values__) = 0, `{text}`, {rebuilt})")})
-    return rows.select(*docs.columns, findings)
+        (s, i) -> named_struct('next', s.next + length(get(parts, i)) + length(get(values, i)), 'starts', concat(s.starts, array(s.next + length(get(parts, i))))), s -> s.starts)"""
+    rows = rows.withColumn("starts", F.expr(starts))
+    found = "transform(filter(arrays_zip(made, starts, values), f -> f.made.kind is not null), f -> named_struct('kind', f.made.kind, 'start', f.starts, 'length', length(f.values), 'pseudonym', f.made.pseudonym))"
+    rebuilt = "array_join(transform(arrays_zip(parts, values, made), f -> concat(f.parts, coalesce(f.made.pseudonym, f.values, ''))), '')"
+    kept = [c for c in docs.columns if c.lower() != findings.lower()]
+    return rows.select(*unboxed(kept, **{text: F.expr(f"if(size(values) = 0, text, {rebuilt})")}), F.expr(found).alias(findings))

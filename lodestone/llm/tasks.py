@@ -9,7 +9,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -42,6 +42,18 @@ def per_row(rows: DataFrame, kept: list[str], texts: list[str], columns: str, st
     return rows.select(*dict.fromkeys([*kept, *texts])).mapInArrow(run, schema)
 
 
+def boxed(rows: DataFrame, without: tuple[str, ...] = (), **named: str) -> DataFrame:
+    """A struct `given` of the rows' columns, but for those in `without`, beside the columns of `named` under the names
+    given there: so the names of a caller's columns, whatever they are, don't meet those of an operator's own."""
+    given = [F.col(f"`{c}`") for c in rows.columns if c not in without] or [F.lit(None).cast("int").alias("none")]
+    return rows.select(F.struct(*given).alias("given"), *(F.col(f"`{c}`").alias(name) for name, c in named.items()))
+
+
+def unboxed(columns: list[str], **new: Column) -> list[Column]:
+    """The columns of boxed() rows in their order, those in `new` with their new values."""
+    return [(new[c] if c in new else F.col(f"given.`{c}`")).alias(c) for c in columns]
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir of the session. Where that is unset, a session on one
     machine, as in tests, gets a temporary one; on a cluster, whose executors would not share it, it is an error."""
