@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from lodestone.llm.corpus_words import n_words
-from lodestone.llm.tasks import checkpointed, join_uneven
+from lodestone.llm.tasks import boxed, checkpointed, join_uneven, unboxed
 
 
 def sized(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
@@ -150,10 +150,12 @@ def mix(sizes: DataFrame, targets: DataFrame, cap: float = 2.0, block_docs: int
     n_rows = known.agg(F.sum("n")).first()[0] or 0
     rate = F.when((F.col("size") > 0) & F.col("tilt").isNotNull(), _rate(F.col("size"), F.col("tilt"), F.col("mean"), cap)).otherwise(F.lit(1.0))
     blocks = F.ceil(F.coalesce(F.col("docs"), F.lit(1)) / F.lit(block_docs))
+    equal = sizes.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n_equal"))
+    each = equal.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "n_equal"))).drop("n_equal")  # equal rows spread over the blocks
     rows = (
-        join_uneven(sizes.select("*", key("source")), known, ["key"], n_rows)
+        join_uneven(each.select("*", key("source")), known, ["key"], n_rows)
         .withColumn("rate", rate)
-        .withColumn("block", F.pmod(F.xxhash64("doc_id", "size"), blocks))
+        .withColumn("block", F.pmod(F.xxhash64("doc_id", "size", "nth"), blocks))
         .select("doc_id", "source", "size", "source_size", "target", "rate", "block")
     )
     schema = T.StructType([rows.schema[c] for c in ("doc_id", "source", "size", "source_size", "target", "rate")] + [T.StructField("copies", T.LongType())])
@@ -168,9 +170,10 @@ def mix(sizes: DataFrame, targets: DataFrame, cap: float = 2.0, block_docs: int
 def repeated(docs: DataFrame, mixed: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs, each as often as `mixed`, the result of mix() over them, says. Rows of equal id and size share
     the copies of all of them, so repeated rows don't multiply."""
-    id_or = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    counts = mixed.groupBy(id_or("doc_id").alias("key__"), F.col("size").alias("size__")).agg(F.sum("copies").alias("all__"), F.count(F.lit(1)).alias("rows__"))
-    rows = docs.withColumns({"key__": id_or(doc_id), "size__": n_words(F.col(text))})
-    rows = rows.withColumn("nth__", F.row_number().over(Window.partitionBy("key__", "size__").orderBy(F.xxhash64(text))))
-    times = F.expr("cast(floor(all__ / rows__) + if(nth__ <= all__ % rows__, 1, 0) as int)")
-    return rows.join(counts, ["key__", "size__"]).withColumn("copy__", F.explode(F.array_repeat(F.lit(0), times))).select(*docs.columns)
+    id_or = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias("key")
+    counts = mixed.groupBy(id_or("doc_id"), "size").agg(F.sum("copies").alias("all"), F.count(F.lit(1)).alias("rows"))
+    rows = boxed(docs, (text,), doc_id=doc_id, text=text).select("given", "text", id_or("doc_id"), n_words(F.col("text")).alias("size"))
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("key", "size").orderBy(F.xxhash64("text"))))
+    times = F.expr("cast(floor(all / rows) + if(nth <= all % rows, 1, 0) as int)")
+    made = rows.join(counts, ["key", "size"]).withColumn("copy", F.explode(F.array_repeat(F.lit(0), times)))
+    return made.select(*unboxed(docs.columns, **{text: F.col("text")}))

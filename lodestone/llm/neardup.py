@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import components
-from lodestone.llm.tasks import bounded_batches, join_uneven, likely_in, per_row, stored
+from lodestone.llm.tasks import bounded_batches, boxed, join_uneven, likely_in, per_row, stored, unboxed
 
 MASK = (1 << 64) - 1
 #: A text counts once in a block, and once more for so many words, which bounds the bytes of a block.
@@ -311,9 +311,10 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opti
     text digest decides, and of rows of equal words the least hash of the row."""
     _, nodes = _classes(docs, doc_id, text, **options)
     kept = nodes.groupBy("label").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "node")).alias("one"))
-    kept = stored(kept.select(F.col("one.first").alias(doc_id), F.col("one.node").alias("node__")))
-    keyed = per_row(likely_in(docs, doc_id, kept), docs.columns, [text], "node__ binary", _node_of)
-    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    plain = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
-    keyed = keyed.groupBy("node__", _never_null(doc_id).alias("key__")).agg(F.min_by(whole, F.xxhash64(*plain)).alias("row__"))
-    return keyed.join(kept.select("node__", _never_null(doc_id).alias("key__")), ["node__", "key__"]).select("row__.*")
+    kept = stored(kept.select(F.col("one.first").alias("doc_id"), "one.node"))
+    rows = likely_in(boxed(docs, (doc_id, text), doc_id=doc_id, text=text), "doc_id", kept)
+    keyed = per_row(rows, rows.columns, ["text"], "node binary", _node_of)
+    plain = [F.col(f"given.`{f.name}`") for f in rows.schema["given"].dataType if "map<" not in f.dataType.simpleString()]
+    whole = F.struct("given", "doc_id", "text")
+    keyed = keyed.groupBy("node", _never_null("doc_id").alias("key")).agg(F.min_by(whole, F.xxhash64("doc_id", "text", *plain)).alias("row"))
+    return keyed.join(kept.select("node", _never_null("doc_id").alias("key")), ["node", "key"]).select("row.*").select(*unboxed(docs.columns, **{doc_id: F.col("doc_id"), text: F.col("text")}))

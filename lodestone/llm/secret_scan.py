@@ -21,6 +21,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm.tasks import boxed, unboxed
+
 #: What the forest gets to see. A value after a secret's name and an assignment, up to a blank or quote, 6 or more; a
 #: password in a URL; a key that its prefix gives away; and any whole run of token characters, 12 or more, with a digit or
 #: a change from lower to upper case in it.
@@ -166,20 +168,21 @@ def _tree(tree) -> str:
 
 
 def scanned(docs: DataFrame, forest: str, text: str = "text", path: str | None = None, threshold: float = 0.5) -> DataFrame:
-    """docs with three more columns: parts__ (the text between candidates), and findings__, an array of structs
-    (start from 1, value, score, is_secret), one for each candidate."""
-    t = f"coalesce(`{text}`, '')"
-    p = f"coalesce(cast(`{path}` as string), '')" if path else "''"
-    found = docs.withColumns({"values__": F.regexp_extract_all(F.expr(t), F.lit(CANDIDATE), F.lit(0)), "parts__": F.split(F.expr(t), CANDIDATE, -1)})
-    at = "if(size(values__) = 0, cast(array() as array<int>), sequence(0, size(values__) - 1))"
-    described = _described("right(get(parts__, i), 40)", "get(values__, i)", "left(get(parts__, i + 1), 12)", p)
+    """given (a struct of the columns of docs, whatever their names), text, parts (the text between candidates), and
+    findings, an array of structs (start from 1, value, score, is_secret), one for each candidate."""
+    t = F.coalesce("text", F.lit(""))
+    p = "coalesce(cast(path as string), '')" if path else "''"
+    found = boxed(docs, text=text, **({"path": path} if path else {}))
+    found = found.withColumns({"values": F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0)), "parts": F.split(t, CANDIDATE, -1)})
+    at = "if(size(values) = 0, cast(array() as array<int>), sequence(0, size(values) - 1))"
+    described = _described("right(get(parts, i), 40)", "get(values, i)", "left(get(parts, i + 1), 12)", p)
     starts = f"""aggregate({at}, named_struct('next', 1, 'starts', cast(array() as array<int>)),
-        (s, i) -> named_struct('next', s.next + length(get(parts__, i)) + length(get(values__, i)), 'starts', concat(s.starts, array(s.next + length(get(parts__, i))))), s -> s.starts)"""
+        (s, i) -> named_struct('next', s.next + length(get(parts, i)) + length(get(values, i)), 'starts', concat(s.starts, array(s.next + length(get(parts, i))))), s -> s.starts)"""
     scores = f"transform(transform({at}, i -> {described}), x -> {forest})"
-    found = found.withColumns({"starts__": F.expr(starts), "scores__": F.expr(scores)})
-    findings = f"transform(arrays_zip(starts__, values__, scores__), f -> named_struct('start', f.starts__, 'value', f.values__, 'score', f.scores__, 'is_secret', f.scores__ >= {threshold}))"
+    found = found.withColumns({"starts": F.expr(starts), "scores": F.expr(scores)})
+    findings = f"transform(arrays_zip(starts, values, scores), f -> named_struct('start', f.starts, 'value', f.values, 'score', f.scores, 'is_secret', f.scores >= {threshold}))"
     none = "cast(array() as array<struct<start: int, value: string, score: double, is_secret: boolean>>)"
-    return found.withColumn("findings__", F.expr(f"if(size(values__) = 0, {none}, {findings})")).drop("values__", "starts__", "scores__")
+    return found.select("given", "text", "parts", F.expr(f"if(size(values) = 0, {none}, {findings})").alias("findings"))
 
 
 def scan(docs: DataFrame, forest: str, doc_id: str = "doc_id", text: str = "text", path: str | None = None, threshold: float = 0.5) -> DataFrame:
@@ -187,17 +190,17 @@ def scan(docs: DataFrame, forest: str, doc_id: str = "doc_id", text: str = "text
 
     From a plain explode Catalyst infers a filter on the size of the findings and pushes it to the scan, with all that
     they are made of written out at each use; after explode_outer the filter stays where it is."""
-    rows = scanned(docs, forest, text, path, threshold).select(F.col(doc_id), F.explode_outer("findings__").alias("f"))
+    rows = scanned(docs, forest, text, path, threshold).select(F.col(f"given.`{doc_id}`").alias(doc_id), F.explode_outer("findings").alias("f"))
     return rows.filter("f is not null").select(doc_id, "f.*")
 
 
 def redact(docs: DataFrame, forest: str, text: str = "text", path: str | None = None, threshold: float = 0.5, mask: str = MASK) -> DataFrame:
     """docs with every secret in the text replaced by the mask; texts without any stay as they are."""
     rebuilt = F.expr(
-        f"""if(exists(findings__, f -> f.is_secret),
-        array_join(transform(parts__, (part, i) -> concat(part, coalesce(if(get(findings__, i).is_secret, '{mask}', get(findings__, i).value), ''))), ''), `{text}`)"""
+        f"""if(exists(findings, f -> f.is_secret),
+        array_join(transform(parts, (part, i) -> concat(part, coalesce(if(get(findings, i).is_secret, '{mask}', get(findings, i).value), ''))), ''), text)"""
     )
-    return scanned(docs, forest, text, path, threshold).withColumn(text, rebuilt).select(*docs.columns)
+    return scanned(docs, forest, text, path, threshold).select(*unboxed(docs.columns, **{text: rebuilt}))
 
 
 def default_forest(spark: SparkSession) -> str:

@@ -615,3 +615,82 @@ def test_contraction_in_small_steps_keeps_components():
     for most in (1, 4, 16, 1000):
         kept = pa.Table.from_batches(components._contract(iter(batches), most))
         assert components._forest(kept).column("lo").unique().to_pylist() == [names[0]]
+
+
+# names and texts that operators have to bear
+
+
+#: Names that operators use, or used, for columns of their own.
+TAKEN = ("given", "key", "key__", "values", "values__", "parts", "parts__", "made", "starts", "scores", "findings", "findings__", "node", "node__", "row", "row__", "slot__", "size", "size__", "nth", "all", "rows", "copy", "copies", "none", "block", "part", "path", "f")
+
+
+def clashing(spark):
+    return documents(spark).withColumns({name: F.lit(f"mine {name}") for name in TAKEN})
+
+
+def all_mine(rows, columns):
+    assert rows.columns == columns
+    for r in rows.collect():
+        assert all(r[name] == f"mine {name}" for name in TAKEN if name in columns)
+
+
+def test_clashing_names_stay(spark, forest):
+    rows = clashing(spark)
+    found = pseudonyms.pseudonymised(rows, "k")
+    assert [c for c in found.columns if c == "findings"] == ["findings"] and found.count() == rows.count()
+    all_mine(found.drop("findings"), [c for c in rows.columns if c != "findings"])
+    all_mine(pseudonyms.pseudonymised(rows, "k", findings="found").drop("found"), rows.columns)
+    all_mine(secret_scan.redact(rows, forest), rows.columns)
+    assert secret_scan.scan(rows, forest).columns == ["doc_id", "start", "value", "score", "is_secret"]
+    one = neardup.keep_one(rows)
+    all_mine(one, rows.columns)
+    assert {r.doc_id for r in one.collect()} == {r.doc_id for r in neardup.keep_one(documents(spark)).collect()}
+    sizes = mixing.sized(rows)
+    twice = mixing.repeated(rows, mixing.mix(sizes, mixing.share_out(mixing.cyclic_weights(sizes))))
+    all_mine(twice, rows.columns)
+
+
+#: Of each kind of text that a pattern could recurse over, one of 100,000 turns.
+LONG = {
+    "labels": "x@" + "a." * 100_000 + "com",
+    "hyphens": "x@" + "a-" * 100_000 + "b.com",
+    "local part": "a" * 100_000 + "@b.com",
+    "local marks": "a.+" * 33_000 + "a@b.com",
+    "digits": "4" * 100_000,
+    "dots": "1." * 100_000,
+    "plus": "+1 " * 100_000,
+    "groups": "1234 " * 100_000,
+    "dashes": "12-" * 100_000,
+    "slashes": "a/" * 100_000,
+    "assigned": "key=" * 100_000,
+    "quotes": "password: \"" * 100_000,
+    "url": "http://" + "u" * 100_000 + ":" + "p" * 100_000 + "@h",
+    "letters": "aB" * 100_000,
+    "blank": " " * 100_000,
+}
+
+
+def test_long_matches_end_no_executor(spark, forest):
+    rows = spark.createDataFrame(list(enumerate(LONG.values())), "doc_id long, text string").repartition(4)
+    found = by_id(pseudonyms.pseudonymised(rows, "k"))
+    for i, (name, text) in enumerate(LONG.items()):
+        assert len(found[i].text) == len(text), name
+    assert [len(found[i].findings) for i, name in enumerate(LONG) if name in ("labels", "hyphens", "local part", "local marks")] == [1] * 4
+    assert by_id(secret_scan.redact(rows, forest)).keys() == found.keys()
+
+
+def test_email_domains_end_in_letters_or_digits(spark):
+    given = {"a1@x.com.": "a1@x.com", "a1@x.com-": "a1@x.com", "a1@x.com.-y": "a1@x.com.-y", "a1@x-.c-d.org,": "a1@x-.c-d.org", "a1@x..b": None, "a1@x.-": None, "a1@x": None}
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(given)], "doc_id long, text string")
+    found = by_id(pseudonyms.pseudonymised(rows, "k"))
+    for i, (text, email) in enumerate(given.items()):
+        assert [text[f.start - 1 : f.start - 1 + f.length] for f in found[i].findings] == ([email] if email else []), text
+
+
+def test_repeated_rows_of_one_id_share_the_work(spark):
+    sizes = spark.range(3000).select(F.when(F.col("id") >= 2000, F.col("id")).alias("doc_id"), F.lit("s").alias("source"), F.lit(10).cast("long").alias("size"))
+    targets = mixing.share_out(mixing.cyclic_weights(sizes))
+    mixed = mixing.mix(sizes, targets, block_docs=100)
+    assert mixed.count() == 3000
+    assert abs(mixed.agg(F.sum(F.col("copies") * F.col("size"))).first()[0] - targets.first()["target"]) < 0.01 * 30_000
+    assert sorted(map(tuple, mixed.collect()), key=repr) == sorted(map(tuple, mixing.mix(sizes.repartition(5), targets, block_docs=100).collect()), key=repr)
