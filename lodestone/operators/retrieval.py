@@ -94,20 +94,19 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int, rows: int = 2048, asked:
     Both have id, vector and, to search within cells only, cell. Corpus and queries are cut into blocks of about
     `rows` and `asked` vectors; each pair of blocks of a cell is one matrix product, whose best k go on. Work grows
     with corpus times queries, as an exact search must; memory of a task is bounded by the blocks, however many they
-    are. Vectors are of one length, that of the longest query; a null vector, one with a null in it or one of another
-    length is in no result."""
+    are. A query meets the vectors of its own length; a null or empty vector or one with a null in it is in no
+    result."""
     cell = lambda d: d if "cell" in d.columns else d.withColumn("cell", F.lit(0))
-    size = queries.agg(F.max(F.size("vector"))).first()[0] or 0
-    whole = (F.size("vector") == size) & ~F.exists("vector", lambda x: x.isNull())
-    corpus, queries = cell(corpus).filter(whole), cell(queries).filter(whole)
-    blocks = lambda d, size, name: d.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("int").alias(name))
+    whole = lambda d: cell(d).withColumn("length", F.size("vector")).filter((F.col("length") > 0) & ~F.exists("vector", lambda x: x.isNull()))
+    corpus, queries = whole(corpus), whole(queries)
+    blocks = lambda d, size, name: d.groupBy("cell", "length").agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("int").alias(name))
     kinds = T.StructType([T.StructField("query_id", queries.schema["id"].dataType), T.StructField("doc_id", corpus.schema["id"].dataType), T.StructField("sim", T.DoubleType())])
-    cells = blocks(corpus, rows, "n_c").join(blocks(queries, asked, "n_q"), "cell")
+    cells = blocks(corpus, rows, "n_c").join(blocks(queries, asked, "n_q"), ["cell", "length"])
     other = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    left = corpus.join(cells, "cell").select("cell", "id", "vector", own("n_c").alias("c"), other("n_q").alias("q"))
-    right = queries.join(cells, "cell").select(F.col("cell").alias("of"), F.col("id").alias("asked"), F.col("vector").alias("sought"), other("n_c").alias("at_c"), own("n_q").alias("at_q"))
-    found = left.groupBy("cell", "c", "q").cogroup(right.groupBy("of", "at_c", "at_q")).applyInArrow(_best(k, to_arrow_schema(kinds)), kinds)
+    left = corpus.join(cells, ["cell", "length"]).select("cell", "length", "id", "vector", own("n_c").alias("c"), other("n_q").alias("q"))
+    right = queries.join(cells, ["cell", "length"]).select(F.col("cell").alias("of"), F.col("length").alias("of_length"), F.col("id").alias("asked"), F.col("vector").alias("sought"), other("n_c").alias("at_c"), own("n_q").alias("at_q"))
+    found = left.groupBy("cell", "length", "c", "q").cogroup(right.groupBy("of", "of_length", "at_c", "at_q")).applyInArrow(_best(k, to_arrow_schema(kinds)), kinds)
     return top_k(found, k, "sim")
 
 

@@ -1,12 +1,12 @@
-"""Queries over indexes that are stored: block maxima, segments."""
+"""Queries over indexes that are stored: block maxima, segments, product quantisation."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import blockmax, retrieval
+from lodestone.operators import blockmax, quantised, retrieval
 from lodestone.plans.catalog import query
-from lodestone.plans.evidence import BM25, _asked, _docs
+from lodestone.plans.evidence import BM25, _asked, _docs, _vectors
 from lodestone.session import shared_folder, table
 from lodestone.sources.segments import Store
 
@@ -31,3 +31,12 @@ def segment_search(spark, folder):
     store.delete(copies.select("doc_id"))
     store.merge()
     return blockmax.search(store.index(), _asked(spark, folder), 10)
+
+
+@query()
+def knn_quantised(spark, folder):
+    """Approximate search: the 10 best by the exact product, out of a short list by codes; every row is indexed."""
+    rows, at = _vectors(spark, folder), shared_folder(spark)
+    quantised.build(rows, at)
+    found = quantised.search(quantised.opened(spark, at), rows.filter(F.col("id") % 20 == 0), 11).filter("query_id <> doc_id").drop("rank")
+    return retrieval.top_k(found, 10, "sim")
