@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import terms
 from lodestone.operators.embedding import Embedder, HashingEmbedder, embed
 from lodestone.operators.retrieval import COLLECTIONS, bm25, build_index, collection_of, covered, fuse, knn, query_terms, rerank, top_k, weight_collections
+from lodestone.session import kept
 
 Scorer = Callable[[Column, Column], Column]
 
@@ -116,18 +117,18 @@ def answer(queries: DataFrame, docs: DataFrame, external: DataFrame, k: int = 10
 
     1 domain gate and class; 2 local search; 3 where its best similarity is below the threshold or its evidence does
     not suffice, search of the external texts, which rank after local ones of equal score; 4 evidence; 5 bundle. Hits
-    of score 0 are not cited."""
+    of score 0 are not cited. Hits are kept in the shared folder between the rounds, which all read them."""
     asked = queries.select("query_id", "text")
     known = tools["query_classifier"](asked).join(gate(asked), "query_id")
     open_queries = asked.join(known.filter(~F.col("refused")).select("query_id"), "query_id", "left_semi")
-    local = tools["local_search"](open_queries, docs)
+    local = kept(tools["local_search"](open_queries, docs))
     sims = open_queries.select("query_id").join(local.groupBy("query_id").agg(F.max("score").alias("best")), "query_id", "left").select("query_id", F.coalesce("best", F.lit(0.0)).alias("top_sim"))
     enough = tools["evidence_evaluator"](local.filter(F.col("rank") <= k), min_score=min_score).filter("sufficient").select("query_id")
-    searched = sims.filter(F.col("top_sim") < threshold).select("query_id").unionAll(sims.select("query_id").join(enough, "query_id", "left_anti")).distinct()
+    searched = kept(sims.filter(F.col("top_sim") < threshold).select("query_id").unionAll(sims.select("query_id").join(enough, "query_id", "left_anti")).distinct())
     outside = tools["external_search"](open_queries.join(searched, "query_id", "left_semi"), external)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), (F.col("doc_id") < 0).cast("int"), F.abs("doc_id"))
     both = local.select("query_id", "doc_id", "collection", "score").unionByName(outside)
-    ranked = both.filter("score > 0").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    ranked = kept(both.filter("score > 0").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k))
     texts = _described(docs, F.col("doc_id")).unionByName(_described(external, -1 - F.col("doc_id")))
     cited = bundle(ranked.join(texts, "doc_id"), more=("title", "authors", "year", "begins")).withColumn("answer", F.col("references")[0]["begins"])
     cited = cited.withColumn("references", F.transform("references", lambda r: r.dropFields("begins")))

@@ -1,10 +1,10 @@
-"""Queries over indexes that are stored: block maxima, segments, product quantisation."""
+"""Queries over indexes that are stored and models that are learned: block maxima, segments, product quantisation, embeddings."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import blockmax, quantised, retrieval
+from lodestone.operators import blockmax, embedding, quantised, retrieval, semantic
 from lodestone.plans.catalog import query
 from lodestone.plans.evidence import BM25, _asked, _docs, _vectors
 from lodestone.session import shared_folder, table
@@ -40,3 +40,11 @@ def knn_quantised(spark, folder):
     quantised.build(rows, at)
     found = quantised.search(quantised.opened(spark, at), rows.filter(F.col("id") % 20 == 0), 11).filter("query_id <> doc_id").drop("rank")
     return retrieval.top_k(found, 10, "sim")
+
+
+@query()
+def semantic_search(spark, folder):
+    """The documents nearest to each question by embeddings learned from the documents."""
+    docs, asked = _docs(spark, folder), table(spark, folder, "benchmark")
+    given = semantic.factory(spark, semantic.fit(docs))
+    return retrieval.knn(embedding.embed(docs, "doc_id", factory=given), embedding.embed(asked, "item_id", factory=given), 10)
