@@ -1,4 +1,4 @@
-"""Queries over indexes that are stored and models that are learned: block maxima, segments, product quantisation, embeddings."""
+"""Queries over what is stored or learned: indexes in blocks and segments, codes of vectors, embeddings, saved dumps."""
 
 from __future__ import annotations
 
@@ -8,7 +8,9 @@ from lodestone.operators import blockmax, embedding, quantised, retrieval, seman
 from lodestone.plans.catalog import query
 from lodestone.plans.evidence import BM25, _asked, _docs, _vectors
 from lodestone.session import shared_folder, table
+from lodestone.sources import literature
 from lodestone.sources.segments import Store
+from lodestone.streaming import incremental
 
 RANKED = f"WITH {BM25} SELECT query_id, doc_id, score, rank FROM ranked WHERE rank <= 10"
 
@@ -48,3 +50,17 @@ def semantic_search(spark, folder):
     docs, asked = _docs(spark, folder), table(spark, folder, "benchmark")
     given = semantic.factory(spark, semantic.fit(docs))
     return retrieval.knn(embedding.embed(docs, "doc_id", factory=given), embedding.embed(asked, "item_id", factory=given), 10)
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN lang = 'en' THEN 'pubmed' ELSE 'europepmc' END AS source, substr(text, 1, 60) AS title, source AS authors,
+  CAST(2000 + doc_id % 25 AS INT) AS year, length(text) AS n_chars FROM documents""")
+def literature_stream(spark, folder):
+    """Articles of two sources, saved as their dumps and loaded by a stream."""
+    docs, at = table(spark, folder, "documents"), shared_folder(spark)
+    literature.register(spark)
+    source = F.when(F.col("lang") == "en", "pubmed").otherwise("europepmc")
+    articles = docs.select(F.col("doc_id").cast("string").alias("id"), source.alias("source"), F.substring("text", 1, 60).alias("title"), F.col("source").alias("authors"), (2000 + F.col("doc_id") % 25).cast("int").alias("year"), F.col("text").alias("abstract"))
+    articles.write.format("literature").mode("append").save(f"{at}/dumps")
+    stream = spark.readStream.format("literature").load(f"{at}/dumps").withColumn("n_chars", F.length("abstract").cast("long")).drop("abstract")
+    incremental.run(stream, f"{at}/target", f"{at}/progress")
+    return spark.read.schema(stream.schema).parquet(f"{at}/target")
