@@ -54,11 +54,13 @@ def idf(n_docs: Column, df: Column) -> Column:
 
 
 def bm25(index: Index, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """query_id, doc_id, score. `queries`: query_id, term, one row for each distinct term. The terms of the queries
+    """query_id, doc_id, score. `queries`: query_id, term, one row for each distinct term, and weight, if terms don't
+    count alike. The terms of the queries
     meet the index on the term, by a merge join: a term that most documents hold is then split as a skewed partition,
     and the index is never taken for small by the size of its files. The figures are one row."""
     wanted = queries.join(index.df, "term").crossJoin(F.broadcast(index.stats))  # one row of figures
-    wanted = wanted.select("query_id", "term", idf(F.col("n_docs"), F.col("df")).alias("idf"), "avg_dl")
+    weight = F.col("weight") if "weight" in queries.columns else F.lit(1.0)
+    wanted = wanted.select("query_id", "term", (weight * idf(F.col("n_docs"), F.col("df"))).alias("idf"), "avg_dl")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))
     return index.tf.hint("merge").join(wanted, "term").groupBy("query_id", F.col("id").alias("doc_id")).agg(F.round(F.sum(part), 6).alias("score"))
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import blockmax, embedding, quantised, retrieval, semantic
+from lodestone.operators import blockmax, embedding, positions, quantised, retrieval, rewriting, semantic
 from lodestone.plans.catalog import query
-from lodestone.plans.evidence import BM25, _asked, _docs, _vectors
-from lodestone.session import shared_folder, table
+from lodestone.plans.evidence import BM25, TERMS, _asked, _docs, _index, _qrels, _vectors
+from lodestone.session import kept, shared_folder, table
 from lodestone.sources import literature
 from lodestone.sources.segments import Store
 from lodestone.streaming import incremental
@@ -64,3 +64,49 @@ def literature_stream(spark, folder):
     stream = spark.readStream.format("literature").load(f"{at}/dumps").withColumn("n_chars", F.length("abstract").cast("long")).drop("abstract")
     incremental.run(stream, f"{at}/target", f"{at}/progress")
     return spark.read.schema(stream.schema).parquet(f"{at}/target")
+
+
+@query(f"""WITH d AS (SELECT doc_id, ' ' || array_to_string({TERMS}, ' ') || ' ' AS held FROM documents), q AS (SELECT item_id AS query_id, ' ' || array_to_string({TERMS}, ' ') || ' ' AS phrase FROM benchmark),
+f AS (SELECT query_id, doc_id, substr(held, 1, instr(held, phrase)) AS before FROM d JOIN q ON contains(held, phrase))
+SELECT query_id, doc_id, CAST(length(before) - length(replace(before, ' ', '')) - 1 AS INT) AS start FROM f""")
+def phrase_search(spark, folder):
+    """The documents that hold a passage, term for term, and the place where it first begins."""
+    asked = positions.query_places(table(spark, folder, "benchmark"), "item_id")
+    found = positions.phrases(positions.positional(_docs(spark, folder)), asked)
+    return found.select("query_id", "doc_id", F.col("starts")[0].alias("start"))
+
+
+@query()
+def rerank_learned(spark, folder):
+    """The ten best of 50 candidates of BM25 by a ranker that half of the judged questions have taught."""
+    docs = _docs(spark, folder)
+    queries = table(spark, folder, "benchmark").withColumnRenamed("item_id", "query_id")
+    index = retrieval.build_index(docs)
+    candidates = kept(retrieval.top_k(retrieval.bm25(index, retrieval.query_terms(queries, "query_id")), 50))
+    rows = kept(positions.features(index, positions.positional(docs), queries, candidates))
+    taught = F.pmod(F.xxhash64("query_id"), F.lit(2)) == 1
+    return positions.ranked(rows, positions.learn(rows.filter(taught), _qrels(spark, folder).filter(taught)), 10)
+
+
+@query(f"""WITH {BM25}, s AS (SELECT query_id, doc_id AS id, score / sum(score) OVER (PARTITION BY query_id) AS share FROM ranked WHERE rank <= 10),
+w AS (SELECT query_id, term, round(sum(share * tf.tf / dl.dl), 9) AS weight FROM s JOIN tf USING (id) JOIN dl USING (id) GROUP BY 1, 2),
+best AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, term) <= 20),
+parts AS (SELECT query_id, term, 0.5 * weight / sum(weight) OVER (PARTITION BY query_id) AS weight FROM best
+  UNION ALL SELECT query_id, term, CAST(0.5 AS DOUBLE) / count(*) OVER (PARTITION BY query_id) FROM q WHERE query_id IN (SELECT query_id FROM best) UNION ALL SELECT query_id, term, CAST(1 AS DOUBLE) / count(*) OVER (PARTITION BY query_id) FROM q WHERE query_id NOT IN (SELECT query_id FROM best))
+SELECT query_id, term, round(sum(weight), 6) AS weight FROM parts GROUP BY 1, 2""")
+def rewrite_feedback(spark, folder):
+    """The questions' terms and those that weigh most in their ten best documents."""
+    index, asked = _index(spark, folder), _asked(spark, folder)
+    return rewriting.feedback(index, asked, retrieval.top_k(retrieval.bm25(index, asked), 10))
+
+
+@query(f"""WITH v AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({TERMS}) AS term FROM documents) WHERE regexp_full_match(term, '[a-z]+') GROUP BY 1),
+a AS (SELECT DISTINCT unnest({TERMS}) AS word FROM benchmark), w AS (SELECT substr(word, 1, 1) || substr(word, 3) AS word FROM a WHERE regexp_full_match(word, '[a-z]{{5,}}') GROUP BY 1)
+SELECT word, term, df, CAST(levenshtein(word, term) AS INT) AS edits FROM w JOIN v ON abs(length(word) - length(term)) <= 2 AND levenshtein(word, term) <= 2""")
+def spelling_candidates(spark, folder):
+    """For each question's words, with the second letter left out, all words of the documents within two edits."""
+    plain = lambda c: F.col(c).rlike("^[a-z]+$")
+    words = _index(spark, folder).df.filter(plain("term"))
+    asked = _asked(spark, folder).select("term").distinct().filter(plain("term") & (F.length("term") >= 5))
+    missed = asked.select(F.concat(F.substring("term", 1, 1), F.expr("substring(term, 3)")).alias("word"))
+    return rewriting.within(rewriting.spelling_index(words), missed)
