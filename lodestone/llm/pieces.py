@@ -62,7 +62,7 @@ def _fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
 class PieceCodec:
     """One BPE model with byte fallback. It holds two bounded memos: of chunks and of pairs of pieces."""
 
-    def __init__(self, model: bytes, memo_chunks: int = 500_000, memo_pairs: int = 500_000):
+    def __init__(self, model: bytes, memo_chunks: int = 150_000, memo_pairs: int = 150_000):
         import ahocorasick
 
         self.pieces, self.kinds, scores = [], [], []
