@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import blockmax, embedding, positions, quantised, retrieval, rewriting, semantic
+from lodestone.operators import blockmax, embedding, positions, quantised, retrieval, rewriting, selfplay, semantic, significance
 from lodestone.plans.catalog import query
-from lodestone.plans.evidence import BM25, TERMS, _asked, _docs, _index, _qrels, _vectors
+from lodestone.plans.evidence import BM25, QRELS, TERMS, _asked, _docs, _index, _qrels, _vectors
 from lodestone.session import kept, shared_folder, table
 from lodestone.sources import literature
 from lodestone.sources.segments import Store
@@ -110,3 +110,36 @@ def spelling_candidates(spark, folder):
     asked = _asked(spark, folder).select("term").distinct().filter(plain("term") & (F.length("term") >= 5))
     missed = asked.select(F.concat(F.substring("term", 1, 1), F.expr("substring(term, 3)")).alias("word"))
     return rewriting.within(rewriting.spelling_index(words), missed)
+
+
+GRID = {"1-short": (0.9, 0.4), "2-usual": (1.2, 0.75), "3-flat": (2.0, 0.0)}
+LIMITS = " + ".join(f"CAST(u >= {limit} AS BIGINT)" for limit in significance.poisson_limits())
+
+
+@query(f"""WITH {BM25}, {QRELS}, g(run_id, k1, b) AS (VALUES ('1-short', 0.9, 0.4), ('2-usual', 1.2, 0.75), ('3-flat', 2.0, 0.0)),
+s AS (SELECT run_id, q.query_id, tf.id AS doc_id, round(sum(ln(1.0 + (n_docs - df + 0.5) / (df + 0.5)) * tf.tf * (k1 + 1) / (tf.tf + k1 * (1 - b + b * dl.dl / avg_dl))), 6) AS score FROM g CROSS JOIN q JOIN dfr USING (term) JOIN tf USING (term) JOIN dl ON dl.id = tf.id CROSS JOIN st GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY run_id, query_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 10),
+f AS (SELECT run_id, query_id, round(1 / min(rank), 6) AS rr FROM r JOIN qrels USING (query_id, doc_id) GROUP BY 1, 2),
+v AS (SELECT g.run_id, j.query_id AS item_id, CAST(round(coalesce(rr, 0) * 1000000) AS BIGINT) AS value FROM g CROSS JOIN (SELECT DISTINCT query_id FROM qrels) j LEFT JOIN f ON f.run_id = g.run_id AND f.query_id = j.query_id),
+d AS (SELECT a.item_id, a.run_id AS run_a, b.run_id AS run_b, b.value - a.value AS difference FROM v a JOIN v b ON a.item_id = b.item_id AND a.run_id < b.run_id),
+h AS (SELECT item_id, replicate, CAST('0x' || substr(digest, 1, 8) AS BIGINT) AS u, CASE WHEN contains('13579bdf', substr(digest, 9, 1)) THEN -1 ELSE 1 END AS s FROM (SELECT item_id, replicate, md5('7:' || replicate || ':' || item_id) AS digest FROM (SELECT DISTINCT item_id FROM d) CROSS JOIN range(400) t(replicate))),
+b AS (SELECT run_a, run_b, replicate, sum(({LIMITS}) * difference) AS weighted, sum({LIMITS}) AS weights, sum(s * difference) AS flipped FROM d JOIN h USING (item_id) GROUP BY 1, 2, 3),
+o AS (SELECT run_a, run_b, count(*) AS items, sum(difference) AS total FROM d GROUP BY 1, 2),
+t AS (SELECT run_a, run_b, round(quantile_cont(CASE WHEN weights > 0 THEN CAST(weighted AS DOUBLE) / CAST(weights AS DOUBLE) / 1000000 END, 0.025), 6) AS low, round(quantile_cont(CASE WHEN weights > 0 THEN CAST(weighted AS DOUBLE) / CAST(weights AS DOUBLE) / 1000000 END, 0.975), 6) AS high,
+  round((1 + count(*) FILTER (WHERE abs(flipped) >= abs(total))) / 401, 6) AS p FROM b JOIN o USING (run_a, run_b) GROUP BY 1, 2),
+c AS (SELECT *, row_number() OVER (ORDER BY p, run_a, run_b) AS nth, count(*) OVER () AS m FROM t),
+e AS (SELECT *, round(max(least(1.0, (m - nth + 1) * p)) OVER (ORDER BY p, run_a, run_b ROWS UNBOUNDED PRECEDING), 6) AS p_holm FROM c)
+SELECT 'rr' AS metric, run_a, run_b, items, round(CAST(total AS DOUBLE) / items / 1000000, 6) AS difference, low, high, p, CAST(p_holm AS DOUBLE) AS p_holm, p_holm < 0.05 AS significant FROM e JOIN o USING (run_a, run_b)""")
+def run_significance(spark, folder):
+    """Three runs against each other by reciprocal rank: bootstrap intervals, randomisation tests, Holm's correction."""
+    scores = selfplay.grid_scores(_index(spark, folder), _asked(spark, folder), GRID)
+    return significance.compare(selfplay.records(scores, _qrels(spark, folder), metric="rr"), n=400)
+
+
+@query()
+def self_play(spark, folder):
+    """Eight strategies play against each other on more and more questions, the better half staying each time."""
+    grid = {f"{k1}/{b}": (k1, b) for k1 in (0.6, 1.2, 1.8, 2.4) for b in (0.25, 0.75)}
+    index = _index(spark, folder)
+    index = retrieval.Index(kept(index.tf), kept(index.df), index.stats)
+    return selfplay.halving(index, _asked(spark, folder), _qrels(spark, folder), grid)

@@ -49,3 +49,11 @@ def kept(rows: DataFrame) -> DataFrame:
     spark.cleaner.referenceTracking.cleanCheckpoints is set."""
     shared_folder(rows.sparkSession)
     return rows.checkpoint()
+
+
+def stored(rows: DataFrame) -> DataFrame:
+    """As kept(), but as a Parquet table, for loops: a checkpoint keeps the constraints that its plan implies, and from
+    turn to turn there are ever more of them for the optimiser to compare."""
+    path = shared_folder(rows.sparkSession)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
