@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import blockmax, embedding, positions, quantised, retrieval, rewriting, selfplay, semantic, significance
+from lodestone.operators import blockmax, embedding, positions, quantised, retrieval, rewriting, rules, selfplay, semantic, significance
 from lodestone.plans.catalog import query
 from lodestone.plans.evidence import BM25, QRELS, TERMS, _asked, _docs, _index, _qrels, _vectors
 from lodestone.session import kept, shared_folder, table
 from lodestone.sources import literature
 from lodestone.sources.segments import Store
-from lodestone.streaming import incremental
+from lodestone.streaming import conversations, incremental
 
 RANKED = f"WITH {BM25} SELECT query_id, doc_id, score, rank FROM ranked WHERE rank <= 10"
 
@@ -143,3 +143,30 @@ def self_play(spark, folder):
     index = _index(spark, folder)
     index = retrieval.Index(kept(index.tf), kept(index.df), index.stats)
     return selfplay.halving(index, _asked(spark, folder), _qrels(spark, folder), grid)
+
+
+@query("""SELECT conv_id, turn, role, row_number() OVER w AS nth, count(*) OVER (PARTITION BY conv_id, role ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS said,
+  coalesce(string_agg(role, '>') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), '') AS recent, lag(text) OVER w AS previous FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
+def conversation_state(spark, folder):
+    """What was said before each turn, from state that a stream keeps for each conversation."""
+    at = shared_folder(spark)
+    schema = table(spark, folder, "conversations").schema
+    # a turn a minute, conversations one after the other: the table has no times
+    stream = incremental.landed(spark, f"{folder}/conversations.parquet*", schema).withColumn("at", F.timestamp_seconds(1_700_000_000 + F.col("conv_id") + 60 * F.col("turn")))
+    conversations.run(stream, f"{at}/target", f"{at}/progress")
+    return spark.read.schema(conversations.OUT).parquet(f"{at}/target").filter("not closed").drop("closed")
+
+
+HELD = f"""held AS (SELECT doc_id, quality, list_sort(list_distinct({TERMS})) AS held FROM documents JOIN labels USING (doc_id)), need AS (SELECT (count(*) * 3) // 5 AS least FROM labels),
+one AS (SELECT term FROM (SELECT unnest(held) AS term FROM held) GROUP BY 1 HAVING count(*) >= (SELECT least FROM need))"""
+
+
+@query(f"""WITH {HELD}, sets AS (SELECT list_sort([t.term]) AS items FROM one t UNION ALL SELECT [a.term, b.term] FROM one a JOIN one b ON a.term < b.term UNION ALL SELECT [a.term, b.term, c.term] FROM one a JOIN one b ON a.term < b.term JOIN one c ON b.term < c.term),
+f AS (SELECT items, count(*) AS n, count(*) FILTER (WHERE quality = 1) AS good FROM sets JOIN held ON list_has_all(held, items) GROUP BY 1 HAVING count(*) >= (SELECT least FROM need))
+SELECT array_to_string(items, ' ') AS items, n AS support, round(good / n, 6) AS success, round(ln((good + 1.0) / (n - good + 1.0)), 6) AS weight,
+  NOT EXISTS (SELECT 1 FROM f g WHERE len(g.items) = len(f.items) + 1 AND g.n = f.n AND list_has_all(g.items, f.items)) AS closed FROM f""")
+def rule_sets(spark, folder):
+    """Sets of up to three terms that three fifths of the labelled documents hold, as rules for quality."""
+    labels = table(spark, folder, "labels")
+    found = rules.mine(_docs(spark, folder), labels, labels.count() * 3 // 5)
+    return found.withColumn("items", F.array_join("items", " "))
