@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import blockmax, embedding, positions, quantised, retrieval, rewriting, rules, selfplay, semantic, significance
+from lodestone.operators import blockmax, embedding, gate, positions, quantised, retrieval, rewriting, rules, selfplay, semantic, significance
 from lodestone.plans.catalog import query
 from lodestone.plans.evidence import BM25, QRELS, TERMS, _asked, _docs, _index, _qrels, _vectors
-from lodestone.session import kept, shared_folder, table
+from lodestone.session import kept, shared_folder, spread, table
 from lodestone.sources import literature
 from lodestone.sources.segments import Store
 from lodestone.streaming import conversations, incremental
@@ -170,3 +170,11 @@ def rule_sets(spark, folder):
     labels = table(spark, folder, "labels")
     found = rules.mine(_docs(spark, folder), labels, labels.count() * 3 // 5)
     return found.withColumn("items", F.array_join("items", " "))
+
+
+@query()
+def trained_gate(spark, folder):
+    """The language of what users say, by a gate learned from the documents, which refuses what it isn't sure of."""
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text", "lang"))
+    said = table(spark, folder, "conversations").filter("role = 'user'").select(F.concat_ws(":", "conv_id", "turn").alias("query_id"), "text")
+    return gate.judge(gate.fit(docs, row_id="doc_id", label="lang"), said)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -119,9 +120,18 @@ def subquery_corr(spark, folder):
     return o.join(top, ["o_custkey", "price"], "left_semi").select("o_orderkey", "o_custkey")
 
 
-@query("WITH RECURSIVE s(n, f) AS (SELECT 1, CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM s WHERE n < 12) SELECT n, f FROM s")
+CHAINS = """WITH RECURSIVE s(conv_id, turn, depth, said) AS (SELECT conv_id, turn, 1, CAST(length(text) AS BIGINT) FROM conversations c WHERE turn = (SELECT min(turn) FROM conversations m WHERE m.conv_id = c.conv_id)
+  UNION ALL SELECT c.conv_id, c.turn, s.depth + 1, s.said + length(c.text) FROM s JOIN conversations c ON c.conv_id = s.conv_id AND c.turn = s.turn + 1)
+SELECT conv_id, max(depth) AS depth, max(said) AS said FROM s GROUP BY conv_id"""
+
+
+@query(CHAINS)
 def recursive_cte(spark, folder):
-    return spark.sql("WITH RECURSIVE s(n, f) AS (SELECT 1, CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM s WHERE n < 12) SELECT n, f FROM s")
+    """Each conversation from its first turn on, turn by turn: how many follow without a gap, and their characters."""
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    view = f"conversations_{uuid.uuid4().hex}"
+    table(spark, folder, "conversations").createOrReplaceTempView(view)
+    return spark.sql(CHAINS.replace("conversations", view))
 
 
 @query("SELECT event_type, CAST(sum(CAST(json_extract_string(props, '$.k') AS INT)) AS BIGINT) AS k FROM events GROUP BY 1")
