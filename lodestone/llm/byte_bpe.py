@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding over a contiguous array of ranks.
 
-A text is cut at special tokens and then into words by the pattern of its vocabulary. A short word holds the boundaries
-of its parts and the ranks of adjacent parts in two lists: the least rank is found by a scan, the boundary there is
-deleted and the ranks beside it are looked up anew, until no pair has a rank. A scan for each merge is quadratic in the
+A text is cut at special tokens and then into words by the pattern of its vocabulary. A short word holds its parts, each
+up to the next boundary, and the ranks of adjacent parts in two lists: the least rank is found by a scan, the boundary
+there is deleted and the ranks beside it are looked up anew, until no pair has a rank. A scan for each merge is quadratic in the
 length of a word, so words above `longest` bytes, such as runs of one character, take the same merges from a heap.
 
 Nulls and empty texts have no ids and decode to the empty string. Texts of any length are encoded whole, repeated rows
@@ -17,6 +17,7 @@ import heapq
 import json
 import re
 import struct
+import unicodedata
 from functools import partial
 
 from pyspark.sql import DataFrame
@@ -41,6 +42,12 @@ LATER = (
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?{letter}+| ?{number}+| ?{other}+|\s+(?!\S)|\s+"
 
 NEVER = 1 << 62
+#: Ids and ranks are below this power of two.
+BITS = 20
+MASK = (1 << BITS) - 1
+#: Texts without later characters than this, most Latin ones, are cut by a pattern of plain ranges.
+LOW = 0x24F
+SPACES = "\t\n\x0b\x0c\r \x85\xa0"
 
 
 def _byte_characters() -> dict[str, int]:
@@ -64,8 +71,12 @@ class ByteCodec:
         byte = _byte_characters()
         raw = lambda piece: bytes(byte[c] for c in piece)
         self.ids = {raw(piece): i for piece, i in model["vocab"].items()}
-        pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
-        self.ranks = {(raw(a), raw(b)): r for r, (a, b) in enumerate(pairs)}
+        pairs = ((raw(a), raw(b)) for a, b in (m.split(" ") if isinstance(m, str) else m for m in model["merges"]))
+        if max(len(self.ids), len(model["merges"])) > MASK:
+            raise ValueError("too large a vocabulary")
+        #: two ids side by side: the rank of their merge, and in the lower bits the id that it makes
+        self.ranks = {self.ids[a] << BITS | self.ids[b]: r << BITS | self.ids[a + b] for r, (a, b) in enumerate(pairs)}
+        self.bytes = [self.ids[bytes([b])] for b in range(256)]
         self.longest = longest
         self.surface = {i: piece for piece, i in self.ids.items()}
         self.special: dict[str, bytes] = {}
@@ -81,61 +92,68 @@ class ByteCodec:
         self.words = regex.compile(WORDS.format(letter=r"\p{L}", number=r"\p{N}", other=r"[^\s\p{L}\p{N}]")).findall
         old = lambda kind: f"(?:(?![{later}])\\p{{{kind}}})"
         self.words_with_later = regex.compile(WORDS.format(letter=old("L"), number=old("N"), other=rf"(?:[^\s\p{{L}}\p{{N}}]|[{later}])")).findall
+        low = {k: "".join(re.escape(chr(c)) for c in range(LOW + 1) if unicodedata.category(chr(c))[0] == k) for k in "LN"}
+        plain_words = WORDS.replace(r"\s+(?!\S)|\s+", f"[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
+        self.low_words = re.compile(plain_words.format(letter=f"[{low['L']}]", number=f"[{low['N']}]", other=f"[^{SPACES}{low['L']}{low['N']}]")).findall
+        self.has_high = re.compile(f"[^\0-{chr(LOW)}]").search
         self.memo = _Memo(self._word_bytes, memo_words)
 
     def scanned(self, word: bytes) -> list[int]:
-        """Boundaries of the merged parts of a short word."""
-        rank, cuts = self.ranks.get, list(range(len(word) + 1))
-        ranks = [rank((word[i : i + 1], word[i + 1 : i + 2]), NEVER) for i in range(len(word) - 1)]
+        """Ids of the merged parts of a short word."""
+        get, parts = self.ranks.get, [self.bytes[b] for b in word]
+        ranks = [get(a << BITS | b, NEVER) for a, b in zip(parts, parts[1:], strict=False)]
         while ranks:
             least = min(ranks)
             if least == NEVER:
                 break
             i = ranks.index(least)
-            del cuts[i + 1], ranks[i]
+            parts[i] = least & MASK
+            del parts[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = rank((word[cuts[i - 1] : cuts[i]], word[cuts[i] : cuts[i + 1]]), NEVER)
+                ranks[i - 1] = get(parts[i - 1] << BITS | parts[i], NEVER)
             if i < len(ranks):
-                ranks[i] = rank((word[cuts[i] : cuts[i + 1]], word[cuts[i + 1] : cuts[i + 2]]), NEVER)
-        return cuts
+                ranks[i] = get(parts[i] << BITS | parts[i + 1], NEVER)
+        return parts
 
     def queued(self, word: bytes) -> list[int]:
-        """The same boundaries from a heap of pairs: (rank, start, boundary, end), stale once a part has changed."""
-        size = len(word)
-        end = list(range(1, size + 1))  # of the part that starts here, 0 where none does any more
-        before = list(range(-1, size))  # the start of the part that ends here
+        """The same ids from a heap of pairs: (rank and id, start, both ids). A pair is stale once a part has changed."""
+        size, parts = len(word), [self.bytes[b] for b in word]  # by their starts, -1 where none starts any more
+        after = list(range(1, size + 1))  # the start of the part behind each
+        before = list(range(-1, size))  # and of the one in front of it
         heap = []
 
         def push(start: int) -> None:
-            middle = end[start]
-            if middle < size:
-                found = self.ranks.get((word[start:middle], word[middle : end[middle]]))
+            if after[start] < size:
+                pair = parts[start] << BITS | parts[after[start]]
+                found = self.ranks.get(pair)
                 if found is not None:
-                    heapq.heappush(heap, (found, start, middle, end[middle]))
+                    heapq.heappush(heap, (found >> BITS, start, found & MASK, pair))
 
         for i in range(size - 1):
             push(i)
         while heap:
-            _, start, middle, stop = heapq.heappop(heap)
-            if end[start] != middle or end[middle] != stop:
+            _, start, made, pair = heapq.heappop(heap)
+            other = after[start]
+            if other >= size or parts[start] << BITS | parts[other] != pair or parts[start] < 0:
                 continue
-            end[start], end[middle] = stop, 0
-            before[stop] = start
+            parts[start], parts[other] = made, -1
+            after[start] = after[other]
+            before[after[other]] = start
             if start:
                 push(before[start])
             push(start)
-        return [i for i in range(size) if end[i]] + [size]
+        return [p for p in parts if p >= 0]
 
     def _word_bytes(self, word: str) -> bytes:
         data = word.encode("utf-8", "surrogatepass")
-        cuts = self.scanned(data) if len(data) <= self.longest else self.queued(data)
-        return struct.pack(f"<{len(cuts) - 1}I", *(self.ids[data[a:b]] for a, b in zip(cuts, cuts[1:], strict=False)))
+        ids = self.scanned(data) if len(data) <= self.longest else self.queued(data)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode_bytes(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        words = self.words if text.isascii() or not self.has_later(text) else self.words_with_later
+        words = self.low_words if not self.has_high(text) else self.words_with_later if self.has_later(text) else self.words
         out = []
         for part in self.cut_special(text):
             special = self.special.get(part)
