@@ -15,6 +15,7 @@ import codecs
 import hashlib
 import re
 import struct
+import weakref
 from collections.abc import Iterator
 from functools import partial
 
@@ -247,16 +248,17 @@ class _Memo(dict):
         return value
 
 
-_CODECS: dict[bytes, PieceCodec] = {}
+_CODECS: weakref.WeakValueDictionary[bytes, PieceCodec] = weakref.WeakValueDictionary()
 
 
 def codec(model: bytes) -> PieceCodec:
-    """The codec of a model, built once in each Python worker."""
+    """The codec of a model. It goes with the last task that uses it: a Python worker outlasts its tasks, and its memory
+    is that of the stages that follow."""
     key = hashlib.sha256(model).digest()
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = PieceCodec(model)
-    return _CODECS[key]
+    found = _CODECS.get(key)
+    if found is None:
+        found = _CODECS[key] = PieceCodec(model)
+    return found
 
 
 def read_model(path: str) -> bytes:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -23,6 +24,10 @@ def _batches(batches: Iterator[pa.RecordBatch], kept: list[str], texts: list[str
         arrays = [batch.column(k).cast(schema.field(i).type) for i, k in enumerate(kept)]
         arrays += [pa.array(v, schema.field(len(kept) + i).type) for i, v in enumerate(new)]
         yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+        del rows, new, arrays
+    del made  # the worker goes on to other stages, without what this one needed
+    gc.collect()
+    pa.default_memory_pool().release_unused()
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
