@@ -23,6 +23,7 @@ import gzip
 import json
 import os
 import re
+import sys
 import uuid
 import xml.etree.ElementTree as ET
 from collections.abc import Iterable, Iterator
@@ -30,6 +31,7 @@ from dataclasses import dataclass
 from typing import Any
 
 from pyarrow import fs
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.types import StructType
@@ -268,6 +270,8 @@ class Literature(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    """Makes the format known to a session, with its filters pushed down."""
+    """Makes the format known to a session, with its filters pushed down. The processes that plan a source have none of
+    the driver's import path, so this module is sent to them by value."""
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(Literature)

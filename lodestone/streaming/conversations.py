@@ -7,10 +7,12 @@ its state deleted. State is in RocksDB and in the checkpoint, so a stream goes o
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -96,6 +98,8 @@ def rocksdb(spark: SparkSession) -> Iterator[None]:
 
 
 def run(stream: DataFrame, target: str, checkpoint: str) -> None:
-    """Appends tracked() turns to a Parquet table and returns when all that has landed is in."""
+    """Appends tracked() turns to a Parquet table and returns when all that has landed is in. The process that sets the
+    state up has none of the driver's import path, so this module is sent to it by value."""
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     with rocksdb(stream.sparkSession):
         tracked(stream).writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
