@@ -38,10 +38,11 @@ def _spans(turns: str) -> str:
 
 
 def formatted(turns: DataFrame) -> DataFrame:
-    """pair_id, n_common (turns of the prompt), prompt, chosen, rejected, chosen_spans, rejected_spans."""
+    """pair_id, n_common (turns of the prompt), prompt, chosen, rejected, chosen_spans, rejected_spans. Turns without a
+    pair_id belong to no pair and are left out; repeated turns are turns of their own."""
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     side = lambda name: F.array_sort(F.collect_list(F.when(F.col("side") == name, turn))).alias(name)
-    pairs = turns.filter(F.col("side").isin("chosen", "rejected")).groupBy("pair_id").agg(side("chosen"), side("rejected"))
+    pairs = turns.filter(F.col("side").isin("chosen", "rejected") & F.col("pair_id").isNotNull()).groupBy("pair_id").agg(side("chosen"), side("rejected"))
     alike = """aggregate(arrays_zip(chosen, rejected), named_struct('n', 0, 'alike', true), (s, z) -> if(
         s.alike and z.chosen.role = z.rejected.role and z.chosen.text = z.rejected.text, named_struct('n', s.n + 1, 'alike', true), named_struct('n', s.n, 'alike', false)), s -> s.n)"""
     pairs = pairs.withColumn("n_common", F.expr(alike))

@@ -51,6 +51,10 @@ def test_preference_prefix_completions_and_spans(spark):
     assert (got[2].n_common, got[2].chosen, got[2].rejected, got[2].chosen_spans) == (1, "", "", [])
     assert (got[3].n_common, got[3].rejected) == (0, "")
     assert preference.formatted(turns.limit(0)).count() == 0
+    # turns without a pair make none; repeated and long ones stand as they are
+    loose = spark.createDataFrame([(None, "chosen", 0, "user", "hi"), (None, "rejected", 0, "user", "hi"), (5, "chosen", 0, "user", "x" * 100_000), (5, "chosen", 0, "user", "x" * 100_000), (5, "rejected", 0, "user", "x" * 100_000)], "pair_id int, side string, turn int, role string, text string")
+    (five,) = preference.formatted(loose).collect()
+    assert (five.pair_id, five.n_common, len(five.chosen) > 100_000, five.rejected) == (5, 1, True, "")
 
 
 # 2 secret scans
@@ -227,6 +231,67 @@ def test_dates_equal_plain_python_and_the_key_is_in_no_plan(spark):
     assert "a secret key" not in found._jdf.queryExecution().toString()
 
 
+def rounds(left, a, right, b, kind, key="k"):
+    for n in range(1, pseudonyms.ROUNDS + 1):
+        h = lambda v: int(hashlib.sha256(f"{key}|{kind}|{n}|{v}".encode()).hexdigest()[:13], 16)  # noqa: B023, E731
+        left, right = ((left + h(right) % a) % a, right) if n % 2 else (left, (right + h(left) % b) % b)
+    return left, right
+
+
+def plain_number(digits, keep, last, kind):
+    middle = digits[keep : len(digits) - last]
+    half = len(middle) // 2
+    left, right = rounds(int(middle[:half]), 10**half, int(middle[half:]), 10 ** (len(middle) - half), kind)
+    return f"{digits[:keep]}{left:0{half}}{right:0{len(middle) - half}}"
+
+
+def plain_email(local, key="k"):
+    half = len(local) // 2
+    left, right = local[:half], local[half:]
+
+    def moved(mine, other, n):
+        out, digest = "", hashlib.sha256(other.encode()).hexdigest()
+        for i, c in enumerate(mine):
+            z = int(hashlib.sha256(f"{key}|email|{n}|{i}|{digest}".encode()).hexdigest()[:8], 16)
+            first, size = next(((f, m) for f, m in (("0", 10), ("a", 26), ("A", 26)) if f <= c < chr(ord(f) + m)), (None, 0))
+            out += chr((ord(c) - ord(first) + z) % size + ord(first)) if first else c
+        return out
+
+    for n in range(1, pseudonyms.ROUNDS + 1):
+        left, right = (moved(left, right, n) if left else "", right) if n % 2 else (left, moved(right, left, n))
+    return left + right
+
+
+def filled(shape, digits):
+    left = iter(digits)
+    return "".join(next(left) if c.isdigit() else c for c in shape)
+
+
+def test_other_kinds_equal_plain_python(spark):
+    def luhn(digits):
+        d = [int(c) for c in reversed(digits)]
+        return (sum(d[::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0
+
+    want = {}
+    for card in ("4111111111111111", "4111-1111-1111-1111", "378282246310005", "3782 822463 10005"):
+        p = plain_number(re.sub("[^0-9]", "", card), 1, 1, "card")
+        want[card] = filled(card, p + next(c for c in "0123456789" if luhn(p + c)))
+    for phone in ("+1 (743) 555-3824", "743-555-3824", "1.743.555.3824"):
+        digits = re.sub("[^0-9]", "", phone)
+        left, right = rounds(int(digits[-10:-7]) - 200, 800, int(digits[-7:]) - 2_000_000, 8_000_000, "phone")
+        want[phone] = filled(phone, f"{digits[:-10]}{left + 200}{right + 2_000_000}")
+    for intl in ("+44 20 7946 0958", "+4930123456"):
+        want[intl] = filled(intl, plain_number(re.sub("[^0-9]", "", intl), 3, 0, "intl"))
+    for area, group, serial in ((123, 45, 6789), (667, 1, 1), (899, 99, 9999), (1, 10, 2)):
+        left, right = rounds(area - 1 - (area > 666), 898, (group - 1) * 9999 + serial - 1, 989_901, "ssn")
+        want[f"{area:03}-{group:02}-{serial:04}"] = f"{left + 1 + (left >= 665):03}-{right // 9999 + 1:02}-{right % 9999 + 1:04}"
+    for local in ("a", "Ab9", "first.last+tag", "x_1%2"):
+        want[f"{local}@x.org"] = f"{plain_email(local)}@x.org"
+    rows = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
+    got = by_id(pseudonyms.pseudonymised(rows, "k"))
+    assert {text: got[i].text for i, text in enumerate(want)} == want
+
+
 def test_dates_are_permuted_one_to_one(spark):
     days = spark.range(0, 4000).select(F.col("id").alias("doc_id"), F.date_format(F.date_add(F.lit("1990-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("text"))
     out = [r.text for r in pseudonyms.pseudonymised(days, "k").collect()]
