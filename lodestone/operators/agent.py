@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import terms
+from lodestone.operators.blockmax import Blocks, search
 from lodestone.operators.embedding import Embedder, HashingEmbedder, embed
 from lodestone.operators.retrieval import COLLECTIONS, bm25, build_index, collection_of, covered, fuse, knn, query_terms, rerank, top_k, weight_collections
 from lodestone.session import kept
@@ -88,10 +89,12 @@ def coverage(queries: DataFrame, ranked: DataFrame, docs: DataFrame) -> DataFram
     return asked.select("query_id").join(best, "query_id", "left").select("query_id", F.coalesce("top_sim", F.lit(0.0)).alias("top_sim"))
 
 
-def local_search(queries: DataFrame, docs: DataFrame, pool: int = 50, candidates: int = 20, scorer: Scorer = covered, factory: Callable[[], Embedder] = HashingEmbedder) -> DataFrame:
+def local_search(queries: DataFrame, docs: DataFrame, pool: int = 50, candidates: int = 20, scorer: Scorer = covered, factory: Callable[[], Embedder] = HashingEmbedder, index: Blocks | None = None) -> DataFrame:
     """query_id, doc_id, collection, score, rank: the `pool` best by BM25 and by vectors, fused, weighted by collection,
-    cut to `candidates` and scored anew. queries: query_id, text; docs: doc_id, text, source."""
-    by_terms = top_k(bm25(build_index(docs), query_terms(queries, "query_id")), pool)
+    cut to `candidates` and scored anew. queries: query_id, text; docs: doc_id, text, source. With a stored index of the
+    documents (sources.segments) the terms of the texts are not counted again."""
+    asked = query_terms(queries, "query_id")
+    by_terms = top_k(bm25(build_index(docs), asked), pool) if index is None else search(index, asked, pool)
     by_vectors = knn(embed(docs, "doc_id", factory=factory), embed(queries, "query_id", factory=factory), pool)
     known = docs.select("doc_id", collection_of(F.col("source")).alias("collection"))
     found = top_k(weight_collections(fuse(by_terms, by_vectors), known), candidates)

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import blockmax, retrieval
+from lodestone.operators import agent, blockmax, retrieval
 from lodestone.sources.segments import Conflict, Store
 
 WORDS = [f"w{i}" for i in range(60)]
@@ -143,3 +143,15 @@ def test_of_two_changes_to_one_version_the_second_fails(spark, tmp_path):
     with pytest.raises(Conflict):
         store._swap(base, list(base.segments), [])
     assert len(store.manifest().segments) == 2 and store.manifest(base.version) == base
+
+
+def test_the_agent_answers_alike_from_a_stored_index(spark, tmp_path):
+    texts = collection(spark, range(40))
+    docs = frame(spark, texts).withColumn("source", F.concat(F.lit("src"), F.col("doc_id") % 5))
+    store = Store(spark, str(tmp_path / "store"), size=8)
+    store.add(docs.filter("doc_id < 25"))
+    store.add(docs.filter("doc_id >= 25"))
+    queries = spark.createDataFrame([(q, " ".join(WORDS[q : q + 4])) for q in range(5)], "query_id long, text string")
+    plainly = agent.local_search(queries, docs)
+    stored = agent.local_search(queries, docs, index=store.index())
+    assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, plainly.collect()))
