@@ -6,14 +6,16 @@ Language models are out of scope: stages decide by explicit rules, and the answe
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone.config import Settings
 from lodestone.functions.text import terms
 from lodestone.operators.blockmax import Blocks, search
 from lodestone.operators.embedding import Embedder, HashingEmbedder, embed
-from lodestone.operators.retrieval import COLLECTIONS, bm25, build_index, collection_of, covered, fuse, knn, query_terms, rerank, top_k, weight_collections
+from lodestone.operators.retrieval import COLLECTIONS, bm25, build_index, collection_of, covered, fuse, knn, min_max, query_terms, rerank, top_k, weight_collections
 from lodestone.session import kept
 
 Scorer = Callable[[Column, Column], Column]
@@ -89,15 +91,21 @@ def coverage(queries: DataFrame, ranked: DataFrame, docs: DataFrame) -> DataFram
     return asked.select("query_id").join(best, "query_id", "left").select("query_id", F.coalesce("top_sim", F.lit(0.0)).alias("top_sim"))
 
 
-def local_search(queries: DataFrame, docs: DataFrame, pool: int = 50, candidates: int = 20, scorer: Scorer = covered, factory: Callable[[], Embedder] = HashingEmbedder, index: Blocks | None = None) -> DataFrame:
+def local_search(queries: DataFrame, docs: DataFrame, pool: int = 50, candidates: int = 20, scorer: Scorer = covered, factory: Callable[[], Embedder] = HashingEmbedder, index: Blocks | None = None, vectors: bool = True, rescored: bool = True) -> DataFrame:
     """query_id, doc_id, collection, score, rank: the `pool` best by BM25 and by vectors, fused, weighted by collection,
     cut to `candidates` and scored anew. queries: query_id, text; docs: doc_id, text, source. With a stored index of the
-    documents (sources.segments) the terms of the texts are not counted again."""
+    documents (sources.segments) the terms of the texts are not counted again. Without `vectors` the scores of BM25, scaled
+    as in the fusion, stand alone; without `rescored` hits keep their weighted scores."""
     asked = query_terms(queries, "query_id")
     by_terms = top_k(bm25(build_index(docs), asked), pool) if index is None else search(index, asked, pool)
-    by_vectors = knn(embed(docs, "doc_id", factory=factory), embed(queries, "query_id", factory=factory), pool)
+    if vectors:
+        fused = fuse(by_terms, knn(embed(docs, "doc_id", factory=factory), embed(queries, "query_id", factory=factory), pool))
+    else:
+        fused = by_terms.select("query_id", "doc_id", F.round(min_max(by_terms), 6).alias("score"))
     known = docs.select("doc_id", collection_of(F.col("source")).alias("collection"))
-    found = top_k(weight_collections(fuse(by_terms, by_vectors), known), candidates)
+    found = top_k(weight_collections(fused, known), candidates)
+    if not rescored:
+        return found.select("query_id", "doc_id", "collection", "score", "rank")
     return rerank(found, queries, docs, candidates, scorer).join(known, "doc_id")
 
 
@@ -144,6 +152,13 @@ def answer(queries: DataFrame, docs: DataFrame, external: DataFrame, k: int = 10
     return rows.select(*request, status.alias("status"), "disease", "top_sim", rounds.alias("rounds_used"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("answer", F.lit("")).alias("answer"), F.coalesce("references", none).alias("references"))
 
 
+def answer_with(settings: Settings, queries: DataFrame, docs: DataFrame, external: DataFrame, **local) -> DataFrame:
+    """answer() by the settings of the service; `local` are further arguments of local_search()."""
+    search_ = partial(local_search, pool=settings.pool, candidates=settings.candidates, vectors=settings.embeddings, rescored=settings.rerank, **local)
+    outside = partial(external_search, candidates=settings.candidates)
+    return answer(queries, docs, external, settings.k, settings.threshold, settings.min_score, TOOLS | {"local_search": search_, "external_search": outside})
+
+
 def _described(docs: DataFrame, doc_id: Column) -> DataFrame:
     """doc_id, title, authors, year, begins (200 characters of the text)."""
     kinds = {"title": "string", "authors": "string", "year": "int"}

@@ -8,7 +8,7 @@ from lodestone.operators import blockmax, embedding, gate, positions, quantised,
 from lodestone.plans.catalog import query
 from lodestone.plans.evidence import BM25, QRELS, TERMS, _asked, _docs, _index, _qrels, _vectors
 from lodestone.session import kept, shared_folder, spread, table
-from lodestone.sources import literature
+from lodestone.sources import files, literature
 from lodestone.sources.segments import Store
 from lodestone.streaming import conversations, incremental
 
@@ -52,15 +52,29 @@ def semantic_search(spark, folder):
     return retrieval.knn(embedding.embed(docs, "doc_id", factory=given), embedding.embed(asked, "item_id", factory=given), 10)
 
 
+def _dumps(spark, folder, at):
+    """The documents, saved as dumps of two sources."""
+    literature.register(spark)
+    docs = table(spark, folder, "documents")
+    source = F.when(F.col("lang") == "en", "pubmed").otherwise("europepmc")
+    articles = docs.select(F.col("doc_id").cast("string").alias("id"), source.alias("source"), F.substring("text", 1, 60).alias("title"), F.col("source").alias("authors"), (2000 + F.col("doc_id") % 25).cast("int").alias("year"), F.col("text").alias("abstract"))
+    articles.write.format("literature").mode("append").save(at)
+
+
+@query("SELECT CASE WHEN lang = 'en' THEN 'pubmed' ELSE 'europepmc' END AS source, CAST(2000 + doc_id % 25 AS INT) AS year, count(*) AS articles, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM documents GROUP BY 1, 2")
+def literature_years(spark, folder):
+    """Articles of each source and year, from landed dumps read in one batch."""
+    at = shared_folder(spark)
+    _dumps(spark, folder, at)
+    return spark.read.format("literature").load(at).groupBy("source", "year").agg(F.count(F.lit(1)).alias("articles"), F.sum(F.length("abstract")).alias("n_chars"))
+
+
 @query("""SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN lang = 'en' THEN 'pubmed' ELSE 'europepmc' END AS source, substr(text, 1, 60) AS title, source AS authors,
   CAST(2000 + doc_id % 25 AS INT) AS year, length(text) AS n_chars FROM documents""")
 def literature_stream(spark, folder):
     """Articles of two sources, saved as their dumps and loaded by a stream."""
-    docs, at = table(spark, folder, "documents"), shared_folder(spark)
-    literature.register(spark)
-    source = F.when(F.col("lang") == "en", "pubmed").otherwise("europepmc")
-    articles = docs.select(F.col("doc_id").cast("string").alias("id"), source.alias("source"), F.substring("text", 1, 60).alias("title"), F.col("source").alias("authors"), (2000 + F.col("doc_id") % 25).cast("int").alias("year"), F.col("text").alias("abstract"))
-    articles.write.format("literature").mode("append").save(f"{at}/dumps")
+    at = shared_folder(spark)
+    _dumps(spark, folder, f"{at}/dumps")
     stream = spark.readStream.format("literature").load(f"{at}/dumps").withColumn("n_chars", F.length("abstract").cast("long")).drop("abstract")
     incremental.run(stream, f"{at}/target", f"{at}/progress")
     return spark.read.schema(stream.schema).parquet(f"{at}/target")
@@ -178,3 +192,12 @@ def trained_gate(spark, folder):
     docs = spread(table(spark, folder, "documents").select("doc_id", "text", "lang"))
     said = table(spark, folder, "conversations").filter("role = 'user'").select(F.concat_ws(":", "conv_id", "turn").alias("query_id"), "text")
     return gate.judge(gate.fit(docs, row_id="doc_id", label="lang"), said)
+
+
+@query(f"WITH q AS (SELECT item_id, unnest({TERMS}) AS term FROM benchmark) SELECT 'terms' AS run_id, item_id, 'distinct' AS metric, CAST(count(DISTINCT term) AS DOUBLE) AS value FROM q GROUP BY item_id")
+def experiment_log(spark, folder):
+    """Records of an experiment, written as a log of JSON lines and read again: how many terms each question has."""
+    at = f"{shared_folder(spark)}/log"
+    counts = _asked(spark, folder).groupBy(F.col("query_id").alias("item_id")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    files.write_log(counts.select(F.lit("terms").alias("run_id"), "item_id", F.lit("distinct").alias("metric"), "value"), at)
+    return spark.read.schema(files.schema("table_eval_record")).json(at)
