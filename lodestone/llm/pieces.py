@@ -63,7 +63,7 @@ def _fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
 class PieceCodec:
     """One BPE model with byte fallback. It holds two bounded memos: of chunks and of pairs of pieces."""
 
-    def __init__(self, model: bytes, memo_chunks: int = 150_000, memo_pairs: int = 150_000):
+    def __init__(self, model: bytes, memo_chunks: int = 500_000, memo_pairs: int = 500_000):
         import ahocorasick
 
         self.pieces, self.kinds, scores = [], [], []
@@ -248,17 +248,23 @@ class _Memo(dict):
         return value
 
 
-_CODECS: weakref.WeakValueDictionary[bytes, PieceCodec] = weakref.WeakValueDictionary()
+_CODECS: dict[bytes, PieceCodec] = {}
+_PASSING: weakref.WeakValueDictionary[bytes, PieceCodec] = weakref.WeakValueDictionary()
 
 
-def codec(model: bytes) -> PieceCodec:
-    """The codec of a model. It goes with the last task that uses it: a Python worker outlasts its tasks, and its memory
-    is that of the stages that follow."""
+def codec(model: bytes, passing: bool = False) -> PieceCodec:
+    """The codec of a model, built once in each Python worker. One that is `passing` has smaller memos and goes with the
+    last task that uses it: a worker outlasts its tasks, and its memory is that of the stages that follow."""
     key = hashlib.sha256(model).digest()
-    found = _CODECS.get(key)
-    if found is None:
-        found = _CODECS[key] = PieceCodec(model)
-    return found
+    if passing:
+        found = _PASSING.get(key)
+        if found is None:
+            found = _PASSING[key] = PieceCodec(model, 150_000, 150_000)
+        return found
+    if key not in _CODECS:
+        _CODECS.clear()
+        _CODECS[key] = PieceCodec(model)
+    return _CODECS[key]
 
 
 def read_model(path: str) -> bytes:
@@ -270,7 +276,7 @@ def read_model(path: str) -> bytes:
 def _encoding(model):
     import numpy as np
 
-    c = codec(model.value)
+    c = codec(model.value, passing=True)
     return lambda text: (np.frombuffer(c.encode_bytes(text), "<i4"),)
 
 
@@ -281,7 +287,7 @@ def encode(docs: DataFrame, model: bytes, kept: list[str], text: str = "text") -
 
 
 def _decoding(model):
-    c = codec(model.value)
+    c = codec(model.value, passing=True)
     return lambda ids: (c.decode(ids or []),)
 
 
