@@ -86,7 +86,7 @@ def coverage(queries: DataFrame, ranked: DataFrame, docs: DataFrame) -> DataFram
     without any document."""
     asked = queries.groupBy("query_id").agg(F.collect_set("term").alias("asked"))
     held = docs.select("doc_id", F.array_distinct(terms(F.col("text"))).alias("held"))
-    rows = ranked.select("query_id", "doc_id").join(held, "doc_id").join(asked, "query_id")
+    rows = held.join(F.broadcast(ranked.select("query_id", "doc_id")), "doc_id").join(asked, "query_id")  # hits are few, texts stay
     best = rows.groupBy("query_id").agg(F.round(F.max(F.size(F.array_intersect("asked", "held")) / F.size("asked")), 6).alias("top_sim"))
     return asked.select("query_id").join(best, "query_id", "left").select("query_id", F.coalesce("top_sim", F.lit(0.0)).alias("top_sim"))
 
@@ -141,7 +141,7 @@ def answer(queries: DataFrame, docs: DataFrame, external: DataFrame, k: int = 10
     both = local.select("query_id", "doc_id", "collection", "score").unionByName(outside)
     ranked = kept(both.filter("score > 0").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k))
     texts = _described(docs, F.col("doc_id")).unionByName(_described(external, -1 - F.col("doc_id")))
-    cited = bundle(ranked.join(texts, "doc_id"), more=("title", "authors", "year", "begins")).withColumn("answer", F.col("references")[0]["begins"])
+    cited = bundle(texts.join(F.broadcast(ranked), "doc_id"), more=("title", "authors", "year", "begins")).withColumn("answer", F.col("references")[0]["begins"])
     cited = cited.withColumn("references", F.transform("references", lambda r: r.dropFields("begins")))
     rows = queries.drop("text").join(known, "query_id").join(sims, "query_id", "left").join(evidence(ranked, min_score=min_score), "query_id", "left").join(cited, "query_id", "left")
     rows = rows.join(searched.withColumn("searched", F.lit(True)), "query_id", "left")

@@ -22,7 +22,7 @@ def feedback(index: Index, queries: DataFrame, hits: DataFrame, n_terms: int = 2
     (query_id, doc_id, score), weights adding up to 1. A query without hits, or whose hits all score 0, keeps its own."""
     of_query = Window.partitionBy("query_id")
     shares = hits.select("query_id", F.col("doc_id").alias("id"), F.try_divide("score", F.sum("score").over(of_query)).alias("share")).filter("share > 0")
-    held = index.tf.hint("merge").join(shares, "id")
+    held = index.tf.join(F.broadcast(shares), "id")  # a few documents of each query; the postings stay where they are
     weights = held.groupBy("query_id", "term").agg(F.round(F.sum(F.col("share") * F.col("tf") / F.col("dl")), 9).alias("weight"))
     best = top_k(weights, n_terms, "weight", "term")
     best = best.withColumn("weight", F.col("weight") / F.sum("weight").over(of_query))

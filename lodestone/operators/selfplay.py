@@ -12,26 +12,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators.evaluation import metrics
-from lodestone.operators.retrieval import Index, idf, top_k
+from lodestone.operators.retrieval import Index, top_k, weighed
 from lodestone.session import kept, stored
 
 
 def grid_scores(index: Index, queries: DataFrame, grid: dict[str, tuple[float, float]]) -> DataFrame:
-    """query_id, strategy, doc_id, score by BM25 with each (k1, b) of the grid: all in one pass over the postings."""
-    wanted = queries.join(index.df, "term").crossJoin(F.broadcast(index.stats)).select("query_id", "term", idf(F.col("n_docs"), F.col("df")).alias("idf"), "avg_dl")
+    """query_id, strategy, doc_id, score by BM25 with each (k1, b) of the grid: all in one pass over the postings, which
+    stay where they are, as in bm25()."""
     part = lambda k1, b: F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))
     sums = [F.round(F.sum(part(k1, b)), 6).alias(f"s{i}") for i, (k1, b) in enumerate(grid.values())]
-    rows = index.tf.hint("merge").join(wanted, "term").groupBy("query_id", F.col("id").alias("doc_id")).agg(*sums)
+    rows = index.tf.join(F.broadcast(weighed(index, queries)), "term").groupBy("query_id", F.col("id").alias("doc_id")).agg(*sums)
     each = F.explode(F.array(*(F.struct(F.lit(name).alias("strategy"), F.col(f"s{i}").alias("score")) for i, name in enumerate(grid))))
     return rows.select("query_id", "doc_id", each.alias("s")).select("query_id", "s.strategy", "doc_id", "s.score")
 
 
-def records(scores: DataFrame, qrels: DataFrame, k: int = 10, metric: str = "ndcg") -> DataFrame:
-    """run_id (the strategy), item_id, metric, value for each judged query (qrels: query_id, doc_id) and strategy."""
+def records(scores: DataFrame, qrels: DataFrame, k: int = 10, metric: str = "ndcg", strategies: list[str] | None = None) -> DataFrame:
+    """run_id (the strategy), item_id, metric, value for each judged query (qrels: query_id, doc_id) and strategy. Of the
+    scores only the k best of each are kept, and those of judged queries alone are ranked. Unless the strategies are
+    named, all scores are made a second time to find them."""
     both = F.struct("query_id", "strategy").alias("query_id")
-    ranked = top_k(scores.select(both, "doc_id", "score"), k)
-    strategies = scores.select("strategy").distinct()
-    judged = qrels.crossJoin(F.broadcast(strategies)).select(both, "doc_id")  # as many strategies as the grid has
+    judged_only = scores.join(F.broadcast(qrels.select("query_id").distinct()), "query_id", "left_semi")
+    ranked = kept(top_k(judged_only.select(both, "doc_id", "score"), k))
+    players = scores.select("strategy").distinct() if strategies is None else scores.sparkSession.createDataFrame([(s,) for s in strategies], "strategy string")
+    judged = qrels.crossJoin(F.broadcast(players)).select(both, "doc_id")  # as many strategies as the grid has
     found = metrics(ranked, judged, k)
     return found.select(F.col("query_id.strategy").alias("run_id"), F.col("query_id.query_id").alias("item_id"), F.lit(metric).alias("metric"), F.col(metric).cast("double").alias("value"))
 
@@ -78,8 +81,8 @@ def halving(index: Index, queries: DataFrame, qrels: DataFrame, grid: dict[str,
     while left:
         size = min(n, max(1, round(n * share * 2**rung)))
         playing = judged.filter(F.col("nth") <= size).select("query_id")
-        scores = kept(grid_scores(index, queries.join(playing, "query_id", "left_semi"), left))
-        found = ratings(games(records(scores, qrels.join(playing, "query_id", "left_semi"), k)))
+        scores = grid_scores(index, queries.join(playing, "query_id", "left_semi"), left)
+        found = ratings(games(records(scores, qrels.join(playing, "query_id", "left_semi"), k, strategies=list(left))))
         rated = {r["player"]: r["rating"] for r in found.collect()}  # a row a strategy
         best = sorted(left, key=lambda s: (-rated.get(s, 0.0), s))
         stay = best[: max(1, len(best) // 2)]
