@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators.retrieval import build_index, idf, top_k
-from lodestone.session import kept
+from lodestone.session import kept, stored
 
 #: Scores are rounded to 6 decimals; bounds leave room for that and for the order of sums.
 ROOM = 2e-6
@@ -70,7 +70,7 @@ def build_blocks(docs: DataFrame, size: int = 128, doc_id: str = "doc_id", text:
     """The index of docs as one segment, kept in the shared folder."""
     index = build_index(docs, doc_id, text)
     postings, terms = blocked(index.tf, size)
-    postings, terms = kept(postings.withColumn("segment", F.lit("0"))), kept(terms.withColumn("segment", F.lit("0")))
+    postings, terms = stored(postings.withColumn("segment", F.lit("0"))), stored(terms.withColumn("segment", F.lit("0")))  # packed, and read by column
     figures = index.stats.first()
     return Blocks(postings, terms.select("segment", "term", "n_blocks"), terms.select("term", "df"), None, figures["n_docs"], figures["avg_dl"])
 
