@@ -13,19 +13,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import listed
+from lodestone.functions.text import counted, listed
 from lodestone.operators.retrieval import Index, top_k
+from lodestone.session import kept
 
 
 def feedback(index: Index, queries: DataFrame, hits: DataFrame, n_terms: int = 20, own: float = 0.5) -> DataFrame:
     """query_id, term, weight: the queries' terms (query_id, term) and the `n_terms` that weigh most in their hits
-    (query_id, doc_id, score), weights adding up to 1. A query without hits, or whose hits all score 0, keeps its own."""
+    (query_id, doc_id, score), weights adding up to 1. A query without hits, or whose hits all score 0, keeps its own.
+
+    Hits and the terms that weigh most are few and read several times, so they are kept: the search runs once. The texts
+    of other documents go before they are cut into terms."""
     of_query = Window.partitionBy("query_id")
     shares = hits.select("query_id", F.col("doc_id").alias("id"), F.try_divide("score", F.sum("score").over(of_query)).alias("share")).filter("share > 0")
-    held = index.tf.join(F.broadcast(shares), "id")  # a few documents of each query; the postings stay where they are
+    shares = kept(shares)
+    rows = index.rows.join(F.broadcast(shares.select("id").distinct()), "id", "left_semi")  # the texts stay where they are
+    held = listed(rows, counted(F.col("terms")), "c", "id", "dl").select("id", "dl", "c.term", "c.tf").join(F.broadcast(shares), "id")
     weights = held.groupBy("query_id", "term").agg(F.round(F.sum(F.col("share") * F.col("tf") / F.col("dl")), 9).alias("weight"))
     best = top_k(weights, n_terms, "weight", "term")
-    best = best.withColumn("weight", F.col("weight") / F.sum("weight").over(of_query))
+    best = kept(best.withColumn("weight", F.col("weight") / F.sum("weight").over(of_query)))
     asked = queries.withColumn("weight", F.lit(1.0) / F.count(F.lit(1)).over(of_query))
     fed = best.select("query_id").distinct().withColumn("fed", F.lit(1))
     asked = asked.join(fed, "query_id", "left").select("query_id", "term", (F.col("weight") * F.when(F.col("fed") == 1, own).otherwise(1.0)).alias("weight"))

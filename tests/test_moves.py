@@ -58,3 +58,9 @@ def test_texts_and_runs_stay(spark):
     assert "id" not in moved(fed)
     starts = positions.phrases(positions.positional(docs(spark)), positions.query_places(asked(spark)))
     assert {tuple(r) for r in starts.select("query_id", "doc_id", F.col("starts")[0]).collect()} == {(1, 0, 0), (1, 4, 1), (2, 0, 2), (2, 5, 5)}
+
+
+def test_feedback_searches_once(spark):
+    index, terms = retrieval.build_index(docs(spark)), retrieval.query_terms(asked(spark), "query_id")
+    fed = rewriting.feedback(index, terms, retrieval.top_k(retrieval.bm25(index, terms), 3))
+    assert "ln(" not in fed._jdf.queryExecution().executedPlan().toString()  # no idf: the search isn't part of what is left
