@@ -11,6 +11,9 @@ can't reach it even with the best of all others. The documents found are looked
 rounds that each take about half of what the terms left can add, the most telling first; before and after each round
 those go whose score so far and best rest don't reach the threshold. Since every step goes by bounds, the result is that
 of retrieval.bm25 and top_k.
+
+The queries' terms, with what is known of each, go to the blocks by broadcast. Blocks only move to be looked up, and then
+only those of the terms that are looked up, or those asked for where these are no more than the queries tell.
 """
 
 from __future__ import annotations
@@ -95,10 +98,9 @@ def steps(index: Blocks, queries: DataFrame, k: int, k1: float = 1.2, b: float =
     are scored exactly to find the threshold. These and `rounds` only decide how much is dropped, not what is found."""
     impact = lambda tf, dl: _impact(tf, dl, index.avg_dl, k1, b)
     cap = F.array_max(F.transform("peaks", lambda p: impact(p["tf"], p["dl"]))).alias("cap")
-    postings = index.postings.hint("merge")
 
     wanted = queries.join(index.df, "term").select("query_id", "term", "df", idf(F.lit(index.n_docs), F.col("df")).alias("idf"))
-    caps = kept(index.postings.join(wanted.select("term").distinct(), "term", "left_semi").select("segment", "term", "block", cap))
+    caps = kept(index.postings.join(F.broadcast(wanted.select("term").distinct()), "term", "left_semi").select("segment", "term", "block", cap))
     asked = wanted.join(caps.groupBy("term").agg(F.max("cap").alias("top")), "term").withColumn("most", F.col("idf") * F.col("top"))
     of_query = Window.partitionBy("query_id")
     rarer = F.sum("df").over(of_query.orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1))
@@ -115,18 +117,20 @@ def steps(index: Blocks, queries: DataFrame, k: int, k1: float = 1.2, b: float =
         rows = candidates.join(terms.select("query_id", "term", "idf"), "query_id").join(index.terms, ["segment", "term"])
         return rows.withColumn("block", block_of(F.col("id"), F.col("n_blocks"))).drop("n_blocks")
 
-    def looked_up(places: DataFrame) -> DataFrame:
+    def looked_up(places: DataFrame, postings: DataFrame) -> DataFrame:
         """query_id, segment, id, part of the places that hold a posting."""
-        found = places.join(postings.select("segment", "term", "block", "docs"), ["segment", "term", "block"])
+        found = places.join(postings.select("segment", "term", "block", "docs").hint("merge"), ["segment", "term", "block"])
         found = found.withColumn("d", F.expr("filter(docs, d -> d.id = id)")).filter(F.size("d") > 0).withColumn("d", F.col("d")[0])
         return found.select("query_id", "segment", "id", (F.col("idf") * impact(F.col("d.tf"), F.col("d.dl"))).alias("part"))
 
     def summed(rows: DataFrame) -> DataFrame:
         return rows.groupBy("query_id", "segment", "id").agg(F.sum("part").alias("part"))
 
-    seeds = parts(postings.join(asked.filter("seed"), "term"))
+    seeds = parts(index.postings.join(F.broadcast(asked.filter("seed")), "term"))
     best = top_k(summed(seeds), seed_docs * k, "part", "id")
-    first = kept(looked_up(placed(best.select("query_id", "segment", "id"), asked)))
+    at = F.xxhash64("segment", "term", "block").alias("at")
+    places = kept(placed(best.select("query_id", "segment", "id"), asked))  # `seed_docs` * k for each term of a query
+    first = kept(looked_up(places, index.postings.withColumn("at", at).join(F.broadcast(places.select(at).distinct()), "at", "left_semi")))
     exact = summed(first).select("query_id", F.round("part", 6).alias("score"), F.col("id").alias("doc_id"))
     floor = top_k(exact, k).filter(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
 
@@ -140,8 +144,8 @@ def steps(index: Blocks, queries: DataFrame, k: int, k1: float = 1.2, b: float =
     after = [F.sum(F.when(F.col("turn") > r, F.col("most")).otherwise(0.0)).alias(f"after{r}") for r in range(-1, rounds)]
     bounds = asked.groupBy("query_id").agg(F.first("floor").alias("floor"), *after)
 
-    reach = caps.join(asked.filter("essential"), "term").filter(F.col("idf") * F.col("cap") + F.col("all") - F.col("most") >= F.col("floor"))
-    scored = parts(postings.join(reach.select("query_id", "segment", "term", "block", "idf"), ["segment", "term", "block"]))
+    reach = index.postings.select("segment", "term", "docs", cap).join(F.broadcast(asked.filter("essential")), "term")
+    scored = parts(reach.filter(F.col("idf") * F.col("cap") + F.col("all") - F.col("most") >= F.col("floor")))
 
     def able(rows: DataFrame, r: int) -> DataFrame:
         return rows.join(bounds, "query_id").filter(F.col("part") + F.col(f"after{r}") >= F.col("floor")).select(*key, "part")
@@ -150,11 +154,12 @@ def steps(index: Blocks, queries: DataFrame, k: int, k1: float = 1.2, b: float =
     left = kept(able(summed(scored), -1))
     all_scored = scored.select("query_id").unionAll(seeds.select("query_id")).unionAll(first.select("query_id"))
     for r in range(rounds):
-        places = placed(left.select(*key), asked.filter(F.col("turn") == r))
+        turns = asked.filter(F.col("turn") == r)
+        places = placed(left.select(*key), turns)
         room = places.join(caps, ["segment", "term", "block"]).groupBy(*key).agg(F.sum(F.col("idf") * F.col("cap")).alias("room"))
         worth = left.join(room, key, "left").join(bounds, "query_id").filter(F.col("part") + F.coalesce("room", F.lit(0.0)) + F.col(f"after{r}") >= F.col("floor"))
         worth = worth.select(*key, "part")
-        found = kept(looked_up(placed(worth.select(*key), asked.filter(F.col("turn") == r))))
+        found = kept(looked_up(placed(worth.select(*key), turns), index.postings.join(F.broadcast(turns.select("term").distinct()), "term", "left_semi")))
         all_scored = all_scored.unionAll(found.select("query_id"))
         left = kept(able(summed(worth.unionByName(found)), r))
     hits = top_k(left.select("query_id", F.col("id").alias("doc_id"), F.round("part", 6).alias("score")), k)

@@ -156,7 +156,7 @@ class Store:
         postings, terms = blocked(tf, self.size)
         docs.select("id", F.col("dl").cast("int").alias("dl"), "terms").write.parquet(path("docs"))
         terms.sortWithinPartitions("term").write.parquet(path("terms"))
-        postings.repartition("term", "block").sortWithinPartitions("term", "block").write.parquet(path("postings"))
+        postings.sortWithinPartitions("term", "block").write.parquet(path("postings"))
         figures = self._segments("docs", [name]).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("length"), F.countDistinct("id").alias("ids")).first()
         if figures["ids"] != figures["n"]:
             raise ValueError("ids have to be given, and distinct within a batch")
@@ -181,12 +181,10 @@ class Store:
     def add(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Manifest:
         """A new segment of docs, in place of the documents of the same ids."""
         base = self.manifest()
-        tf = build_index(docs, doc_id, text).tf
+        index = build_index(docs, doc_id, text)
         known = docs.select(F.col(doc_id).cast(self.id_type).alias("id"))
-        held = tf.groupBy("id").agg(F.first("dl").alias("dl"), F.collect_list("term").alias("terms"))
-        none = F.array().cast("array<string>")
-        rows = known.join(held, "id", "left").select("id", F.coalesce("dl", F.lit(0)).alias("dl"), F.coalesce("terms", none).alias("terms"))
-        segment = self._write_segment(tf, rows)
+        rows = index.rows.select(F.col("id").cast(self.id_type).alias("id"), "dl", F.array_distinct("terms").alias("terms"))  # within a row: no posting moves
+        segment = self._write_segment(index.tf, rows)
         dead = self._bury(base, known)
         return self._swap(base, [*base.segments, segment], [*base.dead, *dead])
 

@@ -8,8 +8,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import counted
-from lodestone.operators import evaluation, positions, retrieval, rewriting, selfplay
+from lodestone.operators import blockmax, evaluation, positions, retrieval, rewriting, selfplay
 from lodestone.session import dealt
+from lodestone.sources import segments
 
 TEXTS = ["the cat sat on the mat", "a dog sat", "", None, "the the cat", "on a mat a cat sat on the mat again and again"]
 
@@ -64,3 +65,19 @@ def test_feedback_searches_once(spark):
     index, terms = retrieval.build_index(docs(spark)), retrieval.query_terms(asked(spark), "query_id")
     fed = rewriting.feedback(index, terms, retrieval.top_k(retrieval.bm25(index, terms), 3))
     assert "ln(" not in fed._jdf.queryExecution().executedPlan().toString()  # no idf: the search isn't part of what is left
+
+
+def test_blocks_stay_where_they_are(spark):
+    index, terms = blockmax.build_blocks(docs(spark), size=2), retrieval.query_terms(asked(spark), "query_id")
+    made = blockmax.steps(index, terms, 2)
+    assert moved(made.scored) == []  # the queries' terms go to the blocks
+    hits = retrieval.top_k(retrieval.bm25(retrieval.build_index(docs(spark)), terms), 2)
+    assert {tuple(r) for r in made.hits.collect()} == {tuple(r) for r in hits.collect()}
+
+
+def test_a_segment_moves_its_postings_once(spark, tmp_path, monkeypatch):
+    written, write = [], segments.Store._write_segment
+    monkeypatch.setattr(segments.Store, "_write_segment", lambda self, tf, rows: written.append(rows) or write(self, tf, rows))
+    plain = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    segments.Store(spark, str(tmp_path)).add(plain)
+    assert moved(written[0]) == []  # the terms of a document are made within its row
