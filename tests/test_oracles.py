@@ -45,3 +45,17 @@ def test_twin(spark, duck, name):
     names = [d[0] for d in want.description]
     assert sorted(got.columns) == sorted(names)
     assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(names, want.fetchall())
+
+
+def test_subqueries_with_null_order_keys(spark, tmp_path):
+    """Of a customer's orders of one price, an order without a key is the last."""
+    customers = [(k, float(k)) for k in range(6)]
+    orders = [(k, c, "F", p) for k, c, p in [(None, 3, 9.0), (7, 3, 9.0), (8, 3, 9.0), (None, 4, 9.0), (2, 4, None), (3, 5, None), (None, 5, None), (1, 1, 9.0)]]
+    spark.createDataFrame(customers, "c_custkey long, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(0,)], "n_nationkey int").write.parquet(f"{tmp_path}/nation.parquet")
+    got = QUERIES["subqueries"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    for t in ("customer", "orders", "nation"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    assert sorted(map(tuple, got)) == [(3, 1, 7), (4, 1, None), (5, 1, 3)] == sorted(con.execute(ORACLES["subqueries"]).fetchall())
