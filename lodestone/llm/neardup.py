@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import components
-from lodestone.llm.tasks import bounded_batches, boxed, join_uneven, likely_in, per_row, stored, unboxed
+from lodestone.llm.tasks import bounded_batches, boxed, join_uneven, per_likely_row, stored, unboxed
 
 MASK = (1 << 64) - 1
 #: A text counts once in a block, and once more for so many words, which bounds the bytes of a block.
@@ -250,7 +250,7 @@ def _classes(
     tied = stored(ties.join(nodes.select("node", F.col("first").alias("doc_id"), "load", "bands"), "node"))
     sizes = stored(tied.groupBy("label").agg(F.sum("load").alias("loads"), F.count(F.lit(1)).alias("n")))
 
-    keyed = per_row(likely_in(given, "doc_id", tied), ["doc_id", "text"], ["text"], "node binary", _node_of)
+    keyed = per_likely_row(given, "doc_id", tied, ["doc_id", "text"], ["text"], "node binary", _node_of)
     keyed = keyed.groupBy("node", _never_null("doc_id").alias("key")).agg(F.min("text").alias("text"))  # of repeated rows one
     texts = stored(keyed.join(tied.select("node", _never_null("doc_id").alias("key"), "bands"), ["node", "key"]).select("node", "text", "bands"))
 
@@ -312,8 +312,8 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opti
     _, nodes = _classes(docs, doc_id, text, **options)
     kept = nodes.groupBy("label").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "node")).alias("one"))
     kept = stored(kept.select(F.col("one.first").alias("doc_id"), "one.node"))
-    rows = likely_in(boxed(docs, (doc_id, text), doc_id=doc_id, text=text), "doc_id", kept)
-    keyed = per_row(rows, rows.columns, ["text"], "node binary", _node_of)
+    rows = boxed(docs, (doc_id, text), doc_id=doc_id, text=text)
+    keyed = per_likely_row(rows, "doc_id", kept, rows.columns, ["text"], "node binary", _node_of)
     plain = [F.col(f"given.`{f.name}`") for f in rows.schema["given"].dataType if "map<" not in f.dataType.simpleString()]
     whole = F.struct("given", "doc_id", "text")
     keyed = keyed.groupBy("node", _never_null("doc_id").alias("key")).agg(F.min_by(whole, F.xxhash64("doc_id", "text", *plain)).alias("row"))

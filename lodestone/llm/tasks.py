@@ -38,11 +38,15 @@ def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(name, rows)
 
 
+def _with(rows: DataFrame, kept: list[str], columns: str) -> T.StructType:
+    return T.StructType([rows.schema[k] for k in kept] + T.StructType.fromDDL(columns).fields)
+
+
 def per_row(rows: DataFrame, kept: list[str], texts: list[str], columns: str, start: Callable) -> DataFrame:
     """The columns `kept` of each row as they are, and new `columns` (a DDL string) that start()(*texts) returns as a
     tuple. start runs once a task; kept columns stay in Arrow, so that nulls and 64-bit ids lose nothing."""
     bounded_batches(rows.sparkSession)
-    schema = T.StructType([rows.schema[k] for k in kept] + T.StructType.fromDDL(columns).fields)
+    schema = _with(rows, kept, columns)
     run = partial(_batches, kept=kept, texts=texts, start=start, schema=to_arrow_schema(schema))
     return rows.select(*dict.fromkeys([*kept, *texts])).mapInArrow(run, schema)
 
@@ -95,10 +99,11 @@ def removed(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def likely_in(rows: DataFrame, key: str, wanted: DataFrame, most_bits: int = 1 << 30) -> DataFrame:
-    """The rows whose key occurs in the column `key` of `wanted`, and a few others: a filter on the scan, for a join
-    that follows. Its bitmap has about 16 bits for each wanted key and at most `most_bits`, 128 MB; with more keys
-    than that more rows pass, and the join still decides."""
+def per_likely_row(rows: DataFrame, key: str, wanted: DataFrame, kept: list[str], texts: list[str], columns: str, start: Callable, most_bits: int = 1 << 30) -> DataFrame:
+    """per_row() of the rows whose key occurs in the column `key` of `wanted`, and of a few others: a filter on the scan,
+    for a join that follows. Its bitmap has about 16 bits for each wanted key and at most `most_bits`, 128 MB; with more
+    keys than that more rows pass, and the join still decides. One Python worker both filters and makes the columns: as
+    two steps they would take two for each task, which stay for the stages that follow."""
     bounded_batches(rows.sparkSession)
     n = wanted.count()
     bits = 1 << min(max(16, (16 * n).bit_length()), most_bits.bit_length() - 1)
@@ -110,13 +115,15 @@ def likely_in(rows: DataFrame, key: str, wanted: DataFrame, most_bits: int = 1 <
         at = (part["part"] - 1) * 4096
         bitmap[at : at + 4096] |= np.frombuffer(part["bits"], np.uint8)[: bits // 8 - at]
     sent = rows.sparkSession.sparkContext.broadcast(bitmap)
+    schema = _with(rows, kept, columns)
+    made = partial(_batches, kept=kept, texts=texts, start=start, schema=to_arrow_schema(schema))
 
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.column("slot__").to_numpy()
-            yield batch.filter(pa.array((sent.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))).drop_columns(["slot__"])
+            yield batch.filter(pa.array((sent.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
 
-    return rows.withColumn("slot__", slot - 1).mapInArrow(passing, rows.schema)
+    return rows.select(*dict.fromkeys([*kept, *texts]), (slot - 1).alias("slot__")).mapInArrow(lambda batches: made(passing(batches)), schema)
 
 
 def join_uneven(rows: DataFrame, table: DataFrame, keys: list[str], n_rows: int, size: str = "n", most: int = 50_000) -> DataFrame:

@@ -2,7 +2,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestone.llm import registry
+from lodestone.llm import neardup, registry
 from tests.llm.tables import documents, prose
 
 SF = "/root/testdata/sf0.001"
@@ -38,3 +38,12 @@ def test_preference_twin(spark):
     want = con.execute(registry.oracle_sql()["op1_preference_pairs"])
     names = [d[0] for d in want.description]
     assert sorted(map(tuple, got.select(*names).collect())) == sorted(want.fetchall())
+
+
+def test_near_duplicates_take_one_python_worker_a_task(spark):
+    """Two Python steps in one stage would hold two workers for each task, in that stage and after it."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = corpus_pipeline.STAGES[1][1](spark, docs, SF)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    assert kept.count() == neardup.near_classes(docs).select("class_key").distinct().count()
