@@ -203,7 +203,16 @@ def redact(docs: DataFrame, forest: str, text: str = "text", path: str | None =
     return scanned(docs, forest, text, path, threshold).select(*unboxed(docs.columns, **{text: rebuilt}))
 
 
+_FORESTS: dict[str, str] = {}
+
+
 def default_forest(spark: SparkSession) -> str:
-    return train(generated_findings(spark))
+    """The forest of the generated findings, fitted once in each application: it is the same each time, and each fit
+    leaves the driver larger."""
+    app = spark.sparkContext.applicationId
+    if app not in _FORESTS:
+        _FORESTS.clear()
+        _FORESTS[app] = train(generated_findings(spark))
+    return _FORESTS[app]
 
 

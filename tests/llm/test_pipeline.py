@@ -2,7 +2,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestone.llm import neardup, registry
+from lodestone.llm import neardup, registry, secret_scan
 from tests.llm.tables import documents, prose
 
 SF = "/root/testdata/sf0.001"
@@ -47,3 +47,9 @@ def test_near_duplicates_take_one_python_worker_a_task(spark):
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1
     assert kept.count() == neardup.near_classes(docs).select("class_key").distinct().count()
+
+
+def test_the_forest_is_fitted_once_in_an_application(spark, monkeypatch):
+    forest = secret_scan.default_forest(spark)
+    monkeypatch.setattr(secret_scan, "train", None)
+    assert secret_scan.default_forest(spark) == forest
