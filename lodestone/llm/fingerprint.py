@@ -130,8 +130,8 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block
     parts = F.when(F.col("doc_id").isNull(), F.lit(without)).when(F.col("hot_at") > 0, F.get(_longs(times[times > 1]), F.col("hot_at") - 1)).otherwise(0)
     part = F.when(parts > 0, 1 + F.least(F.floor((F.col("tie") / F.lit(2.0**64) + 0.5) * parts), parts - 1)).otherwise(0)
     # blocks are numbered in the order of the rows: descending ids, and of an id that is cut the parts by hash
-    block = (F.lit(len(bounds) + 1) - F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("at"))) * F.lit(1 << 20) + part
-    rows = rows.select("doc_id", "text", "tie", block.cast("long").alias("block"))
+    block = (F.lit(len(bounds) + 1) - F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("at"))) * F.lit(1 << 20).cast("long") + part
+    rows = rows.select("doc_id", "text", "tie", block.alias("block"))
     firsts = rows.groupBy("block").agg(F.max(F.struct("doc_id", F.bitwise_not("tie").alias("turned"))).alias("first"))
     chain = Window.orderBy("block")
     to = F.coalesce(F.lag("block").over(chain), F.max("block").over(chain.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))

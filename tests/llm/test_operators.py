@@ -543,6 +543,14 @@ def test_blocks_of_ids_are_small_and_follow_each_other(spark):
     assert [r.block for r in order] == sorted(r.block for r in order)
 
 
+def test_blocks_are_as_many_as_large_tables_need(spark):
+    """The number of a block, shifted by 20 bits, goes beyond 32 bits from 2,047 blocks on."""
+    docs = spark.range(5000).selectExpr("id AS doc_id", "concat('t', id) AS text")
+    got = fingerprint.with_next(docs, block_docs=1).filter("extra = 0").orderBy(F.desc("doc_id")).collect()
+    assert len({r.block for r in got}) > 4000 and [r.block for r in got] == sorted(r.block for r in got)
+    assert [r.next_text for r in got] == [f"t{i}" for i in range(4998, -1, -1)] + ["t4999"]
+
+
 def test_equal_digests_of_other_texts_are_told_apart(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "b"), (2, "a"), (3, "A "), (4, "c")], "doc_id long, text string")
     # a digest that collides on purpose, in the driver and, as it is sent with the functions, in the tasks
