@@ -59,3 +59,21 @@ def test_subqueries_with_null_order_keys(spark, tmp_path):
     for t in ("customer", "orders", "nation"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
     assert sorted(map(tuple, got)) == [(3, 1, 7), (4, 1, None), (5, 1, 3)] == sorted(con.execute(ORACLES["subqueries"]).fetchall())
+
+
+def test_subqueries_where_sorts_spill(spark, tmp_path):
+    """Rows of a customer come to their task in any order on a cluster, and where sorts spill: here after 100 rows."""
+    spark.range(200).selectExpr("id AS c_custkey", "double(id) AS c_acctbal").write.parquet(f"{tmp_path}/customer.parquet")
+    orders = spark.range(4000).selectExpr("id AS o_orderkey", "pmod(xxhash64(id, 1), 200) AS o_custkey", "'F' AS o_orderstatus", "double(pmod(xxhash64(id, 2), 1000)) AS o_totalprice")
+    orders.repartition(6).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(0,)], "n_nationkey int").write.parquet(f"{tmp_path}/nation.parquet")
+    conf, name = spark.sparkContext._jsc.sc().conf(), "spark.shuffle.spill.numElementsForceSpillThreshold"
+    conf.set(name, "100")
+    try:
+        got = QUERIES["subqueries"](spark, str(tmp_path)).collect()
+    finally:
+        conf.remove(name)
+    con = duckdb.connect()
+    for t in ("customer", "orders", "nation"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    assert len(got) == 100 and sorted(map(tuple, got)) == sorted(con.execute(ORACLES["subqueries"]).fetchall())
