bm25_blockmax: texts are cut twice, and a search reads the index once

Symptom: building the block index cut every text four times; a search then read all blocks eight times and all terms seven times, and met the scored documents with one row a query without a broadcast. On the small input (0.10 GB, 3 executors, quick check) it was stopped at 0.71 GB of disk, with 16,990,618 rows read and 1749 + 1886 MB shuffled so far and 3,607 CPU seconds a GB.
Evidence: an accumulator behind the texts counts 488 rows for 122 documents; postings and terms each made the same counts, the corpus' figures cut the texts once more, and each step and round of a search began at the whole index.
Fix: the counts of terms and the corpus' figures come out of one pass and are stored before the postings are blocked by them; a search keeps the blocks of its queries' terms with their caps; terms with their block counts and the bounds of a query are broadcast to the candidates, as the queries' terms were already; what a round leaves is kept before it is looked up and summed.
Effect, together with 1 more commit on this code: at 1 GB of input CPU 2004 -> 1279 s, shuffle 9.02 -> 7.04 GB, spill 0.00 -> 0.00 GB, read 11.17 -> 5.85 GB, longest task 13 -> 12 s, most memory of a task 409 -> 371 MB; at 6 GB of input CPU 9939 -> 5898 s, shuffle 50.75 -> 40.44 GB, spill 7.51 -> 7.46 GB, read 66.95 -> 35.49 GB, longest task 33 -> 26 s, most memory of a task 742 -> 707 MB; with hot keys, at 1 GB of input CPU 842 -> 571 s, shuffle 2.21 -> 1.65 GB, spill 0.00 -> 0.00 GB, read 2.34 -> 1.33 GB, longest task 11 -> 12 s, most memory of a task 377 -> 340 MB.

@@ -12,8 +12,9 @@ rounds that each take about half of what the terms left can add, the most tellin
 those go whose score so far and best rest don't reach the threshold. Since every step goes by bounds, the result is that
 of retrieval.bm25 and top_k.
 
-The queries' terms, with what is known of each, go to the blocks by broadcast. Blocks only move to be looked up, and then
-only those of the terms that are looked up, or those asked for where these are no more than the queries tell.
+The queries' terms, with what is known of each, go to the blocks and to the documents found by broadcast. A search reads
+the index once, for the blocks of its queries' terms, which it keeps. Blocks only move to be looked up, and then only those
+of the terms that are looked up, or those asked for where these are no more than the queries tell.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.operators.retrieval import build_index, idf, top_k
+from lodestone.operators.retrieval import build_index, document_counts, idf, top_k
 from lodestone.session import kept, stored
 
 #: Scores are rounded to 6 decimals; bounds leave room for that and for the order of sums.
@@ -52,15 +53,21 @@ def block_of(doc_id: Column, n_blocks: Column) -> Column:
     return F.pmod(F.xxhash64(doc_id), n_blocks.cast("long")).cast("int")
 
 
-def blocked(tf: DataFrame, size: int = 128) -> tuple[DataFrame, DataFrame]:
-    """Postings (term, block, docs, peaks) and terms (term, df, n_blocks) of tf (id, term, tf, dl)."""
-    terms = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("n_blocks", F.ceil(F.col("df") / size).cast("int"))
+def blocked(tf: DataFrame, size: int = 128, terms: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Postings (term, block, docs, peaks) and terms (term, df, n_blocks) of tf (id, term, tf, dl). Terms that are known
+    already are not counted again."""
+    if terms is None:
+        terms = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("n_blocks", _n_blocks(size))
     rows = tf.hint("merge").join(terms.select("term", "n_blocks"), "term")
     posting = F.struct("id", F.col("tf").cast("int").alias("tf"), F.col("dl").cast("int").alias("dl"))
     blocks = rows.groupBy("term", block_of(F.col("id"), F.col("n_blocks")).alias("block")).agg(F.array_sort(F.collect_list(posting)).alias("docs"))
     return blocks.withColumn("peaks", _peaks("docs")), terms
 
 
+def _n_blocks(size: int) -> Column:
+    return F.ceil(F.col("df") / size).cast("int")
+
+
 def _peaks(docs: str) -> Column:
     """The pairs (tf, dl) of postings that no other beats in both: the shortest texts first, then each larger tf."""
     by_length = f"array_sort(transform({docs}, d -> struct(d.dl AS dl, -d.tf AS less)))"
@@ -70,12 +77,16 @@ def _peaks(docs: str) -> Column:
 
 
 def build_blocks(docs: DataFrame, size: int = 128, doc_id: str = "doc_id", text: str = "text") -> Blocks:
-    """The index of docs as one segment, kept in the shared folder."""
+    """The index of docs as one segment, kept in the shared folder. The texts are cut twice: for the terms and the
+    corpus' figures, and then for the postings, whose blocks need the counts of the terms."""
     index = build_index(docs, doc_id, text)
-    postings, terms = blocked(index.tf, size)
-    postings, terms = stored(postings.withColumn("segment", F.lit("0"))), stored(terms.withColumn("segment", F.lit("0")))  # packed, and read by column
-    figures = index.stats.first()
-    return Blocks(postings, terms.select("segment", "term", "n_blocks"), terms.select("term", "df"), None, figures["n_docs"], figures["avg_dl"])
+    counts = stored(document_counts(index).withColumn("segment", F.lit("0")).withColumn("n_blocks", _n_blocks(size)))
+    terms = counts.filter("term <> ''")
+    postings, _ = blocked(index.tf, size, terms)
+    postings = stored(postings.withColumn("segment", F.lit("0")))  # packed, and read by column
+    corpus = counts.filter("term = ''").first()  # None without documents
+    n_docs, length = (corpus["df"], corpus["length"]) if corpus else (0, 0)
+    return Blocks(postings, terms.select("segment", "term", "n_blocks"), terms.select("term", "df"), None, n_docs, length / n_docs if n_docs else 0.0)
 
 
 class Steps(NamedTuple):
@@ -99,8 +110,11 @@ def steps(index: Blocks, queries: DataFrame, k: int, k1: float = 1.2, b: float =
     impact = lambda tf, dl: _impact(tf, dl, index.avg_dl, k1, b)
     cap = F.array_max(F.transform("peaks", lambda p: impact(p["tf"], p["dl"]))).alias("cap")
 
-    wanted = queries.join(index.df, "term").select("query_id", "term", "df", idf(F.lit(index.n_docs), F.col("df")).alias("idf"))
-    caps = kept(index.postings.join(F.broadcast(wanted.select("term").distinct()), "term", "left_semi").select("segment", "term", "block", cap))
+    wanted = kept(queries.join(index.df, "term").select("query_id", "term", "df", idf(F.lit(index.n_docs), F.col("df")).alias("idf")))
+    sought = F.broadcast(wanted.select("term").distinct())
+    held = stored(index.postings.join(sought, "term", "left_semi").select("segment", "term", "block", "docs", cap))
+    caps = held.select("segment", "term", "block", "cap")
+    n_blocks = kept(index.terms.join(sought, "term", "left_semi").select("segment", "term", "n_blocks"))
     asked = wanted.join(caps.groupBy("term").agg(F.max("cap").alias("top")), "term").withColumn("most", F.col("idf") * F.col("top"))
     of_query = Window.partitionBy("query_id")
     rarer = F.sum("df").over(of_query.orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1))
@@ -114,7 +128,7 @@ def steps(index: Blocks, queries: DataFrame, k: int, k1: float = 1.2, b: float =
 
     def placed(candidates: DataFrame, terms: DataFrame) -> DataFrame:
         """Each candidate (query_id, segment, id) with each of its query's terms, and the block it would be in."""
-        rows = candidates.join(terms.select("query_id", "term", "idf"), "query_id").join(index.terms, ["segment", "term"])
+        rows = candidates.join(F.broadcast(terms.select("query_id", "term", "idf").join(n_blocks, "term")), ["query_id", "segment"])
         return rows.withColumn("block", block_of(F.col("id"), F.col("n_blocks"))).drop("n_blocks")
 
     def looked_up(places: DataFrame, postings: DataFrame) -> DataFrame:
@@ -126,11 +140,11 @@ def steps(index: Blocks, queries: DataFrame, k: int, k1: float = 1.2, b: float =
     def summed(rows: DataFrame) -> DataFrame:
         return rows.groupBy("query_id", "segment", "id").agg(F.sum("part").alias("part"))
 
-    seeds = parts(index.postings.join(F.broadcast(asked.filter("seed")), "term"))
+    seeds = parts(held.join(F.broadcast(asked.filter("seed")), "term"))
     best = top_k(summed(seeds), seed_docs * k, "part", "id")
     at = F.xxhash64("segment", "term", "block").alias("at")
     places = kept(placed(best.select("query_id", "segment", "id"), asked))  # `seed_docs` * k for each term of a query
-    first = kept(looked_up(places, index.postings.withColumn("at", at).join(F.broadcast(places.select(at).distinct()), "at", "left_semi")))
+    first = kept(looked_up(places, held.withColumn("at", at).join(F.broadcast(places.select(at).distinct()), "at", "left_semi")))
     exact = summed(first).select("query_id", F.round("part", 6).alias("score"), F.col("id").alias("doc_id"))
     floor = top_k(exact, k).filter(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
 
@@ -142,9 +156,9 @@ def steps(index: Blocks, queries: DataFrame, k: int, k1: float = 1.2, b: float =
     turn = F.when(F.col("essential"), -1).otherwise(F.least(F.lit(rounds - 1), F.floor(-F.log2(F.greatest(F.lit(1e-9), 1 - before / others))).cast("int")))
     asked = kept(asked.withColumn("turn", turn))
     after = [F.sum(F.when(F.col("turn") > r, F.col("most")).otherwise(0.0)).alias(f"after{r}") for r in range(-1, rounds)]
-    bounds = asked.groupBy("query_id").agg(F.first("floor").alias("floor"), *after)
+    bounds = F.broadcast(kept(asked.groupBy("query_id").agg(F.first("floor").alias("floor"), *after)))  # a row a query
 
-    reach = index.postings.select("segment", "term", "docs", cap).join(F.broadcast(asked.filter("essential")), "term")
+    reach = held.join(F.broadcast(asked.filter("essential")), "term")
     scored = parts(reach.filter(F.col("idf") * F.col("cap") + F.col("all") - F.col("most") >= F.col("floor")))
 
     def able(rows: DataFrame, r: int) -> DataFrame:
@@ -158,8 +172,8 @@ def steps(index: Blocks, queries: DataFrame, k: int, k1: float = 1.2, b: float =
         places = placed(left.select(*key), turns)
         room = places.join(caps, ["segment", "term", "block"]).groupBy(*key).agg(F.sum(F.col("idf") * F.col("cap")).alias("room"))
         worth = left.join(room, key, "left").join(bounds, "query_id").filter(F.col("part") + F.coalesce("room", F.lit(0.0)) + F.col(f"after{r}") >= F.col("floor"))
-        worth = worth.select(*key, "part")
-        found = kept(looked_up(placed(worth.select(*key), turns), index.postings.join(F.broadcast(turns.select("term").distinct()), "term", "left_semi")))
+        worth = kept(worth.select(*key, "part"))
+        found = kept(looked_up(placed(worth.select(*key), turns), held.join(F.broadcast(turns.select("term").distinct()), "term", "left_semi")))
         all_scored = all_scored.unionAll(found.select("query_id"))
         left = kept(able(summed(worth.unionByName(found)), r))
     hits = top_k(left.select("query_id", F.col("id").alias("doc_id"), F.round("part", 6).alias("score")), k)

@@ -67,6 +67,30 @@ def test_few_postings_are_scored(spark):
     assert total.scored < 0.5 * total.matches
 
 
+def counting(spark, rows):
+    """The rows, and an accumulator of how many of them have been read."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    return rows.mapInArrow(passed, rows.schema), seen
+
+
+def test_texts_are_cut_twice_and_the_index_is_read_once(spark):
+    texts = collection(spark, range(120)) | {1000: "", 1001: None}
+    docs, cut = counting(spark, frame(spark, texts))
+    index = blockmax.build_blocks(docs, 8)
+    assert cut.value == 2 * len(texts)  # for the counts of terms, and for the blocks
+    postings, blocks = counting(spark, index.postings)
+    terms, known = counting(spark, index.terms)
+    found = blockmax.search(index._replace(postings=postings, terms=terms), asked(spark), 3)
+    assert plain(found) == wanted(spark, texts, 3)
+    assert blocks.value == index.postings.count() and known.value == index.terms.count()
+
+
 def test_no_queries_and_no_documents(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert blockmax.search(blockmax.build_blocks(none), asked(spark), 3).count() == 0
