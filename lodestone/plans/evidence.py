eval_compare_runs: both runs rank the hits of one search

Symptom: the plain and the weighted run each searched all documents by themselves, with two deals of the texts and two scorings. Full check on 3 executors: the large input 2,052,281 rows read, 2266 + 2829 MB shuffled, 1,180 CPU seconds a GB (limit 960), 110 s; the small input 411,257 rows, 454 + 567 MB, 26 s; fail.
Evidence: on the large input two stages of 205 and 212 task seconds cut, count and score the same texts; they differ only in the order by which the hits are cut at the end.
Fix: one search is cut to the k best of each query and collection, which hold all that either ranking can take, since within a collection both go by score; documents without a weight also keep the k least ids, as weighted they come last by id. These few rows are kept, and both runs rank them.
Effect, together with 1 more commit on this code: at 1 GB of input CPU 1336 -> 1007 s, shuffle 4.33 -> 3.27 GB, spill 0.00 -> 0.00 GB, read 3.89 -> 2.93 GB, longest task 4 -> 5 s, most memory of a task 201 -> 269 MB; at 6 GB of input CPU 7355 -> 4723 s, shuffle 26.35 -> 19.89 GB, spill 0.00 -> 0.00 GB, read 23.61 -> 17.77 GB, longest task 5 -> 5 s, most memory of a task 237 -> 286 MB; with hot keys, at 1 GB of input CPU 587 -> 398 s, shuffle 0.80 -> 0.61 GB, spill 0.00 -> 0.00 GB, read 0.73 -> 0.56 GB, longest task 4 -> 4 s, most memory of a task 218 -> 269 MB.

@@ -44,16 +44,16 @@ def _docs(spark: SparkSession, folder: str) -> DataFrame:
     return dealt(table(spark, folder, "documents").select("doc_id", "text", "source"), "doc_id")
 
 
-def _index(spark: SparkSession, folder: str) -> retrieval.Index:
-    return retrieval.build_index(_docs(spark, folder))
+def _index(spark: SparkSession, folder: str, docs: DataFrame | None = None) -> retrieval.Index:
+    return retrieval.build_index(_docs(spark, folder) if docs is None else docs)
 
 
 def _asked(spark: SparkSession, folder: str) -> DataFrame:
     return retrieval.query_terms(table(spark, folder, "benchmark"), "item_id")
 
 
-def _bm25(spark: SparkSession, folder: str) -> DataFrame:
-    return retrieval.bm25(_index(spark, folder), _asked(spark, folder))
+def _bm25(spark: SparkSession, folder: str, docs: DataFrame | None = None) -> DataFrame:
+    return retrieval.bm25(_index(spark, folder, docs), _asked(spark, folder))
 
 
 def _vectors(spark: SparkSession, folder: str) -> DataFrame:
@@ -79,8 +79,8 @@ def doc_freq_idf(spark, folder):
 
 
 @query(f"WITH {BM25} SELECT query_id, doc_id, score, rank FROM ranked WHERE rank <= 10")
-def bm25_topk(spark, folder):
-    return retrieval.top_k(_bm25(spark, folder), 10)
+def bm25_topk(spark, folder, scored=None):
+    return retrieval.top_k(_bm25(spark, folder) if scored is None else scored, 10)
 
 
 CHUNKS = "SELECT doc_id, CAST(i AS INT) AS chunk_no, substr(text, CAST(i * {step} + 1 AS BIGINT), 500) AS text FROM (SELECT doc_id, text, unnest(range(CAST(greatest(1, ceil((length(text) - {overlap}) / {step}.0)) AS BIGINT))) AS i FROM documents WHERE length(text) > 0)"
@@ -135,9 +135,9 @@ def knn_cells(spark, folder):
 
 
 @query(f"WITH {BM25}{WEIGHTED} SELECT query_id, doc_id, collection, score, rank FROM top")
-def collection_weighted(spark, folder):
+def collection_weighted(spark, folder, scored=None):
     docs = table(spark, folder, "documents").withColumn("collection", retrieval.collection_of(F.col("source")))
-    return retrieval.top_k(retrieval.weight_collections(_bm25(spark, folder), docs), 10)
+    return retrieval.top_k(retrieval.weight_collections(_bm25(spark, folder) if scored is None else scored, docs), 10)
 
 
 #: Queries and vectors have unrelated ids; a query's vector is the one of its number, which only exercises the mechanics.
@@ -444,8 +444,10 @@ wr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, d
   UNION ALL SELECT '2-weighted', round(coalesce(1 / first, 0), 6) FROM w LEFT JOIN (SELECT query_id, min(rank) AS first FROM wr JOIN qrels USING (query_id, doc_id) GROUP BY 1) USING (query_id)),
 a AS (SELECT run_id, 'rr' AS metric, round(avg(rr), 6) AS value FROM rec GROUP BY 1) SELECT *, round(value - lag(value) OVER (ORDER BY run_id), 6) AS change FROM a""")
 def eval_compare_runs(spark, folder):
-    qrels = _qrels(spark, folder)
-    runs = [("1-plain", bm25_topk(spark, folder)), ("2-weighted", collection_weighted(spark, folder))]
+    qrels, docs = _qrels(spark, folder), _docs(spark, folder)
+    known = docs.select("doc_id", retrieval.collection_of(F.col("source")).alias("collection"))
+    scored = kept(retrieval.contenders(_bm25(spark, folder, docs), known, 10))  # one search, of which both runs rank a few rows
+    runs = [("1-plain", bm25_topk(spark, folder, scored)), ("2-weighted", collection_weighted(spark, folder, scored))]
     records = [evaluation.metrics(r, qrels, 10).select(F.lit(n).alias("run_id"), F.lit("rr").alias("metric"), F.col("rr").alias("value")) for n, r in runs]
     return evaluation.compare_runs(records[0].unionAll(records[1]))
 

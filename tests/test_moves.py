@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import counted
 from lodestone.operators import blockmax, evaluation, positions, retrieval, rewriting, selfplay
+from lodestone.plans import evidence
 from lodestone.session import dealt
 from lodestone.sources import segments
 
@@ -67,6 +68,27 @@ def test_feedback_searches_once(spark):
     assert "ln(" not in fed._jdf.queryExecution().executedPlan().toString()  # no idf: the search isn't part of what is left
 
 
+def test_both_runs_rank_the_hits_of_one_search(spark, tmp_path):
+    docs(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    asked(spark).withColumnRenamed("query_id", "item_id").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = evidence.eval_compare_runs(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ln(" not in plan and "regexp_extract_all" not in plan  # no search is part of what is left
+    assert [r.run_id for r in found.orderBy("run_id").collect()] == ["1-plain", "2-weighted"]
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.one_of(st.none(), st.integers(0, 12)), st.sampled_from([None, "coll_cn_guide", "coll_rct_meta", "other"])), min_size=1, max_size=16), st.lists(st.integers(1, 4), min_size=13, max_size=13), st.integers(1, 3))
+def test_contenders_hold_both_rankings(spark, rows, scores, k):
+    known = spark.createDataFrame(rows, "doc_id long, collection string")  # ids and rows that come twice, null ids and collections
+    ids = [None, *range(13)]
+    scored = spark.createDataFrame([(q, i, float(scores[(i or 0) - q])) for q in (0, 1) for i in ids], "query_id long, doc_id long, score double")
+    some = retrieval.contenders(scored, known, k)
+    plain = lambda d: Counter(map(tuple, retrieval.top_k(d, k).select("query_id", "doc_id", "score", "rank").collect()))
+    assert plain(some) == plain(scored)
+    assert plain(retrieval.weight_collections(some, known)) == plain(retrieval.weight_collections(scored, known))
+
+
 def test_blocks_stay_where_they_are(spark):
     index, terms = blockmax.build_blocks(docs(spark), size=2), retrieval.query_terms(asked(spark), "query_id")
     made = blockmax.steps(index, terms, 2)
