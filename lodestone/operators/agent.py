@@ -99,7 +99,8 @@ def local_search(queries: DataFrame, docs: DataFrame, pool: int = 50, candidates
     asked = query_terms(queries, "query_id")
     by_terms = top_k(bm25(build_index(docs), asked), pool) if index is None else search(index, asked, pool)
     if vectors:
-        fused = fuse(by_terms, knn(embed(docs, "doc_id", factory=factory), embed(queries, "query_id", factory=factory), pool))
+        embedded = embed(docs, "doc_id", factory=factory).repartition("id")  # knn() counts and compares them: both read this exchange
+        fused = fuse(by_terms, knn(embedded, embed(queries, "query_id", factory=factory), pool))
     else:
         fused = by_terms.select("query_id", "doc_id", F.round(min_max(by_terms), 6).alias("score"))
     known = docs.select("doc_id", collection_of(F.col("source")).alias("collection"))
@@ -128,10 +129,11 @@ def answer(queries: DataFrame, docs: DataFrame, external: DataFrame, k: int = 10
 
     1 domain gate and class; 2 local search; 3 where its best similarity is below the threshold or its evidence does
     not suffice, search of the external texts, which rank after local ones of equal score; 4 evidence; 5 bundle. Hits
-    of score 0 are not cited. Hits are kept in the shared folder between the rounds, which all read them."""
+    of score 0 are not cited. Classes, open queries and hits are kept in the shared folder between the rounds, which all
+    read them."""
     asked = queries.select("query_id", "text")
-    known = tools["query_classifier"](asked).join(gate(asked), "query_id")
-    open_queries = asked.join(known.filter(~F.col("refused")).select("query_id"), "query_id", "left_semi")
+    known = kept(tools["query_classifier"](asked).join(gate(asked), "query_id"))
+    open_queries = kept(asked.join(known.filter(~F.col("refused")).select("query_id"), "query_id", "left_semi"))
     local = kept(tools["local_search"](open_queries, docs))
     sims = open_queries.select("query_id").join(local.groupBy("query_id").agg(F.max("score").alias("best")), "query_id", "left").select("query_id", F.coalesce("best", F.lit(0.0)).alias("top_sim"))
     enough = tools["evidence_evaluator"](local.filter(F.col("rank") <= k), min_score=min_score).filter("sufficient").select("query_id")

@@ -2,13 +2,14 @@
 
 import re
 from collections import Counter
+from functools import partial
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import counted
-from lodestone.operators import blockmax, evaluation, positions, retrieval, rewriting, selfplay
+from lodestone.operators import agent, blockmax, embedding, evaluation, positions, retrieval, rewriting, selfplay
 from lodestone.plans import evidence
 from lodestone.session import dealt
 from lodestone.sources import segments
@@ -89,6 +90,34 @@ def test_contenders_hold_both_rankings(spark, rows, scores, k):
     assert plain(retrieval.weight_collections(some, known)) == plain(retrieval.weight_collections(scored, known))
 
 
+def counting(spark, rows):
+    """The rows, and an accumulator of how many of them have been read."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    return rows.mapInArrow(passed, rows.schema), seen
+
+
+def test_the_agent_embeds_once_and_classifies_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    class Embedder(embedding.HashingEmbedder):
+        def __call__(self, texts):
+            seen.add(sum(t.startswith("document") for t in texts))
+            return super().__call__(texts)
+
+    texts = docs(spark).withColumn("text", F.concat(F.lit("document "), F.coalesce("text", F.lit(""))))
+    queries, read = counting(spark, asked(spark))
+    search = partial(agent.local_search, factory=Embedder)
+    found = agent.answer(queries, texts, texts.select("doc_id", "text").limit(0), tools=agent.TOOLS | {"local_search": search})
+    assert seen.value == len(TEXTS) and read.value <= 5 * 2  # 2 queries: the class asks three times, the gate once, the open ones once
+    assert [r.status for r in found.orderBy("query_id").collect()] == ["success", "insufficient"]
+
+
 def test_blocks_stay_where_they_are(spark):
     index, terms = blockmax.build_blocks(docs(spark), size=2), retrieval.query_terms(asked(spark), "query_id")
     made = blockmax.steps(index, terms, 2)
